@@ -140,7 +140,9 @@ def search(docs: DataFrame, query: list[tuple[int, str]], window: int, errors: i
                         elif errors and b[2]:
                             for low in range(max(0, piece + size - window), min(piece, len(other) - window) + 1):
                                 near = words[max(0, at - (piece - low) - errors) : at + window - (piece - low) + errors]
-                                b[2] = min(b[2], myers(other[low : low + window], near))
+                                # each edit costs a word: a window with fewer words in common is further off
+                                if len(set(other[low : low + window]).difference(near)) <= errors:
+                                    b[2] = min(b[2], myers(other[low : low + window], near))
                 for item, (longest, leaked, least) in best.items():
                     if longest >= window or least <= errors:
                         n = len(item_words[item])

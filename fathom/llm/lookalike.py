@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters of other scripts that print like a Latin letter.
 LOOKALIKE_LETTERS = {
@@ -216,13 +217,14 @@ def canonical_text(docs: DataFrame, text: str = "text", out: str = "canonical",
     """``docs`` with the one form of ``text`` in ``out``; NULL stays NULL, '' stays ''."""
     pattern, mapping = compile_fold(representatives(lookalike_classes(), counts))
 
-    @F.pandas_udf("string")
-    def canon(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = folder(pattern, mapping)
-        for s in batches:
-            yield s.map(lambda x: x if x is None else fold(x))
+        for batch in batches:
+            texts = [x if x is None else fold(x) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return docs.withColumn(out, canon(F.col(text)))
+    docs = docs.drop(out)
+    return docs.mapInArrow(rewrite, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def alike_pairs(prints: DataFrame, key: str = "doc_id") -> DataFrame:
