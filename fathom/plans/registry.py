@@ -1,10 +1,326 @@
-"""All registered queries of the core and their SQL."""
+"""All registered queries of the core, over whole tables, and their SQL.
+
+Filings are identified by club, company number and year. Measures are rounded on their exact value.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import figures as G
+from ..functions import text as X
+from ..functions.frames import cut, exact_round, table
+from ..operators import cache, drift, extract, report, resolve, sections, similarity
+from ..operators.sections import FILING
+from . import sql
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+ENTITY = ["club", "company_number"]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def filing_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Last scans, with banners emptied."""
+    pages = sections.latest_pages(table(spark, d, "ocr_pages"))
+    return pages.withColumn("text", X.strip_banner(F.col("text")))
+
+
+def filing_sections(spark: SparkSession, d: str) -> DataFrame:
+    return sections.section_texts(sections.carried_lines(sections.with_lines(filing_pages(spark, d))))
+
+
+def scored_reports(spark: SparkSession, d: str) -> DataFrame:
+    return drift.scored(drift.reports(table(spark, d, "sections")))
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "line_items").distinct()
+
+
+def filings(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.manifest_filings(table(spark, d, "manifest"))
+
+
+# Pages and sections -----------------------------------------------------------------------------
+
+
+@query(sql.LATEST_PAGES)
+def latest_pages(spark: SparkSession, d: str) -> DataFrame:
+    return sections.latest_pages(table(spark, d, "ocr_pages")).select(*FILING, "page", "page_id")
+
+
+@query(sql.PAGE_QUALITY)
+def page_quality(spark: SparkSession, d: str) -> DataFrame:
+    return sections.page_quality(sections.with_lines(filing_pages(spark, d)))
+
+
+@query(sql.HEADINGS)
+def headings(spark: SparkSession, d: str) -> DataFrame:
+    """Every heading line of every page, whether or not it opens a section."""
+    rows = sections.with_lines(filing_pages(spark, d)).select(*FILING, "page", F.explode("rows").alias("r"))
+    return rows.filter("r.heading is not null").select(*FILING, "page", "r.line_no", X.strip(F.col("r.line")).alias("line"), "r.heading")
+
+
+@query(sql.DENSE_PAGES)
+def dense_pages(spark: SparkSession, d: str) -> DataFrame:
+    return sections.with_lines(filing_pages(spark, d)).filter("dense").select(*FILING, "page")
+
+
+@query(sql.SECTIONS)
+def filing_section_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return filing_sections(spark, d).select(*FILING, "section", F.md5("text").alias("text_md5"))
+
+
+@query(sql.EVENTS)
+def heading_events(spark: SparkSession, d: str) -> DataFrame:
+    return sections.heading_events(sections.carried_lines(sections.with_lines(filing_pages(spark, d))))
+
+
+@query()
+def parsed_filings(spark: SparkSession, d: str) -> DataFrame:
+    return sections.parse_filings(filing_pages(spark, d))
+
+
+@query(sql.CORPUS)
+def corpus_check(spark: SparkSession, d: str) -> DataFrame:
+    rows = sections.latest(table(spark, d, "sections"), [*FILING, "section"], F.col("parsed_at").desc_nulls_last(), F.col("section_id").desc())
+    return sections.corpus_check(rows.withColumn("n_chars", F.length(F.coalesce("text", F.lit("")))))
+
+
+@query(sql.SPLIT_TABLES)
+def split_tables(spark: SparkSession, d: str) -> DataFrame:
+    return sections.split_tables(sections.latest_pages(table(spark, d, "ocr_pages"))).select(*FILING, "page", "table_rows", "orphan_rows", "looks_split")
+
+
+@query(sql.BETTER)
+def better_reading(spark: SparkSession, d: str) -> DataFrame:
+    """Split pages with the text of their filing's earlier scan where it has more table rows."""
+    pages = table(spark, d, "ocr_pages")
+    last = sections.latest_pages(pages)
+    rest = pages.join(last.select("page_id"), "page_id", "left_anti")
+    again = sections.latest_pages(rest).select(*FILING, "page", "text")
+    split = sections.split_tables(last).filter("looks_split").drop("table_rows", "orphan_rows", "looks_split")
+    return sections.keep_better(split, again, [*FILING, "page"]).select(*FILING, "page", "repaired", F.md5("text").alias("text_md5"))
+
+
+# Line items -------------------------------------------------------------------------------------
+
+
+@query(sql.NUMBERS)
+def parsed_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct white-space tokens of the profit and loss accounts with the value they print."""
+    rows = table(spark, d, "sections").filter("section = 'profit_and_loss'")
+    tokens = rows.select(F.explode(F.split("text", r"[ \n]+")).alias("raw")).filter("raw <> ''").distinct()
+    return tokens.select("raw", G.parse_number(F.col("raw")).alias("value"), G.is_year(F.col("raw")).alias("is_year"))
+
+
+@query()
+def row_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Figures, current value and comparative of every distinct line of the profit and loss accounts."""
+    rows = table(spark, d, "sections").filter("section = 'profit_and_loss'").select(F.explode(X.lines(F.col("text"))).alias("line")).distinct()
+    rows = rows.select("line", F.explode(F.array(G.row_figures(G.strip_note_references(F.col("line")), F.lit(0)))).alias("figs"))
+    rows = rows.select("line", F.explode(F.array(G.clean_figures(F.col("figs"), F.lit(1000)))).alias("figs"))
+    return rows.select("line", F.size("figs").alias("n_figures"), G.current_figure(F.col("figs"))["value"].alias("current"), G.comparative(F.col("figs")).alias("comparative"), G.total_column(F.col("figs")).alias("total_column"))
+
+
+@query(sql.UNITS)
+def units(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sections").filter("section = 'profit_and_loss' and text is not null").select("section_id", "text").distinct()
+    rows = rows.select("section_id", F.explode(F.array(G.unit_markers(F.col("text")))).alias("own"))
+    multiplier, evidence = G.unit(F.col("own"), F.struct(F.lit(0).alias("m"), F.lit(0).alias("k")))
+    return rows.select("section_id", multiplier.alias("multiplier"), evidence.alias("evidence"))
+
+
+@query()
+def extracted_items(spark: SparkSession, d: str) -> DataFrame:
+    found = extract.line_items(cut(filing_sections(spark, d)))
+    return extract.series_check(extract.cross_check(found, ENTITY), ENTITY)
+
+
+@query()
+def context_items(spark: SparkSession, d: str) -> DataFrame:
+    return extract.find_items(cut(filing_sections(spark, d)), items=extract.CONTEXT)
+
+
+@query()
+def derived_totals(spark: SparkSession, d: str) -> DataFrame:
+    return extract.derived_totals(cut(extract.section_rows(cut(filing_sections(spark, d)), FILING)))
+
+
+@query(sql.CROSS_CHECK)
+def cross_check(spark: SparkSession, d: str) -> DataFrame:
+    return extract.cross_check(items(spark, d), ENTITY).select(*FILING, "item", "value_gbp", "cross_check", "restated_next_year", "confidence")
+
+
+@query(sql.SERIES_CHECK)
+def series_check(spark: SparkSession, d: str) -> DataFrame:
+    return extract.series_check(extract.cross_check(items(spark, d), ENTITY), ENTITY).select(*FILING, "item", "value_gbp", "cross_check", "confidence")
+
+
+# Drift ------------------------------------------------------------------------------------------
+
+
+@query(sql.TOKENS)
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sections").select("section_id", "text").distinct()
+    tokens = X.tokens(F.coalesce("text", F.lit("")))
+    return rows.select("section_id", tokens.alias("t")).select("section_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"))
+
+
+@query(sql.EXCLUDED)
+def excluded_reports(spark: SparkSession, d: str) -> DataFrame:
+    return drift.excluded(drift.reports(table(spark, d, "sections")))
+
+
+@query(sql.YEAR_PAIRS)
+def year_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return drift.year_pairs(scored_reports(spark, d))
+
+
+@query(sql.TFIDF)
+def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
+    weights = similarity.tfidf(scored_reports(spark, d), ENTITY)
+    return weights.select("doc", "term", exact_round(F.col("weight")).alias("weight"))
+
+
+@query(sql.DRIFT)
+def drift_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical drift without surprisal."""
+    return drift.drift(scored_reports(spark, d), ENTITY, with_surprisal=False)
+
+
+@query(sql.SURPRISAL)
+def surprisal(spark: SparkSession, d: str) -> DataFrame:
+    rows = drift.drift(scored_reports(spark, d), ENTITY)
+    return rows.select(*ENTITY, "year_prev", "year", "surprisal_bits")
+
+
+@query()
+def sanity(spark: SparkSession, d: str) -> DataFrame:
+    return drift.sanity(scored_reports(spark, d), ENTITY)
+
+
+@query(sql.RANKING)
+def ranking(spark: SparkSession, d: str) -> DataFrame:
+    return drift.ranking(table(spark, d, "drift").distinct())
+
+
+@query(sql.RANKING_TABLE)
+def ranking_table(spark: SparkSession, d: str) -> DataFrame:
+    return report.ranking_table(drift.ranking(table(spark, d, "drift").distinct()))
+
+
+@query(sql.DRIFT_TABLE)
+def drift_table(spark: SparkSession, d: str) -> DataFrame:
+    return report.drift_table(table(spark, d, "drift").distinct(), ENTITY)
+
+
+def drift_report(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: texts to the drift of every pair of years, with surprisal."""
+    return drift.drift(scored_reports(spark, d), ENTITY)
+
+
+QUERIES["drift"] = drift_report
+
+
+# Entities and filings ---------------------------------------------------------------------------
+
+
+@query(sql.ACCOUNTS)
+def accounts_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = resolve.accounts_summary(filings(spark, d))
+    return rows.withColumn("recent_descriptions", F.array_join("recent_descriptions", ","))
+
+
+@query(sql.RESOLVE)
+def resolved_entities(spark: SparkSession, d: str) -> DataFrame:
+    some = filings(spark, d)
+    candidates = some.groupBy("club", "company_number").agg(F.min("company_name").alias("title"))
+    return resolve.resolve(candidates, some).select("club", "company_number", "title", "best_rank", "n_usable_recent", "latest_date", "place", "chosen")
+
+
+@query(sql.CANDIDATES)
+def plausible_names(spark: SparkSession, d: str) -> DataFrame:
+    """Company names searched for by the first word and the whole name of every club they file for."""
+    some = filings(spark, d)
+    hits = some.select("club", F.lit(0).alias("query_no"), F.dense_rank().over(sections.W.partitionBy("club").orderBy("company_name", "company_number")).alias("result_no"), F.col("company_name").alias("title"), "company_number", F.lit("active").alias("company_status"), F.lit(None).cast("string").alias("date_of_creation")).distinct()
+    clubs = some.select("club").distinct().withColumn("queries", F.array(F.replace("club", F.lit("-"), F.lit(" "))))
+    return resolve.search_candidates(hits, clubs).select("club", "company_number", "title")
+
+
+@query(sql.PICKED)
+def picked_filings(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.pick_filings(filings(spark, d)).select("company_number", "transaction_id", "year", "place")
+
+
+@query(sql.LABELS)
+def filing_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "manifest").distinct()
+    return rows.select("transaction_id", X.year_label(F.col("made_up_date"), F.col("filing_date")).alias("year_label"), X.date_key(F.col("made_up_date")).alias("date_key"), X.last_path_part(F.col("path")).alias("document"))
+
+
+@query(sql.UPSERT)
+def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Group accounts upserted over all others, one row per filing."""
+    rows = table(spark, d, "manifest").distinct()
+    group = F.col("accounts_type") == resolve.ACCOUNTS[0]
+    order = [F.col("filing_date").desc(), F.col("transaction_id").desc()]
+    return cache.upsert(rows.filter(~group), rows.filter(group), FILING, order).select(*FILING, "transaction_id")
+
+
+@query(sql.NOT_PARSED)
+def filings_to_parse(spark: SparkSession, d: str) -> DataFrame:
+    return cache.not_yet(table(spark, d, "manifest").select(*FILING).distinct(), table(spark, d, "sections"), FILING)
+
+
+@query(sql.WORK)
+def filings_to_read(spark: SparkSession, d: str) -> DataFrame:
+    """Filings whose page text is missing or was made with other settings (a settings row each, the
+    version taken from the year's parity)."""
+    done = table(spark, d, "ocr_pages").select(*FILING).distinct()
+    done = done.select(*FILING, F.lit(False).alias("unreadable"), F.lit(200).alias("dpi"), F.lit(3).alias("psm"), (F.col("year").cast("int") % 2 + 1).alias("method_version"))
+    return cache.work_list(table(spark, d, "manifest").select(*FILING).distinct(), done, FILING)
+
+
+@query(sql.COMPLETE)
+def cache_complete(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "manifest")
+    entities = rows.select("club", F.lit(True).alias("chosen"))
+    return cache.complete(table(spark, d, "ocr_pages").select("club"), entities, rows.select("club", "transaction_id", "bytes").distinct())
+
+
+# Report -----------------------------------------------------------------------------------------
+
+
+@query(sql.ITEMS_TABLE)
+def items_table(spark: SparkSession, d: str) -> DataFrame:
+    return report.items_table(items(spark, d), ENTITY)
+
+
+@query(sql.ALIGNMENT)
+def alignment(spark: SparkSession, d: str) -> DataFrame:
+    return report.alignment(items(spark, d), table(spark, d, "drift"), entity=ENTITY)
+
+
+@query(sql.VALIDATION)
+def validation_rows(spark: SparkSession, d: str) -> DataFrame:
+    return report.validation_rows(items(spark, d), ENTITY)
+
+
+@query(sql.CONFIDENCE)
+def confidence_counts(spark: SparkSession, d: str) -> DataFrame:
+    return report.confidence_counts(items(spark, d))
