@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import cut
+
 # Letters of other scripts that print like a Latin letter.
 LOOKALIKE_LETTERS = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
@@ -233,6 +235,7 @@ def alike_pairs(prints: DataFrame, key: str = "doc_id") -> DataFrame:
     Exact copies are grouped first: only the distinct stored forms of a printed form are paired, and
     each pair of forms is then expanded into its members, so the work is that of the result.
     """
+    prints = cut(prints)
     forms = prints.groupBy("printed", "stored").agg(F.count("*").alias("n"))
     several = forms.groupBy("printed").agg(F.count("*").alias("forms")).filter("forms > 1").select("printed")
     members = prints.join(several, "printed", "left_semi")
