@@ -72,6 +72,7 @@ def normal_texts(reports: DataFrame, key: str, text: str, span: int) -> DataFram
 
 def fingerprints(texts: DataFrame, span: int, gram: int) -> DataFrame:
     """(id, hash, pos) of the stored grams."""
+    reach = span - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = inverse = np.zeros(0, np.uint64)
@@ -84,6 +85,11 @@ def fingerprints(texts: DataFrame, span: int, gram: int) -> DataFrame:
                     powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]))
                     inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)]))
                 at, h = chosen(codes, span, gram, powers, inverse)
+                if len(np.unique(h)) < len(h):
+                    # of equal grams with equal surroundings one place will do
+                    seen: set[tuple[int, str]] = set()
+                    one = [i for i, (p, v) in enumerate(zip(at.tolist(), h.tolist())) if (c := (v, x[max(0, p - reach) : p + span])) not in seen and not seen.add(c)]
+                    at, h = at[one], h[one]
                 ids.append(np.full(len(at), k, np.int64))
                 hashes.append(h.view(np.int64))
                 places.append(at.astype(np.int32))
@@ -93,53 +99,59 @@ def fingerprints(texts: DataFrame, span: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, hash long, pos int")
 
 
-def shared_places(reports: DataFrame, key: str, text: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """Verified collisions: (a, b, pos_a, pos_b, back, ahead), a < b.
-
-    The texts agree from ``pos - back`` to ``pos + gram + ahead`` (``back`` and ``ahead`` counted up to
-    ``span - gram``), which is at least ``span`` characters. Every common run of ``span`` characters
-    is covered by such stretches.
+def chains(prints: DataFrame, gram: int) -> DataFrame:
+    """(a, b, shift, first, last), a < b: common stretches seen through the stored grams.
 
-    Only 20-byte fingerprints are shuffled for all texts. The characters around a gram are fetched
-    only for grams that stand in two texts, and equal surroundings within one text count once, so a
-    text that repeats itself does not multiply.
+    Grams of two texts at one shift whose starts are at most ``gram`` apart leave no gap, so the texts
+    agree from ``first`` to ``last + gram`` of text a (and ``shift`` before in b).
     """
+    a = prints.select("hash", F.col("id").alias("a"), F.col("pos").alias("pos_a"))
+    b = prints.select("hash", F.col("id").alias("b"), F.col("pos").alias("pos_b"))
+    met = a.join(b, "hash").filter("a < b").groupBy("a", "b", (F.col("pos_a") - F.col("pos_b")).alias("shift")).agg(F.sort_array(F.collect_list("pos_a")).alias("at"))
+    breaks = F.expr(f"filter(sequence(0, size(at) - 1), i -> i = 0 or at[i] - at[i - 1] > {gram})")
+    met = met.withColumn("breaks", breaks)
+    each = F.expr("transform(breaks, (s, k) -> struct(at[s] as first, at[coalesce(get(breaks, k + 1), size(at)) - 1] as last))")
+    return met.select("a", "b", "shift", F.explode(each).alias("c")).select("a", "b", "shift", "c.first", "c.last")
+
+
+def extended(found: DataFrame, texts: DataFrame, span: int, gram: int) -> DataFrame:
+    """``found`` chains with ``back`` and ``ahead``: equal characters before the first and after the
+    last gram, counted up to ``span - gram``. The characters are fetched only around those grams."""
     reach = span - gram
-    texts = normal_texts(reports, key, text, span)
-    prints = cut(fingerprints(texts, span, gram))
-    twice = prints.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("hash")
-    wanted = prints.join(twice, "hash", "left_semi").groupBy("id").agg(F.collect_set(F.struct("pos", "hash")).alias("at"))
-    places = (
-        texts.dropDuplicates(["id"])
-        .join(wanted, "id")
-        .select("id", "text", F.explode("at").alias("at"))
-        .select(
-            "id",
-            "at.hash",
-            F.xxhash64(F.expr(f"substring(text, at.pos + 1, {gram})")).alias("check"),
-            F.expr(f"substring(text, greatest(at.pos - {reach}, 0) + 1, least(at.pos, {reach}))").alias("before"),
-            F.expr(f"substring(text, at.pos + 1 + {gram}, {reach})").alias("after"),
-            "at.pos",
-        )
+    ends = F.array(F.struct(F.col("a").alias("id"), F.col("first").alias("pos")), F.struct(F.col("a").alias("id"), F.col("last").alias("pos")), F.struct(F.col("b").alias("id"), (F.col("first") - F.col("shift")).alias("pos")), F.struct(F.col("b").alias("id"), (F.col("last") - F.col("shift")).alias("pos")))
+    wanted = found.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.collect_set("e.pos").alias("at"))
+    near = (
+        texts.join(wanted, "id")
+        .select("id", "text", F.explode("at").alias("pos"))
+        .select("id", "pos", F.expr(f"substring(text, greatest(pos - {reach}, 0) + 1, least(pos, {reach}))").alias("before"), F.expr(f"substring(text, pos + 1 + {gram}, {reach})").alias("after"))
+        .distinct()
     )
-    places = cut(places.groupBy("id", "hash", "check", "before", "after").agg(F.min("pos").alias("pos")))
-    side = lambda s: places.select(F.col("id").alias(s), "hash", "check", F.col("before").alias(f"before_{s}"), F.col("after").alias(f"after_{s}"), F.col("pos").alias(f"pos_{s}"))
-    met = side("a").join(side("b"), ["hash", "check"]).filter("a < b")
-    # the longest common end of the texts before, and the longest common start of those after, the gram
-    back = f"aggregate(sequence(1, {reach}), 0, (n, i) -> if(n = i - 1 and i <= least(length(before_a), length(before_b)) and substring(before_a, length(before_a) - i + 1, 1) = substring(before_b, length(before_b) - i + 1, 1), i, n))"
-    ahead = f"aggregate(sequence(1, {reach}), 0, (n, i) -> if(n = i - 1 and i <= least(length(after_a), length(after_b)) and substring(after_a, i, 1) = substring(after_b, i, 1), i, n))"
-    met = met.withColumn("back", F.expr(f"if(before_a = before_b, length(before_a), {back})"))
-    met = met.withColumn("ahead", F.expr(f"if(after_a = after_b, length(after_a), {ahead})"))
-    return met.filter(F.col("back") + F.col("ahead") >= reach).select("a", "b", "pos_a", "pos_b", "back", "ahead")
+    near = cut(near)
+    out = found.withColumn("first_b", F.col("first") - F.col("shift")).withColumn("last_b", F.col("last") - F.col("shift"))
+    for end, text, at in (("before", "a", "first"), ("before", "b", "first_b"), ("after", "a", "last"), ("after", "b", "last_b")):
+        out = out.join(near.select(F.col("id").alias(text), F.col("pos").alias(at), F.col(end).alias(f"{end}_{text}")), [text, at])
+    steps = F.expr(f"sequence(1, {reach})")
+    back = F.size(F.filter(steps, lambda i: (i <= F.least(F.length("before_a"), F.length("before_b"))) & (F.right("before_a", i) == F.right("before_b", i))))
+    ahead = F.size(F.filter(steps, lambda i: (i <= F.least(F.length("after_a"), F.length("after_b"))) & (F.left("after_a", i) == F.left("after_b", i))))
+    out = out.withColumn("back", F.when(F.col("before_a") == F.col("before_b"), F.length("before_a")).otherwise(back))
+    out = out.withColumn("ahead", F.when(F.col("after_a") == F.col("after_b"), F.length("after_a")).otherwise(ahead))
+    return out.select("a", "b", "shift", "first", "last", "back", "ahead")
 
 
 def span_pairs(reports: DataFrame, key: str = "section_id", text: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(section_a, section_b): all pairs of records with a common run of ``span`` characters.
 
-    NULL, empty and shorter texts have no pair; a repeated record counts once.
+    NULL, empty and shorter texts have no pair; a repeated record counts once. For all texts only
+    20-byte fingerprints are shuffled. A chain of grams of ``span`` characters settles its pair; the
+    characters are compared only for pairs that have nothing but shorter chains.
     """
-    met = shared_places(reports, key, text, span, gram)
-    return met.select(F.col("a").alias("section_a"), F.col("b").alias("section_b")).distinct()
+    reach = span - gram
+    texts = normal_texts(reports, key, text, span)
+    found = cut(chains(cut(fingerprints(texts, span, gram).distinct()), gram))
+    sure = found.filter(F.col("last") - F.col("first") >= reach).select("a", "b").distinct()
+    rest = extended(found.join(sure, ["a", "b"], "left_anti"), texts, span, gram)
+    rest = rest.filter(F.col("last") - F.col("first") + F.col("back") + F.col("ahead") >= reach).select("a", "b")
+    return sure.unionByName(rest).select(F.col("a").alias("section_a"), F.col("b").alias("section_b")).distinct()
 
 
 def span_shares(reports: DataFrame, key: str = "section_id", text: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -148,11 +160,15 @@ def span_shares(reports: DataFrame, key: str = "section_id", text: str = "text",
     ``shared_chars`` counts the characters (of the collapsed text) inside runs of at least ``span``
     characters that stand in another record. Records without such a run have 0.
     """
-    met = cut(shared_places(reports, key, text, span, gram))
-    both = met.select(F.col("a").alias(key), F.col("b").alias("other"), F.col("pos_a").alias("pos"), "back", "ahead").unionByName(
-        met.select(F.col("b").alias(key), F.col("a").alias("other"), F.col("pos_b").alias("pos"), "back", "ahead")
+    texts = normal_texts(reports, key, text, span)
+    met = extended(cut(chains(cut(fingerprints(texts, span, gram).distinct()), gram)), texts, span, gram)
+    met = cut(met.filter(F.col("last") - F.col("first") + F.col("back") + F.col("ahead") >= span - gram))
+    low, high = F.col("first") - F.col("back"), F.col("last") + F.lit(gram) + F.col("ahead")
+    both = met.select(F.col("a").alias(key), F.col("b").alias("other"), low.alias("low"), high.alias("high")).unionByName(
+        met.select(F.col("b").alias(key), F.col("a").alias("other"), (low - F.col("shift")).alias("low"), (high - F.col("shift")).alias("high"))
     )
-    stretches = both.groupBy(key, "pos").agg((F.col("pos") - F.max("back")).alias("low"), (F.col("pos") + gram + F.max("ahead")).alias("high"))
+    # a text has few distinct stretches, however many partners share them
+    stretches = both.groupBy(key, "low").agg(F.max("high").alias("high"))
     merged = stretches.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("s"))
     merged = merged.select(key, F.expr("aggregate(s, struct(0 as n, 0 as done), (x, r) -> struct(x.n + greatest(r.high - greatest(r.low, x.done), 0) as n, greatest(x.done, r.high) as done)).n").alias("shared"))
     partners = both.select(key, "other").distinct().groupBy(key).agg(F.count("*").alias("n_partners"))
