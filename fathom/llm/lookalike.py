@@ -121,7 +121,9 @@ def representatives(classes: list[list[str]], counts: dict[str, int] | None = No
         if counts and all(len(x) == 1 for x in group):
             best = max(group, key=lambda x: (counts.get(x, 0), x == best))
         out.update({x: best for x in group if x != best})
-    return out
+    # strings meet text whose single characters are already rewritten
+    spell = lambda s: "".join(out.get(c, c) for c in s) if len(s) > 1 else s
+    return {spell(k): spell(v) for k, v in out.items()}
 
 
 def compile_fold(mapping: dict[str, str]) -> tuple[str, dict[str, str]]:
@@ -151,12 +153,13 @@ def folder(pattern: str, mapping: dict[str, str]) -> Callable[[str], str]:
     decomposed, rewritten greedily by the table and composed again.
     """
     suspect = re.compile(pattern)
+    ascii_stays = all(not k.isascii() for k in mapping)
     table = str.maketrans({k: v for k, v in mapping.items() if len(k) == 1})
     strings = sorted((k for k in mapping if len(k) > 1), key=len, reverse=True)
     automaton = re.compile("|".join(map(re.escape, strings))) if strings else None
 
     def fold(text: str) -> str:
-        if text.isascii() or suspect.search(text) is None:
+        if ascii_stays and text.isascii() or suspect.search(text) is None:
             return text
         text = unicodedata.normalize("NFD", text).translate(table)
         if automaton is not None:
@@ -178,11 +181,11 @@ def code_point_counts(docs: DataFrame, text: str = "text") -> dict[str, int]:
         total = np.zeros(0x110000, dtype=np.int64)
         for batch in batches:
             joined = "".join(x for x in batch.column(0).to_pylist() if x)
-            if not joined.isascii():
-                codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-                codes = codes[codes >= 0x80]
-                seen = np.bincount(codes)
-                total[: len(seen)] += seen
+            if joined.isascii():
+                seen = np.bincount(np.frombuffer(joined.encode("ascii"), dtype=np.uint8))
+            else:
+                seen = np.bincount(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4"))
+            total[: len(seen)] += seen
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"code": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
