@@ -101,7 +101,8 @@ def tail_report(stats: DataFrame, group: str, low: float = 0.05, high: float = 0
     """
     cuts = ", ".join(f"{k / PERCENTILES}D" for k in range(1, PERCENTILES))
     parts = stats.groupBy(F.col(group).alias("_g")).agg(*[F.expr(f"kll_sketch_agg_double({n}, 800)").alias(n) for n in names])
-    parts = parts.select("_g", *[F.expr(f"kll_sketch_get_quantile_double({n}, array({cuts}))").alias(f"_{n}") for n in names])
+    # an empty sketch (a statistic that is NULL throughout a group) has no cut points
+    parts = parts.select("_g", *[F.expr(f"if(kll_sketch_get_n_double({n}) > 0, kll_sketch_get_quantile_double({n}, array({cuts})), null)").alias(f"_{n}") for n in names])
     out = stats.join(parts, stats[group].eqNullSafe(parts["_g"]), "left").drop("_g")
     for n in names:
         below = F.expr(f"size(filter(_{n}, q -> q < {n}))") / F.lit(float(PERCENTILES))
