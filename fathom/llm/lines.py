@@ -22,7 +22,7 @@ from ..functions.frames import cut
 
 MIN_PAGES = 5
 MIN_SHARE = 5  # at least one page in so many
-SHARD = 50_000  # pages of a source in one suffix array
+SHARD = 8_000  # pages of a source in one suffix array
 
 
 def line_list(text: str) -> list[str]:
