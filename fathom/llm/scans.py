@@ -24,7 +24,10 @@ FREQUENT = 2e-6
 # How often a right word is misread in one way, at most, in addition to one chance case.
 MISREAD_RATE = 0.004
 EDIT_COST = 6.0
-LEAST_RIGHT = 8
+LEAST_RIGHT = 30
+# The same for a reading with letter sequences that are rare for a word as frequent as the right one:
+# a running line misread once stands misread on many pages.
+RARE_RATE, RARE_LETTERS = 0.1, 0.2
 # Marks that a scan leaves at the end of a broken line.
 MARKS = "-‐¬\xad"
 # What characters are read as, (right, read).
@@ -66,7 +69,8 @@ def line_joints(text: str) -> tuple[list[tuple[str, str]], str]:
 
 def bare(token: str) -> str:
     """Lower case without outer punctuation."""
-    return token.strip(".,;:()[]\"'’?!" + MARKS + "–—*").lower()
+    outer = ".,;:()[]\"'’?" + MARKS + "–—*"
+    return token.rstrip(outer + "!").lstrip(outer).lower()
 
 
 def lexicon(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -92,26 +96,69 @@ def lexicon(pages: DataFrame, text: str = "text") -> DataFrame:
     return pages.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def letter_groups(word: str) -> set[str]:
+    """Groups of three letters with word ends, over a-z and one sign for all other letters."""
+    w = "^" + re.sub("[^a-z]", "*", word) + "$"
+    return {w[i : i + 3] for i in range(len(w) - 2)}
+
+
+def group_counts(words: DataFrame) -> dict[str, int]:
+    """Occurrences of each letter group in the collection: at most 29 ** 3 numbers."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[str] = Counter()
+        for batch in batches:
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for g in letter_groups(w):
+                    total[g] += n
+        yield pa.RecordBatch.from_pydict({"g": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+
+    return {r["g"]: r["n"] for r in words.mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+
+
 def misread_words(words: DataFrame) -> DataFrame:
-    """(wrong, word): words of the lexicon that are a misread form of a far more frequent one."""
+    """(wrong, word): words of the lexicon that are a misread form of a far more frequent one.
+
+    What one chance misread explains is a misread; a word that is seen more often than that must also
+    hold letter groups that are rare beside the right word, or it is a word of its own.
+    """
+    groups = group_counts(words)
 
     def undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, n, b = [], [], []
+            a, n, b, rare = [], [], [], []
             for w, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if len(w) > 3 and w.isalpha():
+                    own = letter_groups(w)
                     for r in readings(w):
                         a.append(w)
                         n.append(k)
                         b.append(r)
-            yield pa.RecordBatch.from_pydict({"wrong": pa.array(a, pa.string()), "k": pa.array(n, pa.int64()), "word": pa.array(b, pa.string())})
+                        rare.append(min((groups[g] for g in own - letter_groups(r)), default=1 << 62))
+            yield pa.RecordBatch.from_pydict({"wrong": pa.array(a, pa.string()), "k": pa.array(n, pa.int64()), "word": pa.array(b, pa.string()), "rarest": pa.array(rare, pa.int64())})
 
-    tried = words.mapInArrow(undo, "wrong string, k long, word string")
+    tried = words.mapInArrow(undo, "wrong string, k long, word string, rarest long")
     known = words.filter(F.col("n") >= LEAST_RIGHT)
-    hits = tried.join(known, "word").filter(F.col("k") <= 1 + MISREAD_RATE * F.col("n"))
+    chance = F.col("k") <= 1 + MISREAD_RATE * F.col("n")
+    odd = (F.col("k") <= RARE_RATE * F.col("n")) & (F.col("rarest") <= RARE_LETTERS * F.col("n"))
+    hits = tried.join(known, "word").filter(chance | odd)
     return hits.groupBy("wrong").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
 
 
+def joined_misread(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Broken words whose joined pieces are no word, read with one misread letter."""
+
+    def undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(t, r, "split", w, x) for t, r, w, joined in zip(*(c.to_pylist() for c in batch.columns)) if joined.isalpha() for x in readings(joined)]
+            columns = list(zip(*out)) or [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["tab", "rec_id", "kind", "wrong", "word"])
+
+    rest = found.filter("kind = 'split' and edits = 0").join(words.select("word"), "word", "left_anti").select("tab", "rec_id", "wrong", "word")
+    return rest.mapInArrow(undo, "tab string, rec_id long, kind string, wrong string, word string").withColumn("edits", F.lit(1)).join(words.filter(F.col("n") >= LEAST_RIGHT), "word")
+
+
 def suspects(records: DataFrame, frequent: list[str]) -> DataFrame:
     """(tab, rec_id, kind, wrong, word, edits): all readings that the lexicon has to judge.
 
@@ -197,7 +244,7 @@ def damage(records: DataFrame, pages: DataFrame) -> DataFrame:
     found = cut(suspects(records, frequent).distinct())
     cost = lambda n, edits: edits * EDIT_COST - F.ln(n.cast("double"))
     judged = found.filter(F.col("kind").isin("split", "misread")).join(words, "word")
-    judged = judged.filter((F.col("edits") == 0) | (F.col("n") >= LEAST_RIGHT))
+    judged = judged.unionByName(joined_misread(found, words))
     best = judged.groupBy("tab", "rec_id", "kind", "wrong").agg(F.min(F.struct(cost(F.col("n"), F.col("edits")).alias("cost"), "word")).alias("best"))
     hyphened = words.filter(F.col("word").contains("-")).select(F.col("word").alias("wrong"), F.col("n").alias("n_hyphened"))
     best = best.join(hyphened, "wrong", "left").filter(F.coalesce(F.col("best.cost") < cost(F.col("n_hyphened"), F.lit(0)), F.lit(True)))
