@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .frames import let
+
 # Regular expressions run in Java. (?iuU) gives them the Unicode classes and case rules that the
 # expected results assume; (?d) lets only \n end a line.
 FLAGS = "(?iuU)"
@@ -28,7 +30,7 @@ HEADING_RULES: list[tuple[str, str]] = [
     ("contents", r"contents"),
 ]
 # A line without any of these words is no heading; one cheap test spares the rules.
-HEADING_WORDS = r"strategic|director|auditor|profit|income|comprehensive|notes|balance|position|cash|changes|information|officers|contents"
+HEADING_WORDS = ["report", "profit", "income", "comprehensive", "notes", "sheet", "position", "cash", "changes", "information", "advis", "contents"]
 DOT_LEADER = r"\.{3,}|\s\.\s\.\s"
 # Common words of the text-quality test.
 COMMON_WORDS = "the and of to in for a is on as at by with that from are was were be this group company year its has have".split()
@@ -74,7 +76,8 @@ def classify_heading(line: Column) -> Column:
     for name, pattern in HEADING_RULES:
         hit = core.rlike(FLAGS + r"\A(?:" + pattern + r")\z")
         rules = F.when(hit, name) if rules is None else rules.when(hit, name)
-    likely = line.rlike(FLAGS + HEADING_WORDS) & F.length(strip(line)).between(3, 90) & ~strip(line).rlike("(?U)" + DOT_LEADER)
+    words = let(F.lower(line), lambda low: F.exists(F.array(*map(F.lit, HEADING_WORDS)), lambda w: F.contains(low, w)))
+    likely = words & F.length(strip(line)).between(3, 90) & ~strip(line).rlike("(?U)" + DOT_LEADER)
     return F.when(likely, rules)
 
 

@@ -38,7 +38,7 @@ split as (
 ),
 numbered as (select *, trim(line, ' ' || chr(9) || chr(13)) as t from split where not (line_no = n - 1 and line = '')),
 cores as (
-  select *, case when length(t) between 3 and 90 and regexp_matches(line, '(?i){HEADING_WORDS}') and not regexp_matches(t, '\.{{3,}}|\s\.\s\.\s') then
+  select *, case when length(t) between 3 and 90 and regexp_matches(line, '(?i){"|".join(HEADING_WORDS)}') and not regexp_matches(t, '\.{{3,}}|\s\.\s\.\s') then
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^\d{{1,2}}[.)]?\s+', ''), '\s\d{{1,3}}$', ''), '(?i)[\s(\[]*\bcontinued\b[)\]\s]*$', ''), '^[^0-9A-Za-z(]+|[^0-9A-Za-z)]+$', '', 'g') end as core
   from numbered
 ),

@@ -12,7 +12,7 @@ QUICK = ["latest_pages", "page_quality", "dense_pages", "cross_check", "series_c
 
 def test_names_and_sql_belong_together():
     queries, oracles = entry_point.queries(), entry_point.oracle_sql()
-    assert set(oracles) <= set(queries) and "drift" in queries and len(queries) > 40
+    assert set(oracles) <= set(queries) and "drift" in queries and len(queries) > 30
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
