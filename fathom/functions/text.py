@@ -58,7 +58,7 @@ def lines(text: Column) -> Column:
 
 def strip_banner(text: Column) -> Column:
     """Empties e-signing banner lines."""
-    return F.regexp_replace(text, BANNER, "")
+    return F.when(F.contains(F.lower(text), F.lit("docusign")), F.regexp_replace(text, BANNER, "")).otherwise(text)
 
 
 def heading_core(line: Column) -> Column:
@@ -71,14 +71,16 @@ def heading_core(line: Column) -> Column:
 
 def classify_heading(line: Column) -> Column:
     """The section that a line opens, or NULL for body text (and for NULL)."""
-    core = heading_core(line)
-    rules = None
-    for name, pattern in HEADING_RULES:
-        hit = core.rlike(FLAGS + r"\A(?:" + pattern + r")\z")
-        rules = F.when(hit, name) if rules is None else rules.when(hit, name)
+
+    def rules(core: Column) -> Column:
+        out = F
+        for name, pattern in HEADING_RULES:
+            out = out.when(core.rlike(FLAGS + r"\A(?:" + pattern + r")\z"), name)
+        return out
+
     words = let(F.lower(line), lambda low: F.exists(F.array(*map(F.lit, HEADING_WORDS)), lambda w: F.contains(low, w)))
-    likely = words & F.length(strip(line)).between(3, 90) & ~strip(line).rlike("(?U)" + DOT_LEADER)
-    return F.when(likely, rules)
+    shape = let(strip(line), lambda x: F.length(x).between(3, 90) & ~x.rlike("(?U)" + DOT_LEADER))
+    return F.when(words & shape, let(heading_core(line), rules))
 
 
 def is_combined_heading(line: Column) -> Column:
