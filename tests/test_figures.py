@@ -57,6 +57,6 @@ def test_amounts_are_no_units_and_strict_units_skip_words(spark):
 
 
 def test_note_references_and_junk(spark):
-    assert one(spark, "Amortisation (note 11) 5", G.strip_note_references) == "Amortisation  5"
+    assert one(spark, "Amortisation (note 11) 5", G.strip_note_references) == "Amortisation   5"
     assert one(spark, "-• Wages", G.strip_leading_junk) == "Wages"
     assert [one(spark, y, G.is_year) for y in ("2025", "1899", "20255")] == [True, False, False]
