@@ -70,8 +70,12 @@ def normal_texts(reports: DataFrame, key: str, text: str, span: int) -> DataFram
     return reports.select(F.col(key).cast("long"), text).mapInArrow(run, "id long, text string")
 
 
-def fingerprints(texts: DataFrame, span: int, gram: int) -> DataFrame:
-    """(id, hash, pos) of the stored grams."""
+def fingerprints(texts: DataFrame, span: int, gram: int, one_place: bool = True) -> DataFrame:
+    """(id, hash, pos) of the stored grams.
+
+    ``one_place``: of equal grams with equal surroundings in one text keep the first. Enough to find
+    pairs; to measure what is covered, every place counts.
+    """
     reach = span - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +89,7 @@ def fingerprints(texts: DataFrame, span: int, gram: int) -> DataFrame:
                     powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]))
                     inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)]))
                 at, h = chosen(codes, span, gram, powers, inverse)
-                if len(np.unique(h)) < len(h):
+                if one_place and len(np.unique(h)) < len(h):
                     # of equal grams with equal surroundings one place will do
                     seen: set[tuple[int, str]] = set()
                     one = [i for i, (p, v) in enumerate(zip(at.tolist(), h.tolist())) if (c := (v, x[max(0, p - reach) : p + span])) not in seen and not seen.add(c)]
@@ -161,7 +165,7 @@ def span_shares(reports: DataFrame, key: str = "section_id", text: str = "text",
     characters that stand in another record. Records without such a run have 0.
     """
     texts = normal_texts(reports, key, text, span)
-    met = extended(cut(chains(cut(fingerprints(texts, span, gram).distinct()), gram)), texts, span, gram)
+    met = extended(cut(chains(cut(fingerprints(texts, span, gram, one_place=False).distinct()), gram)), texts, span, gram)
     met = cut(met.filter(F.col("last") - F.col("first") + F.col("back") + F.col("ahead") >= span - gram))
     low, high = F.col("first") - F.col("back"), F.col("last") + F.lit(gram) + F.col("ahead")
     both = met.select(F.col("a").alias(key), F.col("b").alias("other"), low.alias("low"), high.alias("high")).unionByName(
