@@ -4,8 +4,9 @@ Lines get identifiers; those that stand on too few pages cannot be part of a rep
 into separators. The remaining identifier sequences of a source are concatenated, equal sequences
 once with their number of pages, and searched with suffix arrays: each interval of a common prefix is
 a repeated block of lines, counted in pages. A source larger than ``SHARD`` pages is split; a block
-that is frequent in the source is, in proportion, frequent in one of its shards, so the union of the
-shards' blocks is complete, and one exact count over all shards follows.
+that is frequent in the source is, in proportion, frequent in one of its shards, where it is a block
+or, if the same lines always follow it there, the beginning of one. So the union of the shards'
+blocks and their beginnings is complete, and one exact count over all shards follows.
 """
 
 from __future__ import annotations
@@ -137,9 +138,10 @@ def blocks(pages: DataFrame, source: str = "club", key: str = "page_id", text: s
     """(repeated blocks, where their lines can be read).
 
     Blocks: (source_id, block, n_pages), on at least ``min_pages`` pages and a ``min_share``-th of all
-    pages of the source; a page with NULL or empty text counts in the total. Lines: (line_id, page)
-    with one page that holds the line. At most ``min_share`` times the mean number of lines of a page
-    can qualify in a source, so a source's set of lines is small whatever its size.
+    pages of the source; a page with NULL or empty text counts in the total. Of a source over ``SHARD``
+    pages the beginnings of a block are listed, too. Lines: (line_id, page) with one page that holds
+    the line. At most ``min_share`` times the mean number of lines of a page can qualify in a source,
+    so a source's set of lines is small whatever its size.
     """
     listed = cut(page_lines(pages, source, key, text))
     totals = listed.groupBy("source_id").agg(F.count("*").alias("pages"))
@@ -158,7 +160,9 @@ def blocks(pages: DataFrame, source: str = "club", key: str = "page_id", text: s
         need = max(min_pages, part["pages"].iloc[0] / min_share)
         need *= sum(weights) / part["signed_pages"].iloc[0]
         sequences = [[None if x is None or x != x else int(x) for x in seq] for seq in part["seq"].map(list)]
-        found = repeated_blocks(sequences, weights, need - 1e-9)
+        found = set(repeated_blocks(sequences, weights, need - 1e-9))
+        if part["pages"].iloc[0] > SHARD:  # what follows a block here need not follow it in the other shards
+            found = {b[:i] for b in found for i in range(1, len(b) + 1)}
         return pd.DataFrame({"source_id": part["source_id"].iloc[0], "block": [list(b) for b in found]})
 
     # identifiers travel as text: pandas would turn a list of integers with gaps into floats

@@ -109,3 +109,11 @@ def test_split_sources_give_the_same_lines(spark, monkeypatch):
     whole = {r["line"] for r in L.repeated_lines(pages(spark, rows)).collect()}
     monkeypatch.setattr(L, "SHARD", 9)
     assert {r["line"] for r in L.repeated_lines(pages(spark, rows)).collect()} == whole == {"Head", "Sub", "Foot"}
+
+
+def test_lines_followed_by_others_in_one_shard_only(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARD", 80)
+    kinds = ["Lead\nMore"] * 30 + ["Lead"] * 20 + ["Xtra"] * 80 + ["More"] * 20 + ["own"] * 90
+    rows = [(f"c{c}", 1000 * c + i, f"{x} {i}" if x == "own" else x) for c in range(40) for i, x in enumerate(kinds)]
+    got = {(r["club"], r["line"]) for r in L.repeated_lines(pages(spark, rows)).collect()}
+    assert got == {(f"c{c}", x) for c in range(40) for x in ("Lead", "More", "Xtra")}
