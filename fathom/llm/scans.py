@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from ..functions.frames import cut
 
 FREQUENT = 2e-6
-# How often a right word is misread in one way, at most, in addition to one chance case.
-MISREAD_RATE = 0.004
+# How often a right word is misread in one way by chance, at most.
+MISREAD_RATE = 0.01
 EDIT_COST = 6.0
 LEAST_RIGHT = 30
-# The same for a reading with letter sequences that are rare for a word as frequent as the right one:
+# The same for a form with a letter group that hardly stands in any other word, as a share of all words:
 # a running line misread once stands misread on many pages.
-RARE_RATE, RARE_LETTERS = 0.1, 0.2
+RARE_RATE, RARE_LETTERS = 0.15, 45e-6
 # Marks that a scan leaves at the end of a broken line.
 MARKS = "-‐¬\xad"
 # What characters are read as, (right, read).
@@ -116,11 +116,12 @@ def group_counts(words: DataFrame) -> dict[str, int]:
     return {r["g"]: r["n"] for r in words.mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
 
 
-def misread_words(words: DataFrame) -> DataFrame:
+def misread_words(words: DataFrame, total: int) -> DataFrame:
     """(wrong, word): words of the lexicon that are a misread form of a far more frequent one.
 
-    What one chance misread explains is a misread; a word that is seen more often than that must also
-    hold letter groups that are rare beside the right word, or it is a word of its own.
+    What chance explains is a misread; a word that is seen more often than that must also hold a letter
+    group that is rare in the other words, or it is a word of its own. Both are shares (of the right
+    word, of all ``total`` words), which stay as they are when the collection grows.
     """
     groups = group_counts(words)
 
@@ -134,13 +135,13 @@ def misread_words(words: DataFrame) -> DataFrame:
                         a.append(w)
                         n.append(k)
                         b.append(r)
-                        rare.append(min((groups[g] for g in own - letter_groups(r)), default=1 << 62))
+                        rare.append(min((groups[g] - k for g in own - letter_groups(r)), default=1 << 62))
             yield pa.RecordBatch.from_pydict({"wrong": pa.array(a, pa.string()), "k": pa.array(n, pa.int64()), "word": pa.array(b, pa.string()), "rarest": pa.array(rare, pa.int64())})
 
     tried = words.mapInArrow(undo, "wrong string, k long, word string, rarest long")
     known = words.filter(F.col("n") >= LEAST_RIGHT)
-    chance = F.col("k") <= 1 + MISREAD_RATE * F.col("n")
-    odd = (F.col("k") <= RARE_RATE * F.col("n")) & (F.col("rarest") <= RARE_LETTERS * F.col("n"))
+    chance = F.col("k") <= MISREAD_RATE * F.col("n")
+    odd = (F.col("k") <= RARE_RATE * F.col("n")) & (F.col("rarest") <= RARE_LETTERS * total)
     hits = tried.join(known, "word").filter(chance | odd)
     return hits.groupBy("wrong").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
 
@@ -237,8 +238,8 @@ def damage(records: DataFrame, pages: DataFrame) -> DataFrame:
     and empty texts give none.
     """
     words = cut(lexicon(pages))
-    wrong = cut(misread_words(words))
     total = words.agg(F.sum("n")).first()[0] or 0
+    wrong = cut(misread_words(words, total))
     often = words.filter(F.col("n") >= max(2.0, FREQUENT * total)).join(wrong.select(F.col("wrong").alias("word")), "word", "left_anti")
     frequent = [r[0] for r in often.select("word").collect()]
     found = cut(suspects(records, frequent).distinct())
