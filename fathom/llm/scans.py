@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from ..functions.frames import cut
 
 FREQUENT = 2e-6
+# Words of up to SHORT characters are near to many others: a figure at their edge may number something
+# and is a letter only if the word is a common one.
+SHORT, COMMON = 3, 1e-4
 # How often a right word is misread in one way by chance, at most.
 MISREAD_RATE = 0.01
 EDIT_COST = 6.0
@@ -121,7 +124,8 @@ def misread_words(words: DataFrame, total: int) -> DataFrame:
 
     What chance explains is a misread; a word that is seen more often than that must also hold a letter
     group that is rare in the other words, or it is a word of its own. Both are shares (of the right
-    word, of all ``total`` words), which stay as they are when the collection grows.
+    word, of all ``total`` words), which stay as they are when the collection grows. Short words are
+    near to many others and must pass as chance and by their letter groups.
     """
     groups = group_counts(words)
 
@@ -129,9 +133,11 @@ def misread_words(words: DataFrame, total: int) -> DataFrame:
         for batch in batches:
             a, n, b, rare = [], [], [], []
             for w, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(w) > 3 and w.isalpha():
+                if len(w) > 1 and w.isalpha():
                     own = letter_groups(w)
                     for r in readings(w):
+                        if len(r) == 1:
+                            continue
                         a.append(w)
                         n.append(k)
                         b.append(r)
@@ -142,7 +148,7 @@ def misread_words(words: DataFrame, total: int) -> DataFrame:
     known = words.filter(F.col("n") >= LEAST_RIGHT)
     chance = F.col("k") <= MISREAD_RATE * F.col("n")
     odd = (F.col("k") <= RARE_RATE * F.col("n")) & (F.col("rarest") <= RARE_LETTERS * total)
-    hits = tried.join(known, "word").filter(chance | odd)
+    hits = tried.join(known, "word").filter(F.when(F.length("wrong") <= SHORT, chance & odd).otherwise(chance | odd))
     return hits.groupBy("wrong").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
 
 
@@ -160,29 +166,37 @@ def joined_misread(found: DataFrame, words: DataFrame) -> DataFrame:
     return rest.mapInArrow(undo, "tab string, rec_id long, kind string, wrong string, word string").withColumn("edits", F.lit(1)).join(words.filter(F.col("n") >= LEAST_RIGHT), "word")
 
 
-def suspects(records: DataFrame, frequent: list[str]) -> DataFrame:
+def suspects(records: DataFrame, frequent: list[str], common: list[str]) -> DataFrame:
     """(tab, rec_id, kind, wrong, word, edits): all readings that the lexicon has to judge.
 
     ``records``: (tab, rec_id, page, text). Words among the frequent need no decoding. Lines of which
-    less than a third of the other words are known are rubbish and are not decoded.
+    less than a third of the other words are known are rubbish and are not decoded. For short words a
+    third of all tokens must be known words of three or more letters, and the reading must be frequent,
+    or ``common`` if a figure is at its edge.
     """
-    known = records.sparkSession.sparkContext.broadcast(frozenset(frequent))
+    known = records.sparkSession.sparkContext.broadcast((frozenset(frequent), frozenset(common)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = known.value
+        words, common = known.value
         read = [r for _, r in CONFUSIONS]
         letters_read = [r for r in read if r.isalpha()]
         allowed = re.compile(r"[^\W\d_]*(?:[10 56@!][^\W\d_]*)+".replace(" ", ""))
         state: dict[str, tuple[int, str]] = {}  # 0 known, 1 no word, 2 unknown word, 3 perhaps misread, 4 with symbols
 
+        def spelled(w: str) -> set[str]:
+            found = readings(w, symbols_only=True)
+            if len(w) > SHORT:
+                return found
+            return {r for r in found if len(r) > 1 and r in (common if w[0].isdigit() or w[-1].isdigit() else words)}
+
         def judge(token: str) -> tuple[int, str]:
             w = bare(token)
             if w in words:
                 return 0, w
             if w.isalpha():
-                return (3 if len(w) > 3 and any(r in w for r in letters_read) else 2), w
+                return (3 if len(w) > 1 and any(r in w for r in letters_read) else 2), w
             w = token.strip(".,;:()[]\"'’?").lower()  # a final or first ! may be a letter
-            if len(w) > 3 and allowed.fullmatch(w) and sum(map(str.isalpha, w)) > 2:
+            if len(w) > 1 and allowed.fullmatch(w) and spelled(w):
                 return 4, w
             return (2 if any(map(str.isalpha, w)) else 1), w
 
@@ -198,8 +212,9 @@ def suspects(records: DataFrame, frequent: list[str]) -> DataFrame:
                         out.append((tab, rec, "split", f"{x}-{y}", x + y, 0))
                         out += [(tab, rec, "split", f"{x}-{y}", r, 1) for r in readings(x + y, symbols_only=True)]
                 for line in rest.split("\n"):
-                    found, sure, other = [], 0, 0
-                    for token in line.split():
+                    found, sure, other, solid = [], 0, 0, 0
+                    tokens = line.split()
+                    for token in tokens:
                         s = state.get(token)
                         if s is None:
                             if len(state) > 500_000:
@@ -207,16 +222,19 @@ def suspects(records: DataFrame, frequent: list[str]) -> DataFrame:
                             s = state[token] = judge(token)
                         if s[0] == 0:
                             sure += 1
+                            solid += len(s[1]) > 2
                         elif s[0] >= 2:
                             other += 1
                             if s[0] >= 3:
                                 found.append(s)
                     if found and (sure * 3 >= sure + other - 1):
                         for kind, w in found:
+                            if len(w) <= SHORT and solid * 3 < len(tokens):
+                                continue
                             if kind == 3:
                                 out.append((tab, rec, "letters", w, w, 1))
                             else:
-                                out += [(tab, rec, "misread", w, r, 1) for r in readings(w, symbols_only=True)]
+                                out += [(tab, rec, "misread", w, r, 1) for r in spelled(w)]
                 if page is not None:
                     number = re.compile(PAGE_NUMBER.format(page), re.IGNORECASE)
                     lines = [y for x in text.split("\n") if (y := x.strip())]
@@ -241,8 +259,8 @@ def damage(records: DataFrame, pages: DataFrame) -> DataFrame:
     total = words.agg(F.sum("n")).first()[0] or 0
     wrong = cut(misread_words(words, total))
     often = words.filter(F.col("n") >= max(2.0, FREQUENT * total)).join(wrong.select(F.col("wrong").alias("word")), "word", "left_anti")
-    frequent = [r[0] for r in often.select("word").collect()]
-    found = cut(suspects(records, frequent).distinct())
+    often = often.select("word", F.expr(f"n >= {COMMON} * {total}").alias("common")).collect()
+    found = cut(suspects(records, [r[0] for r in often], [r[0] for r in often if r[1]]).distinct())
     cost = lambda n, edits: edits * EDIT_COST - F.ln(n.cast("double"))
     judged = found.filter(F.col("kind").isin("split", "misread")).join(words, "word")
     judged = judged.unionByName(joined_misread(found, words))
