@@ -71,8 +71,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d)
-    return scans.repaired(rows, scans.damage(rows, table(spark, d, "ocr_pages")))
+    pages = table(spark, d, "ocr_pages")
+    rows = scans.page_records(pages, table(spark, d, "sections"), "club")
+    return scans.repaired(rows, scans.damage(rows.drop("club"), pages), scans.running_lines(pages))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import cut
+from .lines import MIN_PAGES, MIN_SHARE
 
 FREQUENT = 2e-6
 # Words of up to SHORT characters are near to many others: a figure at their edge may number something
@@ -38,6 +39,8 @@ CONFUSIONS = [
     ("i", "!"), ("l", "1"), ("o", "0"), ("s", "5"), ("b", "6"), ("a", "@"), ("i", "1"), ("e", "c"), ("d", "cl"), ("g", "q"),
     ("u", "ii"), ("in", "m"), ("m", "rn"), ("h", "b"), ("t", "l"), ("w", "vv"), ("li", "h"),
 ]
+# On so many different pages of a filing a line is a running one, if it is among the first or last lines.
+RUNNING_PAGES, EDGE = 3, 3
 PAGE_NUMBER = r"[^\w\n]*(?:(?:page|pg|p)\b[^\w\n]*)?0*{}(?:\s*(?:of|/)\s*\d+)?[^\w\n]*"
 
 
@@ -273,13 +276,55 @@ def damage(records: DataFrame, pages: DataFrame) -> DataFrame:
     return best.select("tab", "rec_id", "kind", "wrong", "best.word").unionByName(letters.select(*names)).unionByName(numbers)
 
 
-def page_records(pages: DataFrame, sections: DataFrame) -> DataFrame:
-    """(tab, rec_id, page, text) of all pages and all strategic reports."""
-    a = pages.select(F.lit("ocr_pages").alias("tab"), F.col("page_id").alias("rec_id"), "page", "text")
-    b = sections.filter("section = 'strategic_report'").select(F.lit("sections").alias("tab"), F.col("section_id").alias("rec_id"), F.lit(None).cast("int").alias("page"), "text")
+def page_records(pages: DataFrame, sections: DataFrame, *more: str) -> DataFrame:
+    """(tab, rec_id, page, text) of all pages and all strategic reports, and ``more`` columns."""
+    a = pages.select(F.lit("ocr_pages").alias("tab"), F.col("page_id").alias("rec_id"), "page", "text", *more)
+    b = sections.filter("section = 'strategic_report'").select(F.lit("sections").alias("tab"), F.col("section_id").alias("rec_id"), F.lit(None).cast("int").alias("page"), "text", *more)
     return a.unionByName(b)
 
 
+def line_key(line: str) -> int | None:
+    """64-bit hash of a line without case and white-space runs; NULL unless it holds two words, and
+    for rows of figures."""
+    import xxhash
+
+    line = " ".join(line.lower().split())
+    if len(re.findall(r"[^\W\d_]{3,}", line)) < 2 or re.search(r"\d[,.]?\d{3},?\d|\d[,.]\d|\d\W* \W*\d", line):
+        return None
+    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
+
+
+def running_lines(pages: DataFrame) -> DataFrame:
+    """(club, running): the ``line_key`` of every running line of a club.
+
+    A line runs if it stands on as many pages of the club as problem 4 asks, or on several pages of a
+    filing (a heading stands on one), mostly among their first or last ``EDGE`` lines. Pages scanned
+    again count once in a filing.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, edges = [], []
+            for text in batch.column(5).to_pylist():
+                rows = [line_key(x) for x in (text or "").split("\n") if x.strip()]
+                out.append(list({k for k in rows if k is not None}))
+                edges.append(list({k for k in rows[:EDGE] + rows[-EDGE:] if k is not None}))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (out, edges)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *lists], names=["page_id", "club", "company_number", "year", "page", "keys", "edges"])
+
+    rows = pages.filter("club is not null").select(F.col("page_id").cast("long"), "club", "company_number", "year", F.col("page").cast("int"), "text")
+    listed = cut(rows.mapInArrow(keys, "page_id long, club string, company_number string, year string, page int, keys array<long>, edges array<long>").dropDuplicates(["page_id"]))
+    totals = listed.groupBy("club").agg(F.count("*").alias("pages"))
+    each = listed.select("club", "company_number", "year", "page", "edges", F.explode("keys").alias("k")).withColumn("edge", F.array_contains("edges", F.col("k")).cast("int"))
+    of_page = each.groupBy("club", "company_number", "year", "k", "page").agg(F.count("*").alias("n"), F.sum("edge").alias("edge"))
+    of_filing = of_page.groupBy("club", "company_number", "year", "k").agg(F.sum("n").alias("n"), F.sum("edge").alias("edge"), F.count("page").alias("in_filing"))
+    of_club = of_filing.groupBy("club", "k").agg(F.sum("n").alias("n"), F.sum("edge").alias("edge"), F.max("in_filing").alias("most"), F.avg("in_filing").alias("mean"))
+    often = (F.col("n") >= MIN_PAGES) & (F.col("n") * MIN_SHARE >= F.col("pages"))
+    head = (F.col("most") >= RUNNING_PAGES) & (F.col("mean") >= 2) & (F.col("edge") * 2 > F.col("n"))
+    found = of_club.join(totals, "club").filter(often | head)
+    return found.groupBy("club").agg(F.collect_list("k").alias("running"))
+
+
 def paragraphs(lines: list[str]) -> list[str]:
     """Lines into paragraphs: the cheapest path over line ends, by dynamic programming.
 
@@ -326,8 +371,36 @@ def paragraphs(lines: list[str]) -> list[str]:
     return out
 
 
-def repair(text: str, fixes: dict[str, str], drop: set[str]) -> str:
-    """One text: broken words joined, misread words put right in their case, furniture dropped."""
+def page_number_lines(lines: list[str]) -> set[int]:
+    """Places of the page numbers in a text of several pages.
+
+    A number dressed with a word or with marks on both sides is one. A plain number is one at the
+    edge of the text, or if it goes on rising by small steps with text between.
+    """
+    dress = re.compile(r"([^\w\n]*)((?:page|pg|p)\b[^\w\n]*)?(\d{1,4})(?:\s*(?:of|/)\s*\d+)?([^\w\n]*)", re.IGNORECASE)
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    out: set[int] = set()
+    plain: dict[str, list[tuple[int, int]]] = {}
+    for at, i in enumerate(full):
+        m = dress.fullmatch(lines[i].strip())
+        if m is None or set(m[1] + m[4]) & set("£$€%()"):
+            continue
+        if m[2] or (m[1] and m[4]) or at in (0, len(full) - 1):
+            out.add(i)
+        plain.setdefault(m[1] + "#" + m[4], []).append((at, int(m[3])))
+    for found in plain.values():
+        for (a, m), (b, n) in zip(found, found[1:]):
+            if b - a > 4 and 0 < n - m <= 3:
+                out |= {full[a], full[b]}
+    return out
+
+
+def repair(text: str, fixes: dict[str, str], drop: set[str], running: frozenset[int] | set[int] = frozenset(), report: bool = False) -> str:
+    """One text: broken words joined, misread words put right in their case, furniture dropped.
+
+    ``running``: keys of lines to drop, as they stand or after their words are put right. ``report``:
+    the text has several pages and their numbers.
+    """
 
     def cased(old: str, new: str) -> str:
         letters = [c for c in old if c.isalpha()]
@@ -352,16 +425,22 @@ def repair(text: str, fixes: dict[str, str], drop: set[str]) -> str:
                 return old[:at] + cased(old[at : at + len(core)], fixes[core]) + old[at + len(core) :]
         return old
 
-    kept = "\n".join(x for x in text.split("\n") if x.strip() not in drop and (not x.strip() or any(map(str.isalnum, x))))
+    def runs(x: str) -> bool:
+        return bool(running) and (line_key(x) in running or bool(fixes) and line_key(re.sub(r"\S+", token, x)) in running)
+
+    rows = text.split("\n")
+    numbers = page_number_lines(rows) if report else set()
+    kept = "\n".join(x for i, x in enumerate(rows) if i not in numbers and x.strip() not in drop and (not x.strip() or any(map(str.isalnum, x))) and not runs(x))
     kept = re.sub(r"(\S+?)[" + MARKS + r"][ \t]*\n[ \t]*([^\W\d_A-Z]\S*)[ \t]*\n?", whole, kept)
     return "\n\n".join(paragraphs(re.sub(r"\S+", token, kept).split("\n")))
 
 
-def repaired(records: DataFrame, found: DataFrame) -> DataFrame:
+def repaired(records: DataFrame, found: DataFrame, running: DataFrame | None = None) -> DataFrame:
     """(tab, rec_id, text, n_fixes): each record once, as continuous paragraphs.
 
-    ``found`` is the result of ``damage``. A text is shuffled once, to meet its own few fixes. NULL
-    texts stay NULL, empty ones ''.
+    ``found`` is the result of ``damage``; ``running`` that of ``running_lines``, for records with a
+    club. Records without a page have the page numbers inside dropped. A text is shuffled once to meet
+    its own few fixes. NULL texts stay NULL, empty ones ''.
     """
     fixes = found.groupBy("tab", "rec_id").agg(
         F.map_from_entries(F.collect_set(F.when(F.col("kind") != "page_no", F.struct("wrong", "word")))).alias("fixes"),
@@ -372,10 +451,17 @@ def repaired(records: DataFrame, found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, fix, drop in zip(*(c.to_pylist() for c in batch.columns[2:5])):
-                texts.append(repair(text, dict(fix or ()), set(drop or ())) if text else text)
+            sets: dict[str, set[int]] = {}
+            for text, fix, drop, page, club, keys in zip(*(c.to_pylist() for c in [*batch.columns[2:5], *batch.columns[6:8]]), batch.column(8)):
+                if club not in sets:
+                    sets[club] = set(keys.as_py() or ())
+                texts.append(repair(text, dict(fix or ()), set(drop or ()), sets[club], page is None) if text else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(5)], names=["tab", "rec_id", "text", "n_fixes"])
 
     rows = records.dropDuplicates(["tab", "rec_id"]).join(fixes, ["tab", "rec_id"], "left")
-    rows = rows.select("tab", F.col("rec_id").cast("long"), "text", "fixes", "drop", F.coalesce("n", F.lit(0)).alias("n"))
+    if running is None:
+        rows = rows.withColumns({"club": F.lit(None).cast("string"), "running": F.lit(None).cast("array<long>")})
+    else:
+        rows = rows.join(running, "club", "left")
+    rows = rows.select("tab", F.col("rec_id").cast("long"), "text", "fixes", "drop", F.coalesce("n", F.lit(0)).alias("n"), "page", "club", "running")
     return rows.mapInArrow(run, "tab string, rec_id long, text string, n_fixes int")
