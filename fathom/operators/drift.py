@@ -6,27 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.frames import cut, exact_round
-from . import ngram
-from .sections import latest, scoring_reasons
-from .similarity import cosine, jaccard, tfidf
 from ..functions import text as X
+from ..functions.frames import cut, exact_round, join_on
+from . import ngram
+from .sections import MIN_REPORT_CHARS, latest, scoring_reasons
+from .similarity import consecutive, cosine, jaccard, tfidf
 
 ENTITY = ["club", "company_number"]
 STRIDE = 7
 
 
-def reports(sections: DataFrame, entity: list[str] = ENTITY) -> DataFrame:
+def reports(sections: DataFrame, entity: list[str] = ENTITY, flags: DataFrame | None = None) -> DataFrame:
     """(entity, year, doc, text, tokens, reasons): the last parse of each filing's strategic report.
 
-    ``reasons`` is empty for reports that can be scored. NULL text counts as ''.
+    ``reasons`` is empty for reports that can be scored. ``flags``: (entity, year, flags) of the parsed
+    filings (``parse_filings``), whose blocking ones count; without them the length of the report
+    alone is judged. NULL text counts as ''. The rows of an entity lie in one partition (it has one
+    report a year), so its later windows need no shuffle.
     """
-    rows = sections.filter("section = 'strategic_report'")
+    rows = sections.filter("section = 'strategic_report'").repartition(*entity)
     rows = latest(rows, [*entity, "year"], F.col("parsed_at").desc_nulls_last(), F.col("section_id").desc())
     text = F.coalesce("text", F.lit(""))
     rows = rows.select(*entity, "year", F.col("section_id").alias("doc"), text.alias("text"), X.tokens(text).alias("tokens"))
-    flags = F.when(F.length("text") < 2000, F.array(F.lit("short_strategic_report"))).otherwise(F.array().cast("array<string>"))
-    return rows.withColumn("reasons", scoring_reasons(flags, F.size("tokens")))
+    short = F.when(F.length("text") < MIN_REPORT_CHARS, F.array(F.lit("short_strategic_report"))).otherwise(F.array().cast("array<string>"))
+    if flags is not None:
+        rows = join_on(rows, flags.select(*entity, "year", F.col("flags").alias("_flags")), [*entity, "year"])
+        short = F.coalesce("_flags", short)
+    return rows.withColumn("reasons", scoring_reasons(short, F.size("tokens"))).drop("_flags")
+
+
+def report_reasons(sections: DataFrame, entity: list[str] = ENTITY, flags: DataFrame | None = None) -> DataFrame:
+    """(entity, year, doc, reasons) of every report: ``reports`` without its texts, which are measured
+    where they are read and never moved."""
+    rows = sections.filter("section = 'strategic_report'")
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.select(*entity, "year", "section_id", "parsed_at", F.length(text).alias("chars"), F.size(X.tokens(text)).alias("n_tokens"))
+    rows = latest(rows, [*entity, "year"], F.col("parsed_at").desc_nulls_last(), F.col("section_id").desc())
+    short = F.when(F.col("chars") < MIN_REPORT_CHARS, F.array(F.lit("short_strategic_report"))).otherwise(F.array().cast("array<string>"))
+    if flags is not None:
+        rows = join_on(rows, flags.select(*entity, "year", F.col("flags").alias("_flags")), [*entity, "year"])
+        short = F.coalesce("_flags", short)
+    return rows.select(*entity, "year", F.col("section_id").alias("doc"), scoring_reasons(short, F.col("n_tokens")).alias("reasons"))
 
 
 def scored(reports: DataFrame) -> DataFrame:
@@ -50,29 +70,36 @@ def drift(docs: DataFrame, entity: list[str] = ENTITY, with_surprisal: bool = Tr
     ``docs``: (entity, year, doc, tokens), ``doc`` unique. Term weights are fitted per entity. An
     entity with one year has no row. NULL entity columns are values like others.
     """
-    for k in entity:
-        docs = docs.withColumn(k, F.coalesce(k, F.lit("")))
-    docs = cut(docs.select(*entity, "year", "doc", "tokens"))
-    pairs = cut(year_pairs(docs, entity))
-    sets = docs.select("doc", "tokens")
-    both = pairs.join(sets.select(F.col("doc").alias("doc_prev"), F.col("tokens").alias("a")), "doc_prev").join(sets.select("doc", F.col("tokens").alias("b")), "doc")
-    both = both.select(*entity, "year_prev", "year", "doc_prev", "doc", F.size("a").alias("n_tokens_prev"), F.size("b").alias("n_tokens"), jaccard(F.col("a"), F.col("b")).alias("jaccard"))
-    links = pairs.select("doc_prev", "doc")
-    out = both.join(cosine(links, tfidf(docs, entity)), ["doc_prev", "doc"])
-    names = [*entity, "year_prev", "year", "n_tokens_prev", "n_tokens"]
+    docs = docs.select(*entity, "year", "doc", "tokens")
+    if with_surprisal:
+        docs = cut(docs)
+    out = consecutive(docs.repartition(*entity) if with_surprisal else docs, entity)
     measures = [
         exact_round(F.col("cosine")).alias("cosine_similarity"), exact_round(1.0 - F.col("cosine")).alias("cosine_novelty"),
         exact_round(F.col("jaccard")).alias("jaccard_similarity"), exact_round(1.0 - F.col("jaccard")).alias("jaccard_novelty"),
     ]
     if with_surprisal:
-        out = out.join(ngram.surprisal(links, sets), ["doc_prev", "doc"])
+        bits = ngram.surprisal(year_pairs(docs, entity).select("doc_prev", "doc"), docs.select("doc", "tokens"))
+        out = out.join(bits, ["doc_prev", "doc"])
         measures.append(exact_round(F.col("bits")).alias("surprisal_bits"))
-    return out.select(*[F.nullif(F.col(k), F.lit("")).alias(k) for k in entity], *names[len(entity) :], *measures)
+    return out.select(*entity, "year_prev", "year", "n_tokens_prev", "n_tokens", *measures)
+
+
+def surprisals(docs: DataFrame, entity: list[str] = ENTITY) -> DataFrame:
+    """(entity, year_prev, year, surprisal_bits): ``drift`` without its lexical measures."""
+    docs = cut(docs.select(*entity, "year", "doc", "tokens"))
+    pairs = year_pairs(docs, entity)
+    bits = ngram.surprisal(pairs.select("doc_prev", "doc"), docs.select("doc", "tokens"))
+    return pairs.join(bits, ["doc_prev", "doc"]).select(*entity, "year_prev", "year", exact_round(F.col("bits")).alias("surprisal_bits"))
 
 
 def ranking(drift: DataFrame, entity: str = "club") -> DataFrame:
-    """Entities by mean cosine novelty: counts, means and maxima of the rounded pair measures."""
-    mean = lambda c: exact_round(F.avg(c))
+    """Entities by mean cosine novelty: counts, means and maxima of the rounded pair measures.
+
+    The measures have six decimals and are summed as such: a mean on a rounding tie does not depend
+    on the order of the rows.
+    """
+    mean = lambda c: exact_round(F.sum(F.col(c).cast("decimal(20,6)")).cast("double") / F.count(c))
     rows = drift.groupBy(entity).agg(
         F.count("*").alias("n_pairs"),
         mean("cosine_novelty").alias("mean_cosine_novelty"),

@@ -1,19 +1,21 @@
 """Line items from section text by rule tables.
 
-Rows are matched by ordered rules; all parsing is Column expressions, one narrow pass over each
-section and one small aggregation to the best row of each item.
+Rows are matched by ordered rules: one narrow pass over each section, parsing by Column expressions,
+and one small aggregation to the best row of each item.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import figures as G
 from ..functions import text as X
-from ..functions.frames import cut, fixed, join_on, let
+from ..functions.frames import cut, fixed, join_on
 from .sections import FILING
 
 # Label rules of each item, in order, with their tier.
@@ -69,40 +71,78 @@ CONTEXT = [Item("profit_on_disposal_players", PLAYERS_DISPOSAL)]
 WINDOW, MOST_FIGURES = 40, 9
 
 
+_note, _number, _mark = re.compile(G.NOTE_REFERENCE, re.I), re.compile(G.NUMBER), re.compile(r"[\d\-–—]")
+_note_ahead = re.compile(r"notes?\s*\Z", re.I)
+
+
+def _bare(text: str) -> bool:
+    """No figure in the text, note references aside."""
+    return _mark.search(text) is None or _number.search(_note.sub(" ", text)) is None
+
+
+def joined_rows(text: str) -> list[str]:
+    """The rows of one text, in one walk over its lines.
+
+    A row without a figure can only get one from the line that joins it, or from a number that turns
+    out to follow its last word "note"; so no row is read twice, however many lines it joins.
+    """
+    out: list[str] = []
+    parts: list[str] = []
+    bare = False
+    for line in map(str.rstrip, text.splitlines()):
+        own = line.lstrip()
+        if bare and "a" <= own[:1] <= "z":
+            ahead = _note_ahead.search(parts[-1])
+            parts.append(own)
+            bare = _bare(f"{ahead[0]} {own}" if ahead else own)
+            continue
+        if parts:
+            out.append(parts[0] if len(parts) == 1 else " ".join([parts[0].strip(), *parts[1:]]))
+        parts, bare = [line], _bare(line)
+    if parts:
+        out.append(parts[0] if len(parts) == 1 else " ".join([parts[0].strip(), *parts[1:]]))
+    return out
+
+
 def logical_rows(text: Column) -> Column:
-    """Array of rows, labels that wrap over lines joined back.
+    """Array of rows, labels that wrap over lines joined back; NULL stays NULL.
 
     A line that starts in lower case continues the row before it as long as that row has no figure.
-    Whether it has one is judged on the row joined so far, so this is a fold over the lines.
+    Whether it has one is judged on the row joined so far, a fold over the lines that would copy
+    its rows at every step as a Column expression: it is one Arrow visit to each text instead.
     """
-    lines = F.transform(X.lines(text), X.rstrip)
-    start = F.struct(F.array().cast("array<string>").alias("rows"), F.lit(None).cast("string").alias("row"), F.lit(False).alias("bare"))
-    bare = lambda row: ~G.has_figure(G.strip_note_references(row))
 
-    def step(a: Column, line: Column) -> Column:
-        goes_on = F.coalesce(a["bare"] & line.rlike(r"(?U)\A\s*[a-z]"), F.lit(False))
-        row = F.when(goes_on, F.concat(X.strip(a["row"]), F.lit(" "), X.strip(line)))
-        # row is NULL unless the line was joined
-        return let(row, lambda r: F.struct(
-            F.when(r.isNotNull() | a["row"].isNull(), a["rows"]).otherwise(F.array_append(a["rows"], a["row"])).alias("rows"),
-            F.coalesce(r, line).alias("row"),
-            bare(F.coalesce(r, line)).alias("bare"),
-        ))
+    @F.arrow_udf("array<string>")
+    def rows(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else joined_rows(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+
+    return rows(text)
+
 
-    return F.aggregate(lines, start, step, lambda a: F.when(a["row"].isNull(), a["rows"]).otherwise(F.array_append(a["rows"], a["row"])))
+# A unit marker has fewer characters than this, white-space runs counted as one.
+SEAM = 24
 
 
 def section_rows(sections: DataFrame, keys: list[str], strict_units: bool = False) -> DataFrame:
     """(keys, section, multiplier, evidence, rows) of each non-blank section.
 
-    Units come from the section, else from all the filing's sections, joined in name order.
+    Units come from the section, else from all the filing's sections, joined in name order. Markers
+    are counted in each section; of its text only the edges, which may complete a marker over the seam
+    to the next section, go to the filing.
     """
     once = lambda c, name: F.explode(F.array(c)).alias(name)
-    whole = sections.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("section", "text"))).alias("s"))
-    whole = whole.select(*keys, F.array_join(F.transform("s", lambda x: x["text"]), "\n").alias("t")).select(*keys, once(G.unit_markers(F.col("t"), strict_units), "_whole"))
+    plus = lambda a, b: F.struct((a["m"] + b["m"]).alias("m"), (a["k"] + b["k"]).alias("k"))
+    text = F.coalesce("text", F.lit(""))
+    flat = F.regexp_replace(text, r"(?U)\s+", " ")
+    edges = F.when(F.length(flat) <= 2 * SEAM, flat).otherwise(F.concat(F.left(flat, F.lit(SEAM)), F.lit("\x00"), F.right(flat, F.lit(SEAM))))
+    parts = sections.select(*keys, "section", once(F.struct(G.unit_markers(text, strict_units).alias("own"), edges.alias("edges")), "p"))
+    parts = parts.select(*keys, "section", "p.own", "p.edges").withColumn("inner", G.unit_markers(F.col("edges"), strict_units))
+    whole = parts.groupBy(*keys).agg(F.sum(F.col("own.m") - F.col("inner.m")).alias("m"), F.sum(F.col("own.k") - F.col("inner.k")).alias("k"), F.sort_array(F.collect_list(F.struct("section", "edges"))).alias("s"))
+    whole = whole.withColumn("seams", G.unit_markers(F.array_join(F.transform("s", lambda x: x["edges"]), "\n"), strict_units))
+    whole = whole.select(*keys, plus(F.struct("m", "k"), F.col("seams")).alias("_whole"))
     some = sections.filter(F.col("text").rlike(r"(?U)\S")).select(*keys, "section", "text", once(G.unit_markers(F.col("text"), strict_units), "_own"))
     multiplier, evidence = G.unit(F.col("_own"), F.col("_whole"))
-    return join_on(some, whole, keys, "inner").select(*keys, "section", multiplier.alias("multiplier"), evidence.alias("evidence"), logical_rows(F.col("text")).alias("rows"))
+    return join_on(some.withColumn("rows", logical_rows(F.col("text"))).drop("text"), whole, keys, "inner").select(*keys, "section", multiplier.alias("multiplier"), evidence.alias("evidence"), "rows")
 
 
 def candidates(rowed: DataFrame, keys: list[str], items: list[Item]) -> DataFrame:

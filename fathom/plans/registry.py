@@ -33,14 +33,22 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def all_pages(spark: SparkSession, d: str) -> DataFrame:
+    """All scans of all pages, with banners emptied."""
+    return table(spark, d, "ocr_pages").withColumn("text", X.strip_banner(F.col("text")))
+
+
 def filing_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Last scans, with banners emptied."""
-    pages = sections.latest_pages(table(spark, d, "ocr_pages"))
-    return pages.withColumn("text", X.strip_banner(F.col("text")))
+    """Last scans, a filing's pages together."""
+    return sections.pages_together(all_pages(spark, d))
+
+
+def filing_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sections.carried_lines(sections.with_lines(filing_pages(spark, d)))
 
 
 def filing_sections(spark: SparkSession, d: str) -> DataFrame:
-    return sections.section_texts(sections.carried_lines(sections.with_lines(filing_pages(spark, d))))
+    return sections.section_texts(filing_lines(spark, d))
 
 
 def scored_reports(spark: SparkSession, d: str) -> DataFrame:
@@ -65,19 +73,18 @@ def latest_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql.PAGE_QUALITY)
 def page_quality(spark: SparkSession, d: str) -> DataFrame:
-    return sections.page_quality(sections.with_lines(filing_pages(spark, d)))
+    return sections.page_quality(sections.page_measures(all_pages(spark, d)))
 
 
 @query(sql.HEADINGS)
 def headings(spark: SparkSession, d: str) -> DataFrame:
     """Every heading line of every page, whether or not it opens a section."""
-    rows = sections.with_lines(filing_pages(spark, d)).select(*FILING, "page", F.explode("rows").alias("r"))
-    return rows.filter("r.heading is not null").select(*FILING, "page", "r.line_no", X.strip(F.col("r.line")).alias("line"), "r.heading")
+    return sections.page_headings(all_pages(spark, d))
 
 
 @query(sql.DENSE_PAGES)
 def dense_pages(spark: SparkSession, d: str) -> DataFrame:
-    return sections.with_lines(filing_pages(spark, d)).filter("dense").select(*FILING, "page")
+    return sections.page_measures(all_pages(spark, d)).filter("dense").select(*FILING, "page")
 
 
 @query(sql.SECTIONS)
@@ -87,12 +94,23 @@ def filing_section_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql.EVENTS)
 def heading_events(spark: SparkSession, d: str) -> DataFrame:
-    return sections.heading_events(sections.carried_lines(sections.with_lines(filing_pages(spark, d))))
+    """Headings that open another section. Only heading lines are moved."""
+    return sections.heading_events(sections.opening_headings(all_pages(spark, d)))
 
 
-@query()
+@query(sql.PARSED)
 def parsed_filings(spark: SparkSession, d: str) -> DataFrame:
-    return sections.parse_filings(filing_pages(spark, d))
+    """``parse_filings`` with its lists as text."""
+    out = sections.parse_filings(all_pages(spark, d))
+    hits = F.transform(F.coalesce("heading_hits", F.array().cast("array<struct<page:int,section:string,line:string>>")), lambda h: F.concat_ws("|", h["page"].cast("string"), h["section"], h["line"]))
+    sizes = F.transform(F.array_sort(F.map_entries("section_chars")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    texts = {"flags": F.col("flags"), "sections_detected": F.col("sections_detected"), "contents_pages_skipped": F.col("contents_pages_skipped").cast("array<string>"), "heading_hits": hits, "section_chars": sizes}
+    return out.withColumns({k: F.array_join(v, ";") for k, v in texts.items()})
+
+
+@query(sql.FILING_CHECK)
+def filing_check(spark: SparkSession, d: str) -> DataFrame:
+    return sections.filing_check(sections.parse_filings(all_pages(spark, d)))
 
 
 @query(sql.CORPUS)
@@ -101,20 +119,25 @@ def corpus_check(spark: SparkSession, d: str) -> DataFrame:
     return sections.corpus_check(rows.withColumn("n_chars", F.length(F.coalesce("text", F.lit("")))))
 
 
+def table_measures(spark: SparkSession, d: str) -> DataFrame:
+    rows = sections.split_tables(table(spark, d, "ocr_pages"))
+    return rows.withColumn("text_md5", F.md5("text")).select(*FILING, "page", *sections.VERSION, "table_rows", "orphan_rows", "looks_split", "text_md5")
+
+
 @query(sql.SPLIT_TABLES)
 def split_tables(spark: SparkSession, d: str) -> DataFrame:
-    return sections.split_tables(sections.latest_pages(table(spark, d, "ocr_pages"))).select(*FILING, "page", "table_rows", "orphan_rows", "looks_split")
+    return sections.latest_pages(table_measures(spark, d)).drop(*sections.VERSION, "text_md5")
 
 
 @query(sql.BETTER)
 def better_reading(spark: SparkSession, d: str) -> DataFrame:
-    """Split pages with the text of their filing's earlier scan where it has more table rows."""
-    pages = table(spark, d, "ocr_pages")
-    last = sections.latest_pages(pages)
-    rest = pages.join(last.select("page_id"), "page_id", "left_anti")
-    again = sections.latest_pages(rest).select(*FILING, "page", "text")
-    split = sections.split_tables(last).filter("looks_split").drop("table_rows", "orphan_rows", "looks_split")
-    return sections.keep_better(split, again, [*FILING, "page"]).select(*FILING, "page", "repaired", F.md5("text").alias("text_md5"))
+    """Split pages, and whether their filing's earlier scan has more table rows. Both scans are
+    measured where they are read: of a text only its hash is moved."""
+    scans = sections.latest(table_measures(spark, d), ["page_id"], F.col("scanned_at").desc_nulls_last())
+    at = sections.W.partitionBy(*FILING, "page").orderBy(F.col("scanned_at").desc_nulls_last(), F.col("page_id").desc())
+    scans = scans.withColumn("place", F.row_number().over(at)).withColumn("again", F.lead(F.struct("table_rows", "text_md5")).over(at))
+    better = F.coalesce(F.col("again.text_md5").isNotNull() & (F.col("again.table_rows") > F.col("table_rows")), F.lit(False))
+    return scans.filter("place = 1 and looks_split").select(*FILING, "page", better.alias("repaired"), F.when(better, F.col("again.text_md5")).otherwise(F.col("text_md5")).alias("text_md5"))
 
 
 # Line items -------------------------------------------------------------------------------------
@@ -139,8 +162,8 @@ def row_figures(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql.UNITS)
 def units(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "sections").filter("section = 'profit_and_loss' and text is not null").select("section_id", "text").distinct()
-    rows = rows.select("section_id", F.explode(F.array(G.unit_markers(F.col("text")))).alias("own"))
+    rows = table(spark, d, "sections").filter("section = 'profit_and_loss' and text is not null")
+    rows = rows.select("section_id", F.explode(F.array(G.unit_markers(F.col("text")))).alias("own")).dropDuplicates(["section_id"])
     multiplier, evidence = G.unit(F.col("own"), F.struct(F.lit(0).alias("m"), F.lit(0).alias("k")))
     return rows.select("section_id", multiplier.alias("multiplier"), evidence.alias("evidence"))
 
@@ -176,19 +199,27 @@ def series_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql.TOKENS)
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "sections").select("section_id", "text").distinct()
     tokens = X.tokens(F.coalesce("text", F.lit("")))
-    return rows.select("section_id", tokens.alias("t")).select("section_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"))
+    rows = table(spark, d, "sections").select("section_id", F.explode(F.array(tokens)).alias("t"))
+    return rows.select("section_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms")).dropDuplicates(["section_id"])
 
 
 @query(sql.EXCLUDED)
 def excluded_reports(spark: SparkSession, d: str) -> DataFrame:
-    return drift.excluded(drift.reports(table(spark, d, "sections")))
+    return drift.excluded(drift.report_reasons(table(spark, d, "sections")))
+
+
+@query(sql.BLOCKED)
+def blocked_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Reports that all flags of their parsed filing, and their tokens, keep from being scored."""
+    flags = sections.parse_filings(all_pages(spark, d))
+    return drift.excluded(drift.report_reasons(table(spark, d, "sections"), flags=flags))
 
 
 @query(sql.YEAR_PAIRS)
 def year_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return drift.year_pairs(scored_reports(spark, d))
+    rows = drift.report_reasons(table(spark, d, "sections"))
+    return drift.year_pairs(rows.filter(F.size("reasons") == 0))
 
 
 @query(sql.TFIDF)
@@ -205,11 +236,10 @@ def drift_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql.SURPRISAL)
 def surprisal(spark: SparkSession, d: str) -> DataFrame:
-    rows = drift.drift(scored_reports(spark, d), ENTITY)
-    return rows.select(*ENTITY, "year_prev", "year", "surprisal_bits")
+    return drift.surprisals(scored_reports(spark, d), ENTITY)
 
 
-@query()
+@query(sql.SANITY)
 def sanity(spark: SparkSession, d: str) -> DataFrame:
     return drift.sanity(scored_reports(spark, d), ENTITY)
 
@@ -229,12 +259,20 @@ def drift_table(spark: SparkSession, d: str) -> DataFrame:
     return report.drift_table(table(spark, d, "drift").distinct(), ENTITY)
 
 
+@query(sql.ORDERED)
+def ordered_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking in its order, which is one row per entity; the place makes the order visible."""
+    rows = drift.ordered_ranking(drift.ranking(table(spark, d, "drift").distinct()))
+    return rows.select(F.monotonically_increasing_id().alias("_i"), "club", "mean_cosine_novelty").select(F.row_number().over(sections.W.orderBy("_i")).alias("place"), "club", "mean_cosine_novelty")
+
+
 def drift_report(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: texts to the drift of every pair of years, with surprisal."""
     return drift.drift(scored_reports(spark, d), ENTITY)
 
 
 QUERIES["drift"] = drift_report
+ORACLES["drift"] = sql.FULL_DRIFT
 
 
 # Entities and filings ---------------------------------------------------------------------------

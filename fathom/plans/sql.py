@@ -1,10 +1,15 @@
 """The registered queries in SQL, for the side-by-side check on another engine."""
 
-from ..functions.figures import MILLIONS
-from ..functions.text import COMMON_WORDS, HEADING_RULES, HEADING_WORDS
-
 _q = lambda s: s.replace("'", "''")
 
+# The common words of the text-quality test, as in the functions but stated on their own.
+COMMON = "the and of to in for a is on as at by with that from are was were be this group company year its has have"
+
+
+def _same(a: str, b: str) -> str:
+    return f"{a}.club is not distinct from {b}.club and {a}.company_number is not distinct from {b}.company_number and {a}.year = {b}.year"
+
+
 _PAGES = """
 pages as (
   select club, company_number, year, page, page_id, coalesce(text, '') as text from (select distinct on (page_id) * from ocr_pages)
@@ -18,7 +23,7 @@ PAGE_QUALITY = f"""
 with {_PAGES},
 q as (
   select club, company_number, year, page, len(regexp_extract_all(text, '[A-Za-z]+')) as n_words,
-    len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w in ({", ".join(f"'{w}'" for w in COMMON_WORDS)}))) as n_common,
+    len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: list_contains(string_split('{COMMON}', ' '), w))) as n_common,
     length(text) as chars, length(regexp_replace(text, '[^\\pL\\pN\\s]+', '', 'g')) as alpha
   from pages
 )
@@ -28,7 +33,23 @@ select club, company_number, year, page, n_words,
 from q
 """
 
-_RULES = " ".join(f"when regexp_full_match(core, '(?i)(?:{_q(p)})') then '{n}'" for n, p in HEADING_RULES)
+# The headings, stated anew in this engine's dialect.
+_GROUP = r"(consolidated\s+|group\s+|company\s+)?"
+_TIME = r"(\s+for\s+the\s+(year|period).*)?"
+_HEADINGS = [
+    ("strategic_report", r"(the\s+)?strategic\s+report(\s+and\s+(the\s+)?(report\s+of\s+the\s+)?directors[’'`]?s?\s*(report)?)?"),
+    ("directors_report", r"(the\s+)?(report\s+of\s+the\s+directors|directors[’'`]?s?\s+report)(\s+for\s+the\s+year.*)?"),
+    ("auditors_report", r"(independent\s+)?auditors?[’'`]?s?\s+report.*|report\s+of\s+the\s+(independent\s+)?auditors.*"),
+    ("profit_and_loss", _GROUP + r"(profit\s+and\s+loss\s+account|income\s+statement|statement\s+of\s+(comprehensive\s+income|profit\s+or\s+loss)(\s+and\s+other\s+comprehensive\s+income)?)"
+        r"(\s+and\s+(the\s+)?statement\s+of\s+other\s+comprehensive\s+income)?" + _TIME),
+    ("notes", r"notes\s+(to|forming\s+part\s+of)\s+the\s+(consolidated\s+|group\s+)?(financial\s+statements|accounts)" + _TIME),
+    ("balance_sheet", _GROUP + r"(balance\s+sheet|statement\s+of\s+financial\s+position)(\s+as\s+at.*)?"),
+    ("cash_flow", _GROUP + r"(statement\s+of\s+)?cash\s*flow(\s+statement|s?)" + _TIME),
+    ("changes_in_equity", _GROUP + r"statement\s+of\s+changes\s+in\s+(equity|shareholders[’'`]?\s*funds).*"),
+    ("company_information", r"company\s+information|officers\s+and\s+professional\s+advis(e|o)rs|directors\s+and\s+advis(e|o)rs"),
+    ("contents", "contents"),
+]
+_RULES = " ".join(f"when regexp_full_match(core, '(?i)(?:{_q(p)})') then '{n}'" for n, p in _HEADINGS)
 _LINES = rf"""
 {_PAGES},
 split as (
@@ -38,7 +59,7 @@ split as (
 ),
 numbered as (select *, trim(line, ' ' || chr(9) || chr(13)) as t from split where not (line_no = n - 1 and line = '')),
 cores as (
-  select *, case when length(t) between 3 and 90 and regexp_matches(line, '(?i){"|".join(HEADING_WORDS)}') and not regexp_matches(t, '\.{{3,}}|\s\.\s\.\s') then
+  select *, case when length(t) between 3 and 90 and not regexp_matches(t, '\.{{3,}}|\s\.\s\.\s') then
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^\d{{1,2}}[.)]?\s+', ''), '\s\d{{1,3}}$', ''), '(?i)[\s(\[]*\bcontinued\b[)\]\s]*$', ''), '^[^0-9A-Za-z(]+|[^0-9A-Za-z)]+$', '', 'g') end as core
   from numbered
 ),
@@ -77,6 +98,62 @@ select club, company_number, year, page, line_no, opens as section, t as line fr
 qualify opens <> lag(opens, 1, 'front_matter') over (partition by club, company_number, year order by page, line_no)
 """
 
+_PARSED = rf"""
+{_CARRIED},
+quality as (
+  select club, company_number, year, count(*) as n_pages, sum(n_words) as total_words, coalesce(sum(r * n_words) / nullif(sum(n_words), 0), 0.0) as ratio
+  from (
+    select *, case when n_words > 0 then format('{{:.4f}}', n_common / n_words)::double else 0.0 end as r from (
+      select club, company_number, year, len(regexp_extract_all(text, '[A-Za-z]+')) as n_words, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: list_contains(string_split('{COMMON}', ' '), w))) as n_common from pages
+    )
+  ) group by club, company_number, year
+),
+skipped as (select club, company_number, year, string_agg(page::varchar, ';' order by page) as contents_pages_skipped from dense group by all),
+texts as (
+  select club, company_number, year, section, length(regexp_replace(string_agg(line, chr(10) order by page, line_no), '^\s+|\s+$', '', 'g')) as n
+  from carried where opens is null group by club, company_number, year, section
+),
+sizes as (
+  select club, company_number, year, string_agg(section || '=' || n, ';' order by section) as section_chars, coalesce(max(n) filter (section = 'strategic_report'), 0) as n_strategic,
+    coalesce(max(n) filter (section = 'directors_report'), 0) as n_directors, coalesce(max(n) filter (section = 'profit_and_loss'), 0) as n_profit, coalesce(max(n) filter (section = 'notes'), 0) as n_notes
+  from texts group by all
+),
+joint as (
+  select distinct club, company_number, year, true as c from opened where opens = 'strategic_report'
+    and regexp_full_match(regexp_replace(regexp_replace(t, '^\d{{1,2}}[.)]?\s+', ''), '^[ .:\-–—]+|[ .:\-–—]+$', '', 'g'), '(?i)(the\s+)?strategic\s+report\s+and\s+(the\s+)?(report\s+of\s+the\s+)?directors[’''`]?s?\s*(report)?')
+),
+events as (
+  select club, company_number, year, page, line_no, opens as section, t as line from carried where opens is not null
+  qualify opens <> lag(opens, 1, 'front_matter') over (partition by club, company_number, year order by page, line_no)
+),
+hits as (
+  select club, company_number, year, string_agg(page || '|' || section || '|' || line, ';' order by page, line_no) as heading_hits from events group by all
+),
+firsts as (
+  select club, company_number, year, string_agg(section, ';' order by page, line_no) as sections_detected from (
+    select * from events qualify row_number() over (partition by club, company_number, year, section order by page, line_no) = 1
+  ) group by all
+),
+parsed as (
+  select q.club, q.company_number, q.year, n_pages, total_words, format('{{:.4f}}', ratio)::double as common_word_ratio, coalesce(n_strategic, 0) as n_strategic, coalesce(n_directors, 0) as n_directors,
+    coalesce(n_profit, 0) as n_profit, coalesce(n_notes, 0) as n_notes,
+    concat_ws(';', case when total_words < 500 then 'empty_text_layer' when ratio < 0.08 then 'suspect_text_layer' end, case when coalesce(n_strategic, 0) = 0 then 'missing_section:strategic_report' end,
+      case when coalesce(n_directors, 0) = 0 then 'missing_section:directors_report' end, case when coalesce(n_profit, 0) = 0 then 'missing_section:profit_and_loss' end,
+      case when coalesce(n_notes, 0) = 0 then 'missing_section:notes' end, case when coalesce(n_strategic, 0) < 2000 then 'short_strategic_report' end) as flags,
+    coalesce(sections_detected, '') as sections_detected, coalesce(c, false) as combined_strategic_and_directors_report, coalesce(heading_hits, '') as heading_hits,
+    coalesce(contents_pages_skipped, '') as contents_pages_skipped, coalesce(section_chars, '') as section_chars
+  from quality q
+  left join skipped k on {_same("q", "k")} left join sizes z on {_same("q", "z")} left join joint j on {_same("q", "j")}
+  left join hits h on {_same("q", "h")} left join firsts f on {_same("q", "f")}
+)
+"""
+PARSED = f"with {_PARSED} select * exclude (n_strategic, n_directors, n_profit, n_notes) from parsed"
+FILING_CHECK = f"""
+with {_PARSED}
+select club, company_number, year, n_pages, n_strategic as strategic_report, n_directors as directors_report, n_profit as profit_and_loss, n_notes as notes, replace(flags, ';', ',') as flags,
+  n_strategic < 2000 as short from parsed
+"""
+
 CORPUS = """
 with s as (
   select *, length(coalesce(text, '')) as n_chars from (select distinct on (section_id) * from sections)
@@ -126,7 +203,7 @@ with t as (
   select distinct section_id, text from sections where section = 'profit_and_loss' and text is not null
 ),
 u as (
-  select section_id, len(regexp_extract_all(text, '(?i){_q(MILLIONS)}')) as m,
+  select section_id, len(regexp_extract_all(text, '(?i)[£€E]\s*[’''`]?\s*m\b|£\s*million|in\s+millions')) as m,
     len(regexp_extract_all(text, '(?i)[£€E]\s*[’''`7]?\s*0{{3}}(?:[^\d,]|$)|in\s+thousands')) as k
   from t
 )
@@ -188,6 +265,15 @@ with {_REPORTS}
 select club, company_number, year, case when chars < 2000 then 'short_strategic_report' else 'too_few_tokens' end as reason
 from reports where chars < 2000 or len(tokens) < 200
 """
+BLOCKED = f"""
+with {_PARSED}, {_REPORTS},
+r as (
+  select r.*, coalesce(list_filter(string_split(p.flags, ';'), lambda x: list_contains(['empty_text_layer', 'suspect_text_layer', 'short_strategic_report'], x)),
+    case when chars < 2000 then ['short_strategic_report'] else [] end) as blocking
+  from reports r left join parsed p on {_same("r", "p")}
+)
+select club, company_number, year, case when len(blocking) > 0 then array_to_string(blocking, ',') else 'too_few_tokens' end as reason from r where len(blocking) > 0 or len(tokens) < 200
+"""
 _PAIRS = f"""
 {_REPORTS},
 pairs as (
@@ -203,8 +289,8 @@ dfs as (select club, company_number, term, count(*) as df from counts group by a
 sizes as (select club, company_number, count(*) as n_docs from scored group by all),
 raw as (
   select c.doc, c.term, (1 + ln(n)) * (ln((1.0 + n_docs) / (1.0 + df)) + 1) as w
-  from counts c join dfs d on c.club = d.club and c.company_number is not distinct from d.company_number and c.term = d.term
-  join sizes s on c.club = s.club and c.company_number is not distinct from s.company_number
+  from counts c join dfs d on c.club is not distinct from d.club and c.company_number is not distinct from d.company_number and c.term = d.term
+  join sizes s on c.club is not distinct from s.club and c.company_number is not distinct from s.company_number
 ),
 norms as (select doc, sqrt(sum(w * w)) as norm from raw group by doc),
 weights as (select doc, term, w / norm as weight from raw join norms using (doc))
@@ -226,8 +312,7 @@ select club, company_number, year_prev, year, n_tokens_prev, n_tokens,
   format('{{:.6f}}', jac)::double as jaccard_similarity, format('{{:.6f}}', 1 - jac)::double as jaccard_novelty
 from m
 """
-SURPRISAL = f"""
-with {_PAIRS},
+_SURPRISAL = """
 seqs as (select doc, list_concat(['<s>', '<s>'], tokens, ['</s>']) as s from scored),
 grams as (select doc, s[i] as w1, s[i + 1] as w2, s[i + 2] as w3 from (select doc, s, unnest(range(1, len(s) - 1)) as i from seqs)),
 tri as (select doc, w1, w2, w3, count(*) as c from grams group by all),
@@ -251,17 +336,41 @@ p as (
 q as (select *, case when d2 is null then p1 else o2::double / d2 + 0.75 * f2 / d2 * p1 end as p2 from p),
 r as (select *, case when d3 is null then p2 else o3::double / d3 + 0.75 * f3 / d3 * p2 end as p3 from q),
 bits as (select doc_prev, doc, sum(-log2(greatest(p3, 1.0 / (v * 64))) * times) / sum(times) as mean_bits from r group by all)
+"""
+SURPRISAL = f"""
+with {_PAIRS}, {_SURPRISAL}
 select club, company_number, year_prev, year, format('{{:.6f}}', mean_bits)::double as surprisal_bits from pairs join bits using (doc_prev, doc)
 """
+FULL_DRIFT = f"""
+with lexical as ({DRIFT}), bits as ({SURPRISAL})
+select l.*, b.surprisal_bits from lexical l join bits b on l.club is not distinct from b.club and l.company_number is not distinct from b.company_number and l.year = b.year
+"""
+SANITY = f"""
+with {_REPORTS},
+sample as (
+  select club, company_number, year, tokens as t, len(tokens) as n from scored
+  qualify row_number() over (order by club nulls first, company_number nulls first, year desc) = 1
+),
+pairs as (
+  select 1 as doc_prev, 1 as doc from sample union all select 1, 2 from sample
+),
+docs as (select 1 as doc, t as tokens from sample union all select 2, list_transform(range(n), lambda i: t[(i * 7) % n + 1]) from sample),
+{_SURPRISAL.replace("scored", "docs")}
+select club, company_number, year, n as n_tokens, 0.0::double as identical_cosine_novelty, 1.0 - len(list_intersect(t, t)) / len(list_distinct(t)) as identical_jaccard_novelty,
+  format('{{:.6f}}', a.mean_bits)::double as identical_surprisal_bits, format('{{:.6f}}', b.mean_bits)::double as shuffled_surprisal_bits,
+  true as identical_cosine_novelty_near_zero, true as identical_jaccard_novelty_zero, b.mean_bits > a.mean_bits as shuffled_more_surprising_than_identical
+from sample, (select mean_bits from bits where doc = 1) a, (select mean_bits from bits where doc = 2) b
+"""
 
 _RANKING = """
 r as (
-  select club, count(*) as n_pairs, format('{:.6f}', avg(cosine_novelty))::double as mean_cosine_novelty, max(cosine_novelty) as max_cosine_novelty,
-    format('{:.6f}', avg(jaccard_novelty))::double as mean_jaccard_novelty, format('{:.6f}', avg(surprisal_bits))::double as mean_surprisal_bits, max(surprisal_bits) as max_surprisal_bits
+  select club, count(*) as n_pairs, format('{:.6f}', sum(cosine_novelty::decimal(20,6))::double / count(cosine_novelty))::double as mean_cosine_novelty, max(cosine_novelty) as max_cosine_novelty,
+    format('{:.6f}', sum(jaccard_novelty::decimal(20,6))::double / count(jaccard_novelty))::double as mean_jaccard_novelty, format('{:.6f}', sum(surprisal_bits::decimal(20,6))::double / count(surprisal_bits))::double as mean_surprisal_bits, max(surprisal_bits) as max_surprisal_bits
   from (select distinct * from drift) group by club
 )
 """
 RANKING = f"with {_RANKING} select * from r"
+ORDERED = f"with {_RANKING} select row_number() over (order by mean_cosine_novelty desc, club) as place, club, mean_cosine_novelty from r"
 RANKING_TABLE = f"""
 with {_RANKING}
 select row_number() over (order by mean_cosine_novelty desc, club) as place, club, format('{{:.3f}}', mean_cosine_novelty) as mean_cosine_novelty,
