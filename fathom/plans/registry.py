@@ -15,7 +15,7 @@ from ..functions import text as X
 from ..functions.frames import cut, exact_round, table
 from ..operators import cache, drift, extract, report, resolve, sections, similarity
 from ..operators.sections import FILING
-from . import sql
+from . import extract_sql, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 ENTITY = ["club", "company_number"]
@@ -151,7 +151,7 @@ def parsed_numbers(spark: SparkSession, d: str) -> DataFrame:
     return tokens.select("raw", G.parse_number(F.col("raw")).alias("value"), G.is_year(F.col("raw")).alias("is_year"))
 
 
-@query()
+@query(extract_sql.ROW_FIGURES)
 def row_figures(spark: SparkSession, d: str) -> DataFrame:
     """Figures, current value and comparative of every distinct line of the profit and loss accounts."""
     rows = table(spark, d, "sections").filter("section = 'profit_and_loss'").select(F.explode(X.lines(F.col("text"))).alias("line")).distinct()
@@ -168,18 +168,18 @@ def units(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("section_id", multiplier.alias("multiplier"), evidence.alias("evidence"))
 
 
-@query()
+@query(extract_sql.EXTRACTED_ITEMS)
 def extracted_items(spark: SparkSession, d: str) -> DataFrame:
     found = extract.line_items(cut(filing_sections(spark, d)))
     return extract.series_check(extract.cross_check(found, ENTITY), ENTITY)
 
 
-@query()
+@query(extract_sql.CONTEXT_ITEMS)
 def context_items(spark: SparkSession, d: str) -> DataFrame:
     return extract.find_items(cut(filing_sections(spark, d)), items=extract.CONTEXT)
 
 
-@query()
+@query(extract_sql.DERIVED_TOTALS)
 def derived_totals(spark: SparkSession, d: str) -> DataFrame:
     return extract.derived_totals(cut(extract.section_rows(cut(filing_sections(spark, d)), FILING)))
 

@@ -212,8 +212,8 @@ select section_id, case when m + k > 0 and m >= k then 1000000 else 1000 end as
 from u
 """
 
+_ITEM_ROWS = "items as (select distinct * exclude (cross_check, restated_next_year) from line_items)"
 _CHECKED = """
-items as (select distinct * exclude (cross_check, restated_next_year) from line_items),
 checked as (
   select a.club, a.company_number, a.year, a.item, a.value_gbp, b.comparative_gbp as later, a.confidence,
     a.value_gbp is not null and b.comparative_gbp is not null as known,
@@ -230,9 +230,8 @@ said as (
   from checked
 )
 """
-CROSS_CHECK = f"with {_CHECKED} select * from said"
-SERIES_CHECK = f"""
-with {_CHECKED},
+CROSS_CHECK = f"with {_ITEM_ROWS}, {_CHECKED} select * from said"
+_SAID_SERIES = """
 middle as (
   select club, company_number, item, median(abs(value_gbp::double)) as mid from said
   where item in ('revenue', 'wages', 'player_amortisation') and value_gbp is not null group by all having count(*) >= 2 and mid <> 0
@@ -240,14 +239,17 @@ middle as (
 r as (
   select s.*, m.mid, abs(s.value_gbp::double) / m.mid as ratio
   from said s left join middle m on s.club is not distinct from m.club and s.company_number is not distinct from m.company_number and s.item = m.item
+),
+tested as (
+  select club, company_number, year, item, value_gbp,
+    case when coalesce(ratio < 0.25 or ratio > 4.0, false)
+      then coalesce(cross_check || '; ', '') || 'OUTLIER: ' || format('{:.2f}', ratio) || 'x this club''s median ' || item || ' (' || format('{:,.0f}', mid) || ')'
+      else cross_check end as cross_check,
+    restated_next_year, case when coalesce(ratio < 0.25 or ratio > 4.0, false) then 'low' else confidence end as confidence
+  from r
 )
-select club, company_number, year, item, value_gbp,
-  case when coalesce(ratio < 0.25 or ratio > 4.0, false)
-    then coalesce(cross_check || '; ', '') || 'OUTLIER: ' || format('{{:.2f}}', ratio) || 'x this club''s median ' || item || ' (' || format('{{:,.0f}}', mid) || ')'
-    else cross_check end as cross_check,
-  case when coalesce(ratio < 0.25 or ratio > 4.0, false) then 'low' else confidence end as confidence
-from r
 """
+SERIES_CHECK = f"with {_ITEM_ROWS}, {_CHECKED}, {_SAID_SERIES} select * exclude (restated_next_year) from tested"
 
 _TOKENS = r"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[£$€]?\d[\d,.]*%?', ' ', 'g'), '[a-z][a-z''’-]*')"
 TOKENS = f"select section_id, len({_TOKENS}) as n_tokens, len(list_distinct({_TOKENS})) as n_terms from (select distinct section_id, text from sections)"
