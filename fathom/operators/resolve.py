@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.frames import join_on
 
 # Kinds of accounts, best first; the first three are usable.
 ACCOUNTS = [
@@ -49,7 +50,7 @@ def search_candidates(hits: DataFrame, clubs: DataFrame) -> DataFrame:
     ``hits``: (club, query_no, result_no, title, company_number, company_status, date_of_creation);
     ``clubs``: (club, queries). Hits without a number are dropped.
     """
-    df = hits.filter(F.col("company_number").isNotNull() & (F.col("company_number") != "")).join(clubs.select("club", "queries"), "club")
+    df = join_on(hits.filter(F.col("company_number").isNotNull() & (F.col("company_number") != "")), clubs.select("club", "queries"), ["club"], "inner")
     df = df.filter(plausible(F.col("title"), F.col("company_status"), F.col("queries")))
     w = W.partitionBy("club", "company_number").orderBy("query_no", "result_no")
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "queries", "query_no", "result_no")
@@ -77,7 +78,7 @@ def resolve(candidates: DataFrame, filings: DataFrame) -> DataFrame:
     Order: best kind of accounts, more usable recent ones, newest, company number. A candidate
     without accounts has the rank after the last kind.
     """
-    df = candidates.join(accounts_summary(filings), "company_number", "left")
+    df = join_on(candidates, accounts_summary(filings), ["company_number"])
     df = df.withColumn("accounts_filings", F.coalesce("accounts_filings", F.lit(0))).withColumn("best_rank", F.coalesce("best_rank", F.lit(len(ACCOUNTS))))
     df = df.withColumn("n_usable_recent", F.coalesce("n_usable_recent", F.lit(0))).withColumn("recent_descriptions", F.coalesce("recent_descriptions", F.array().cast("array<string>")))
     order = W.partitionBy("club").orderBy("best_rank", F.col("n_usable_recent").desc(), X.date_key(F.col("latest_date")).desc(), "company_number")
@@ -87,6 +88,8 @@ def resolve(candidates: DataFrame, filings: DataFrame) -> DataFrame:
 def pick_filings(filings: DataFrame, n: int = PER_COMPANY, keys: list[str] = ["company_number"]) -> DataFrame:  # noqa: B006
     """The ``n`` newest periods of each company, the newest usable filing of each, with ``year``.
 
+    Over several clubs name the club among ``keys``: filings without a number are then their club's.
+
     ``filings``: (keys, type, date, description, transaction_id, made_up_date). A filing without a
     made-up date stands for the period of its own date. Amended accounts never crowd out a year.
     """

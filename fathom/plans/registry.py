@@ -293,16 +293,19 @@ def resolved_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql.CANDIDATES)
 def plausible_names(spark: SparkSession, d: str) -> DataFrame:
-    """Company names searched for by the first word and the whole name of every club they file for."""
+    """Company names found for a club by two searches, for its first word and for its whole name; a
+    company's first plausible hit in that order stands."""
     some = filings(spark, d)
-    hits = some.select("club", F.lit(0).alias("query_no"), F.dense_rank().over(sections.W.partitionBy("club").orderBy("company_name", "company_number")).alias("result_no"), F.col("company_name").alias("title"), "company_number", F.lit("active").alias("company_status"), F.lit(None).cast("string").alias("date_of_creation")).distinct()
-    clubs = some.select("club").distinct().withColumn("queries", F.array(F.replace("club", F.lit("-"), F.lit(" "))))
+    word = F.get(F.split("club", "-"), F.lit(0))
+    hits = some.select("club", F.explode(F.array(F.lit(0), F.lit(1))).alias("query_no"), F.dense_rank().over(sections.W.partitionBy("club").orderBy("company_name", "company_number")).alias("result_no"), F.col("company_name").alias("title"), "company_number", F.lit("active").alias("company_status"), F.lit(None).cast("string").alias("date_of_creation")).distinct()
+    hits = hits.filter((F.col("query_no") == 1) | F.contains(F.lower("title"), word))
+    clubs = some.select("club").distinct().withColumn("queries", F.array(word, F.replace("club", F.lit("-"), F.lit(" "))))
     return resolve.search_candidates(hits, clubs).select("club", "company_number", "title")
 
 
 @query(sql.PICKED)
 def picked_filings(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.pick_filings(filings(spark, d)).select("company_number", "transaction_id", "year", "place")
+    return resolve.pick_filings(filings(spark, d), keys=ENTITY).select("club", "company_number", "transaction_id", "year", "place")
 
 
 @query(sql.LABELS)
@@ -320,9 +323,10 @@ def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
     return cache.upsert(rows.filter(~group), rows.filter(group), FILING, order).select(*FILING, "transaction_id")
 
 
-@query(sql.NOT_PARSED)
-def filings_to_parse(spark: SparkSession, d: str) -> DataFrame:
-    return cache.not_yet(table(spark, d, "manifest").select(*FILING).distinct(), table(spark, d, "sections"), FILING)
+@query(sql.NOT_SCORED)
+def filings_to_score(spark: SparkSession, d: str) -> DataFrame:
+    """Filings that no pair of years ends with: the first of each company and those left out."""
+    return cache.not_yet(table(spark, d, "manifest").select(*FILING).distinct(), table(spark, d, "drift"), FILING)
 
 
 @query(sql.WORK)
@@ -349,6 +353,23 @@ def items_table(spark: SparkSession, d: str) -> DataFrame:
     return report.items_table(items(spark, d), ENTITY)
 
 
+def validated(spark: SparkSession, d: str) -> DataFrame:
+    """The items as a reviewer returns them who accepts every restatement: ``corrected_value`` is
+    the restated one, blank where nothing was restated."""
+    return items(spark, d).withColumn("corrected_value", F.coalesce(F.col("restated_next_year").cast("string"), F.lit("")))
+
+
+@query(sql.VALIDATED_TABLE)
+def validated_items_table(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = report.prefer(validated(spark, d), items(spark, d))
+    return report.items_table(rows, ENTITY)
+
+
+@query(sql.VALIDATED_ALIGNMENT)
+def validated_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return report.alignment(validated(spark, d), table(spark, d, "drift"), entity=ENTITY)
+
+
 @query(sql.ALIGNMENT)
 def alignment(spark: SparkSession, d: str) -> DataFrame:
     return report.alignment(items(spark, d), table(spark, d, "drift"), entity=ENTITY)

@@ -411,18 +411,18 @@ CANDIDATES = r"""
 with f as (select distinct club, company_number, company_name as title, lower(company_name) as name, replace(club, '-', ' ') as q from manifest where coalesce(company_number, '') <> ''),
 ok as (
   select * from f where not regexp_matches(name, 'supporters|fan club|ladies|travel club|foundation|charitable|community sports')
-    and (regexp_split_to_array(regexp_replace(name, '^the\s+', ''), '[\s,.]+')[1] = string_split(q, ' ')[1] or contains(name, q))
+    and (regexp_split_to_array(regexp_replace(name, '^the\s+', ''), '[\s,.]+')[1] = string_split(q, ' ')[1] or contains(name, string_split(q, ' ')[1]) or contains(name, q))
 )
-select club, company_number, min(title) as title from ok group by all
+select club, company_number, coalesce(min(title) filter (contains(name, string_split(q, ' ')[1])), min(title)) as title from ok group by all
 """
 PICKED = f"""
 with {_FILINGS},
 periods as (
   select * from filings where kind < 3
-  qualify row_number() over (partition by company_number, coalesce(nullif(made_up_date, ''), filing_date, '') order by coalesce(filing_date, '') desc, transaction_id desc) = 1
+  qualify row_number() over (partition by club, company_number, coalesce(nullif(made_up_date, ''), filing_date, '') order by coalesce(filing_date, '') desc, transaction_id desc) = 1
 )
-select company_number, transaction_id, substr(coalesce(nullif(made_up_date, ''), filing_date, ''), 1, 4) as year,
-  row_number() over (partition by company_number order by coalesce(filing_date, '') desc, transaction_id desc) as place
+select club, company_number, transaction_id, substr(coalesce(nullif(made_up_date, ''), filing_date, ''), 1, 4) as year,
+  row_number() over (partition by club, company_number order by coalesce(filing_date, '') desc, transaction_id desc) as place
 from periods qualify place <= 3
 """
 LABELS = """
@@ -435,9 +435,9 @@ select club, company_number, year, transaction_id from (select distinct * from m
 where accounts_type is not null
 qualify row_number() over (partition by club, company_number, year order by (accounts_type = 'accounts-with-accounts-type-group') desc, filing_date desc, transaction_id desc) = 1
 """
-NOT_PARSED = """
+NOT_SCORED = """
 select distinct club, company_number, year from manifest m
-where not exists (select 1 from sections s where s.club = m.club and s.company_number is not distinct from m.company_number and s.year = m.year)
+where not exists (select 1 from drift s where s.club = m.club and s.company_number is not distinct from m.company_number and s.year = m.year)
 """
 WORK = """
 with done as (select distinct club, company_number, year, year::int % 2 + 1 as method from ocr_pages),
@@ -464,6 +464,8 @@ w as (
 )
 select club, company_number, year, {", ".join(f"{_MONEY(n)} as {n}" for n in ("revenue", "wages", "player_amortisation", "profit_on_disposal"))} from w
 """
+_CORRECTED = "with i as (select distinct * replace (coalesce(restated_next_year, value_gbp) as value_gbp) from line_items)"
+VALIDATED_TABLE = ITEMS_TABLE.replace("with i as (select distinct * from line_items)", _CORRECTED)
 ALIGNMENT = f"""
 with i as (select distinct * from line_items), d as (select distinct * from drift),
 y as (select club, company_number, year, min(value_gbp) filter (item = 'profit_on_disposal') as v from i group by all)
@@ -471,6 +473,7 @@ select y.club, y.company_number, y.year, {_MONEY("v")} as profit_on_disposal,
   coalesce(format('{{:.3f}}', d.cosine_novelty), '— (no prior year)') as cosine_novelty, coalesce(format('{{:.2f}}', d.surprisal_bits), '—') as surprisal_bits
 from y left join d on d.club = y.club and d.company_number is not distinct from y.company_number and d.year = y.year
 """
+VALIDATED_ALIGNMENT = ALIGNMENT.replace("with i as (select distinct * from line_items)", _CORRECTED)
 VALIDATION = r"""
 select club, company_number, year, item, coalesce('£' || format('{:,.0f}', value_gbp::double), '—') as value, confidence,
   coalesce(case when starts_with(cross_check, 'agrees') and contains(cross_check, 'OUTLIER') then 'ok; **' || regexp_extract(cross_check, 'OUTLIER.*') || '**'

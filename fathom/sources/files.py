@@ -14,13 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.frames import cut
+from ..operators.cache import not_yet
+from ..operators.sections import keep_better, split_tables
 
 PAGES = "path string, page int, text string, source string"
 
 
+def found(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, on whatever file system the pattern names; none if nothing does."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    some = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return sorted(x.getPath().toString() for x in some or [])
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """All-string CSV with a header; blank is NULL; a missing file is an empty table."""
-    if not os.path.exists(path):
+    if not found(spark, path):
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
     return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', nullValue="", emptyValue="")
 
@@ -54,6 +64,16 @@ def parsed_filings(spark: SparkSession, pattern: str) -> DataFrame:
     return docs.select("club", "company_number", "year", "flags", F.explode("sections").alias("section", "text"))
 
 
+def has_parsed_filings(spark: SparkSession, folder: str) -> bool:
+    """Whether ``folder`` holds any parsed filing, as ``<club>/<year>.json``; placeholders do not count."""
+    return bool(found(spark, f"{folder}/*/*.json"))
+
+
+def club_years(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(club, year) of every parsed filing in ``folder``, in order. Names are listed, no file is read."""
+    return sorted((x.rsplit("/", 2)[1], x.rsplit("/", 1)[1].removesuffix(".json")) for x in found(spark, f"{folder}/*/*.json"))
+
+
 def cached_pages(spark: SparkSession, pattern: str) -> DataFrame:
     """Cached page texts as (club, year, page, text), pages from 0, in their order."""
     docs = spark.read.schema("club string, year string, pages array<string>").json(pattern, multiLine=True)
@@ -138,6 +158,33 @@ def page_images(content: bytes, dpi: int = 200) -> list[bytes]:
     return out
 
 
+def page_count(content: bytes) -> int:
+    """Pages of a PDF, without rendering any. Needs pypdfium2."""
+    import pypdfium2
+
+    pdf = pypdfium2.PdfDocument(content)
+    try:
+        return len(pdf)
+    finally:
+        pdf.close()
+
+
+def page_counts(files: DataFrame, count: Callable[[bytes], int] = page_count) -> DataFrame:
+    """(path, n_pages) of ``files`` (path, content); NULL for a file that cannot be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for content in batch["content"]:
+                try:
+                    out.append(count(bytes(content)))
+                except Exception:
+                    out.append(None)
+            yield pd.DataFrame({"path": batch["path"], "n_pages": pd.array(out, "Int32")})
+
+    return files.select("path", "content").mapInPandas(run, "path string, n_pages int")
+
+
 def scanned_pages(files: DataFrame, images: Callable[[bytes], list[bytes]] = page_images, read: Callable[[bytes], str] | None = None, tasks: int = 200) -> DataFrame:
     """(path, page, text) by OCR of ``files`` (path, content). Pages of all files are spread over
     tasks before the costly step, so one long file does not hold up the rest."""
@@ -157,12 +204,33 @@ def scanned_pages(files: DataFrame, images: Callable[[bytes], list[bytes]] = pag
     return pages.repartition(tasks, "path", "page").mapInPandas(recognise, "path string, page int, text string")
 
 
+def repaired_pages(files: DataFrame, images: Callable[[bytes], list[bytes]] = page_images, read: Callable[[bytes], str] | None = None, again: Callable[[bytes], str] | None = None, pages: DataFrame | None = None, tasks: int = 200) -> DataFrame:
+    """(path, page, text, repaired): OCR of ``files`` with pages whose tables fell apart read once more.
+
+    ``again`` is a reader in a mode for tables; its text is kept where it has more table rows. ``pages``
+    (path, page, text) are earlier readings to repair instead of reading all pages again. The second
+    reading sees only the images of the pages that look split.
+    """
+    again = again or command_reader(psm=6)
+    first = pages if pages is not None else scanned_pages(files, images, read, tasks)
+    first = cut(first.select("path", F.col("page").cast("int"), "text"))
+    split = split_tables(first).filter("looks_split").groupBy("path").agg(F.collect_list("page").alias("wanted"))
+
+    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content, wanted in zip(batch["path"], batch["content"], batch["wanted"]):
+                some = images(bytes(content))
+                yield pd.DataFrame({"path": path, "page": list(wanted), "text": [again(bytes(some[i])) for i in wanted]})
+
+    reread = files.select("path", "content").join(split, "path").repartition(tasks, "path").mapInPandas(second, "path string, page int, text string")
+    return keep_better(first, reread, ["path", "page"])
+
+
 def preferred_text(ocr: DataFrame, layer: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, page, text, text_source): a filing's OCR pages if there are any, else its text layer.
 
-    E-signing banners are emptied in OCR text only.
+    E-signing banners are emptied in OCR text only. NULL keys are values like others.
     """
-    have = ocr.select(*keys).distinct()
     a = ocr.select(*keys, "page", X.strip_banner(F.col("text")).alias("text"), F.lit("ocr").alias("text_source"))
-    b = layer.join(have, keys, "left_anti").select(*keys, "page", "text", F.lit("text_layer").alias("text_source"))
+    b = not_yet(layer, ocr, keys).select(*keys, "page", "text", F.lit("text_layer").alias("text_source"))
     return a.unionByName(b)

@@ -76,6 +76,76 @@ def test_register_source(spark, tmp_path):
     assert none.count() == 0
 
 
+def test_pauses_are_never_shorter_than_a_back_off():
+    ok = (200, {}, b"{}")
+    c, clock = client([(429, {"Retry-After": "0"}, b""), (429, {"Retry-After": "2.75"}, b""), (429, {"Retry-After": "soon"}, b""), ok])
+    c.profile("1")
+    assert 1 <= clock.slept[0] <= 1.5 and clock.slept[1] == 2.75 and 4 <= clock.slept[2] <= 4.5
+
+
+def test_documents_are_asked_for_as_pdf():
+    said = []
+    c = rest.Client("http://x", key="k", get=lambda url, headers, timeout: said.append((url, headers.get("Accept"))) or (200, {"Content-Type": "application/pdf"}, b"%PDF"))
+    assert c.document("http://d/", "9") == (b"%PDF", "application/pdf") and said == [("http://d/document/9/content", "application/pdf")]
+
+
+def test_partitions_share_the_limit():
+    reader = rest.RegisterReader({"todo": json.dumps([str(i) for i in range(1000)]), "parallel": "8", "fixtures": "x"}, "filings")
+    parts = reader.partitions()
+    assert len(parts) == 8 and sorted(x for p in parts for x in p.value) == sorted(str(i) for i in range(1000))
+    assert sum(reader.client().calls for _ in parts) <= rest.CALLS
+    assert rest.RegisterReader({"todo": "[]"}, "filings").partitions() == []
+
+
+def test_download_keeps_what_is_there_and_says_what_failed(spark, tmp_path):
+    answers, out = tmp_path / "answers", tmp_path / "raw"
+    answers.mkdir()
+    (out / "c").mkdir(parents=True)
+    (out / "c" / "2020.pdf").write_bytes(b"old")
+    (out / "c" / "2022.pdf").write_bytes(b"")
+    (answers / urllib.parse.quote("/document/D22/content", safe="")).write_bytes(b"%PDF-22")
+    spark.dataSource.register(rest.RegisterSource)
+    rows = [("c", "7", "C Ltd", y, f"{y}-12-01", f"{y}-06-30", f"t{y}", "full", doc) for y, doc in (("2020", "D20"), ("2021", None), ("2022", "D22"), ("2023", "gone"))]
+    picked = spark.createDataFrame(rows, "club string, company_number string, company_name string, year string, date string, made_up_date string, transaction_id string, description string, document_id string")
+    before = spark.createDataFrame([("c", "2019", "kept", 5)], "club string, year string, path string, bytes long")
+    got = {r["year"]: r for r in rest.download(picked, str(out), before, {"fixtures": str(answers)}).collect()}
+    assert {y: (r["bytes"], r["error"]) for y, r in got.items()} == {"2019": (5, None), "2020": (3, None), "2021": (0, rest.NO_LINK), "2022": (7, None), "2023": (0, "document: HTTP 404")}
+    assert (out / "c" / "2022.pdf").read_bytes() == b"%PDF-22" and got["2022"]["content_type"] == "application/json"
+    assert rest.download(picked.limit(0), str(out), None, {"fixtures": str(answers)}).count() == 0
+
+
+def test_files_are_listed_wherever_they_are(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / ".gitkeep").write_text("")
+    assert not files.has_parsed_filings(spark, f"file://{tmp_path}") and files.club_years(spark, str(tmp_path)) == []
+    for y in ("2024", "2023"):
+        (tmp_path / "c" / f"{y}.json").write_text("{}")
+    assert files.has_parsed_filings(spark, str(tmp_path)) and files.club_years(spark, f"file://{tmp_path}") == [("c", "2023"), ("c", "2024")]
+    (tmp_path / "t.csv").write_text("a,b\n1,\n")
+    assert files.read_csv(spark, f"file://{tmp_path}/t.csv", ["a", "b"]).count() == 1
+
+
+def test_split_pages_are_read_again(spark):
+    split, whole = "Turnover\nCost of sales\n512,467 481,278\n467,205 386,794\n45,262 94,484", "Turnover 512,467 481,278\nCost 1 2"
+    files_ = spark.createDataFrame([("a.pdf", b"x"), ("b.pdf", b"y"), ("bad.pdf", b"")], "path string, content binary")
+    said = []
+    images = lambda content: [content + b"0", content + b"1"] if content else []
+    read = lambda image: split if image == b"x1" else "prose"
+    got = {(r["path"], r["page"]): (r["text"], r["repaired"]) for r in files.repaired_pages(files_, images, read, lambda image: whole, tasks=2).collect()}
+    assert got == {("a.pdf", 0): ("prose", False), ("a.pdf", 1): (whole, True), ("b.pdf", 0): ("prose", False), ("b.pdf", 1): ("prose", False)} and not said
+    cached = spark.createDataFrame([("a.pdf", 1, split)], "path string, page int, text string")
+    assert [tuple(r) for r in files.repaired_pages(files_, images, read, lambda image: "worse", cached, tasks=2).collect()] == [("a.pdf", 1, split, False)]
+    counts = {r["path"]: r["n_pages"] for r in files.page_counts(files_, lambda c: len(c) if c else 1 // 0).collect()}
+    assert counts == {"a.pdf": 1, "b.pdf": 1, "bad.pdf": None}
+
+
+def test_text_layers_of_filings_without_a_number(spark):
+    schema = "club string, company_number string, page int, text string"
+    ocr, layer = spark.createDataFrame([("a", None, 0, "o")], schema), spark.createDataFrame([("a", None, 0, "l"), ("b", None, 0, "l")], schema)
+    got = files.preferred_text(ocr, layer, ["club", "company_number"]).collect()
+    assert sorted((r["club"], r["text_source"]) for r in got) == [("a", "ocr"), ("b", "text_layer")]
+
+
 def test_csv_keeps_blank_and_nil_apart(spark, tmp_path):
     df = spark.createDataFrame([("a", None, 'say "x", y'), ("b", 0, "")], "club string, value_gbp long, note string")
     files.write_csv(df, str(tmp_path / "t"), ["club", "value_gbp", "note"], ["club"])
