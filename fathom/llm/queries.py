@@ -73,7 +73,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "ocr_pages")
     rows = scans.page_records(pages, table(spark, d, "sections"), "club")
-    return scans.repaired(rows, scans.damage(rows.drop("club"), pages), scans.running_lines(pages))
+    decoder = scans.Decoder(pages)
+    return scans.repaired(rows, scans.damage(rows.drop("club"), pages, decoder), scans.running_lines(pages), decoder)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,15 +1,18 @@
 """Repair of text from scanned pages.
 
-Words are decoded jointly over line ends: the pieces around a line-end mark may be one word, a word
-that properly has a hyphen, or either with one misread character. Every reading is a path with a cost
-(the negative log of the word's frequency in the collection's pages, plus a charge for a misread)
-and the cheapest wins. Frequencies come from a lexicon of the undamaged words of all pages, which is
-joined by key and never sent anywhere as a whole; only its most frequent part, at most
-``1 / FREQUENT`` words by definition, is given to the executors to tell what needs no decoding.
+The text is a stream of characters that a noisy channel has spoilt: characters are read as others,
+words are broken at line ends with a mark or at a blank, or run together. Decoding finds the cheapest
+path through a lattice of words; a path's cost is the negative log of its words' frequencies in
+the collection's pages and of the rates of the confusions, breaks and marks it assumes. Rates of
+confusions are learnt (``channel``). Words that are frequent and no misread of others stand as they
+are, so the lattice falls into short spots between them: a token, a line end with a mark, or the
+neighbours of an unknown word. Readings that need the lexicon meet it in joins by key; only its most
+frequent part, at most ``1 / FREQUENT`` words by definition, is given to the executors.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,44 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import cut
+from .channel import FREQUENT, Channel, decoded_forms, learn, text_lines
 from .lines import MIN_PAGES, MIN_SHARE
 
-FREQUENT = 2e-6
-# Words of up to SHORT characters are near to many others: a figure at their edge may number something
-# and is a letter only if the word is a common one.
-SHORT, COMMON = 3, 1e-4
-# How often a right word is misread in one way by chance, at most.
-MISREAD_RATE = 0.01
-EDIT_COST = 6.0
-LEAST_RIGHT = 30
-# The same for a form with a letter group that hardly stands in any other word, as a share of all words:
-# a running line misread once stands misread on many pages.
-RARE_RATE, RARE_LETTERS = 0.15, 45e-6
+# How often a line ends in a mark that belongs to no word, and a blank is lost or added inside a line.
+STRAY, LOST, ADDED = 1e-3, 1e-5, 1e-5
 # Marks that a scan leaves at the end of a broken line.
 MARKS = "-‐¬\xad"
-# What characters are read as, (right, read).
-CONFUSIONS = [
-    ("i", "!"), ("l", "1"), ("o", "0"), ("s", "5"), ("b", "6"), ("a", "@"), ("i", "1"), ("e", "c"), ("d", "cl"), ("g", "q"),
-    ("u", "ii"), ("in", "m"), ("m", "rn"), ("h", "b"), ("t", "l"), ("w", "vv"), ("li", "h"),
-]
 # On so many different pages of a filing a line is a running one, if it is among the first or last lines.
 RUNNING_PAGES, EDGE = 3, 3
 PAGE_NUMBER = r"[^\w\n]*(?:(?:page|pg|p)\b[^\w\n]*)?0*{}(?:\s*(?:of|/)\s*\d+)?[^\w\n]*"
 
 
-def readings(word: str, symbols_only: bool = False) -> set[str]:
-    """Words that may have been misread as ``word``: one confusion undone, all of a symbol's."""
-    out = set()
-    for right, read in CONFUSIONS:
-        if symbols_only and read.isalpha():
-            continue
-        at = word.find(read)
-        while at >= 0:
-            out.add(word[:at] + right + word[at + len(read) :])
-            at = word.find(read, at + 1)
-    return {x for x in out if x.isalpha()}
-
-
 def line_joints(text: str) -> tuple[list[tuple[str, str]], str]:
     """The pieces around each marked line end, and the text without them."""
     joints, rest, done = [], [], 0
@@ -79,8 +56,21 @@ def bare(token: str) -> str:
     return token.rstrip(outer + "!").lstrip(outer).lower()
 
 
+def is_word(w: str) -> bool:
+    return w.isalpha() or (w.replace("-", "").replace("'", "").replace("’", "").isalpha() and not w.isalpha())
+
+
+def form_of(token: str) -> str | None:
+    """What a token is counted as: a word, a form with letters and other signs, or NULL."""
+    w, edge = bare(token), token.strip(".,;:()[]\"'’?").lower()
+    if w and is_word(w) and edge.strip("!") == edge:
+        return w
+    return edge if len(edge) > 1 and any(map(str.isalpha, edge)) else None  # a final or first ! may be a letter
+
+
 def lexicon(pages: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): words of letters (with inner hyphens or apostrophes) in all pages.
+    """(form, n, word): what stands in all pages. ``word`` is true for letters with inner hyphens or
+    apostrophes, false for forms with other signs among their letters.
 
     Counted inside each batch first, so what is shuffled grows with the vocabulary, not the text.
     Pieces of words broken at line ends are left out.
@@ -92,188 +82,164 @@ def lexicon(pages: DataFrame, text: str = "text") -> DataFrame:
             for x in batch.column(0).to_pylist():
                 if x:
                     raw.update(line_joints(x)[1].split())
-            words: Counter[str] = Counter()
+            forms: Counter[str] = Counter()
             for token, n in raw.items():
-                w = bare(token)
-                if w and (w.isalpha() or w.replace("-", "").replace("'", "").replace("’", "").isalpha()):
-                    words[w] += n
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
-
-    return pages.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+                f = form_of(token)
+                if f is not None:
+                    forms[f] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(forms), pa.string()), pa.array(list(forms.values()), pa.int64()), pa.array([is_word(f) for f in forms], pa.bool_())], names=["form", "n", "word"])
 
+    rows = pages.select(text).mapInArrow(count, "form string, n long, word boolean")
+    return rows.groupBy("form", "word").agg(F.sum("n").alias("n")).select("form", "n", "word")
 
-def letter_groups(word: str) -> set[str]:
-    """Groups of three letters with word ends, over a-z and one sign for all other letters."""
-    w = "^" + re.sub("[^a-z]", "*", word) + "$"
-    return {w[i : i + 3] for i in range(len(w) - 2)}
 
+FOUND = "tab string, rec_id long, kind string, wrong string, word string, known int, other int"
 
-def group_counts(words: DataFrame) -> dict[str, int]:
-    """Occurrences of each letter group in the collection: at most 29 ** 3 numbers."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[str] = Counter()
-        for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for g in letter_groups(w):
-                    total[g] += n
-        yield pa.RecordBatch.from_pydict({"g": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
-
-    return {r["g"]: r["n"] for r in words.mapInArrow(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
 
+def suspects(records: DataFrame, frequent: list[str], channel: Channel) -> DataFrame:
+    """(tab, rec_id, kind, wrong, word, known, other): all spots that the lexicon has to judge.
 
-def misread_words(words: DataFrame, total: int) -> DataFrame:
-    """(wrong, word): words of the lexicon that are a misread form of a far more frequent one.
-
-    What chance explains is a misread; a word that is seen more often than that must also hold a letter
-    group that is rare in the other words, or it is a word of its own. Both are shares (of the right
-    word, of all ``total`` words), which stay as they are when the collection grows. Short words are
-    near to many others and must pass as chance and by their letter groups.
+    ``records``: (tab, rec_id, page, text). Kind split: the pieces around a marked line end; form: a
+    token that is no ``frequent`` word and holds what a learnt confusion reads, with the number of
+    frequent words of its line and of its other words; page_no: the page's own number.
     """
-    groups = group_counts(words)
-
-    def undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, n, b, rare = [], [], [], []
-            for w, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(w) > 1 and w.isalpha():
-                    own = letter_groups(w)
-                    for r in readings(w):
-                        if len(r) == 1:
-                            continue
-                        a.append(w)
-                        n.append(k)
-                        b.append(r)
-                        rare.append(min((groups[g] - k for g in own - letter_groups(r)), default=1 << 62))
-            yield pa.RecordBatch.from_pydict({"wrong": pa.array(a, pa.string()), "k": pa.array(n, pa.int64()), "word": pa.array(b, pa.string()), "rarest": pa.array(rare, pa.int64())})
-
-    tried = words.mapInArrow(undo, "wrong string, k long, word string, rarest long")
-    known = words.filter(F.col("n") >= LEAST_RIGHT)
-    chance = F.col("k") <= MISREAD_RATE * F.col("n")
-    odd = (F.col("k") <= RARE_RATE * F.col("n")) & (F.col("rarest") <= RARE_LETTERS * total)
-    hits = tried.join(known, "word").filter(F.when(F.length("wrong") <= SHORT, chance & odd).otherwise(chance | odd))
-    return hits.groupBy("wrong").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
-
-
-def joined_misread(found: DataFrame, words: DataFrame) -> DataFrame:
-    """Broken words whose joined pieces are no word, read with one misread letter."""
-
-    def undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(t, r, "split", w, x) for t, r, w, joined in zip(*(c.to_pylist() for c in batch.columns)) if joined.isalpha() for x in readings(joined)]
-            columns = list(zip(*out)) or [()] * 5
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["tab", "rec_id", "kind", "wrong", "word"])
-
-    rest = found.filter("kind = 'split' and edits = 0").join(words.select("word"), "word", "left_anti").select("tab", "rec_id", "wrong", "word")
-    return rest.mapInArrow(undo, "tab string, rec_id long, kind string, wrong string, word string").withColumn("edits", F.lit(1)).join(words.filter(F.col("n") >= LEAST_RIGHT), "word")
-
-
-def suspects(records: DataFrame, frequent: list[str], common: list[str]) -> DataFrame:
-    """(tab, rec_id, kind, wrong, word, edits): all readings that the lexicon has to judge.
-
-    ``records``: (tab, rec_id, page, text). Words among the frequent need no decoding. Lines of which
-    less than a third of the other words are known are rubbish and are not decoded. For short words a
-    third of all tokens must be known words of three or more letters, and the reading must be frequent,
-    or ``common`` if a figure is at its edge.
-    """
-    known = records.sparkSession.sparkContext.broadcast((frozenset(frequent), frozenset(common)))
+    shared = records.sparkSession.sparkContext.broadcast((frozenset(frequent), sorted({b for _, b in channel.rates})))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, common = known.value
-        read = [r for _, r in CONFUSIONS]
-        letters_read = [r for r in read if r.isalpha()]
-        allowed = re.compile(r"[^\W\d_]*(?:[10 56@!][^\W\d_]*)+".replace(" ", ""))
-        state: dict[str, tuple[int, str]] = {}  # 0 known, 1 no word, 2 unknown word, 3 perhaps misread, 4 with symbols
-
-        def spelled(w: str) -> set[str]:
-            found = readings(w, symbols_only=True)
-            if len(w) > SHORT:
-                return found
-            return {r for r in found if len(r) > 1 and r in (common if w[0].isdigit() or w[-1].isdigit() else words)}
+        words, reads = shared.value
+        signs = re.escape("".join({c for b in reads for c in b if not c.isalpha()}) or "\0")
+        possible = re.compile(rf"(?:[^\W\d_]|[{signs}])+")
+        state: dict[str, tuple[int, str]] = {}  # 0 frequent, 1 no word, 2 other word, 3 perhaps misread
 
         def judge(token: str) -> tuple[int, str]:
-            w = bare(token)
-            if w in words:
-                return 0, w
-            if w.isalpha():
-                return (3 if len(w) > 1 and any(r in w for r in letters_read) else 2), w
-            w = token.strip(".,;:()[]\"'’?").lower()  # a final or first ! may be a letter
-            if len(w) > 1 and allowed.fullmatch(w) and spelled(w):
-                return 4, w
-            return (2 if any(map(str.isalpha, w)) else 1), w
+            f = form_of(token)
+            if f is None:
+                return 1, ""
+            if f in words or f.strip("!") in words:
+                return 0, f.strip("!")
+            return (3 if possible.fullmatch(f) and any(b in f for b in reads) else 2), f
 
         for batch in batches:
-            out: list[tuple[str, int, str, str, str, int]] = []
+            out: list[tuple] = []
             for tab, rec, page, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if not text:
                     continue
                 joints, rest = line_joints(text)
                 for a, b in joints:
                     x, y = bare(a), bare(b)
-                    if len(x) and len(y):
-                        out.append((tab, rec, "split", f"{x}-{y}", x + y, 0))
-                        out += [(tab, rec, "split", f"{x}-{y}", r, 1) for r in readings(x + y, symbols_only=True)]
+                    if x and y:
+                        out.append((tab, rec, "split", f"{x}-{y}", x + y, 0, 0))
                 for line in rest.split("\n"):
-                    found, sure, other, solid = [], 0, 0, 0
-                    tokens = line.split()
-                    for token in tokens:
+                    found, known, other = [], 0, 0
+                    for token in line.split():
                         s = state.get(token)
                         if s is None:
                             if len(state) > 500_000:
                                 state.clear()
                             s = state[token] = judge(token)
                         if s[0] == 0:
-                            sure += 1
-                            solid += len(s[1]) > 2
-                        elif s[0] >= 2:
+                            known += 1
+                        elif s[0] > 1:
                             other += 1
-                            if s[0] >= 3:
-                                found.append(s)
-                    if found and (sure * 3 >= sure + other - 1):
-                        for kind, w in found:
-                            if len(w) <= SHORT and solid * 3 < len(tokens):
-                                continue
-                            if kind == 3:
-                                out.append((tab, rec, "letters", w, w, 1))
-                            else:
-                                out += [(tab, rec, "misread", w, r, 1) for r in spelled(w)]
+                            if s[0] == 3:
+                                found.append(s[1])
+                    out += [(tab, rec, "form", f, f, known, other - 1) for f in found]
                 if page is not None:
                     number = re.compile(PAGE_NUMBER.format(page), re.IGNORECASE)
                     lines = [y for x in text.split("\n") if (y := x.strip())]
                     for line in {lines[0], lines[-1]} if lines else ():
                         if number.fullmatch(line):
-                            out.append((tab, rec, "page_no", line, line, 0))
-            columns = list(zip(*out)) or [()] * 6
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["tab", "rec_id", "kind", "wrong", "word", "edits"])
+                            out.append((tab, rec, "page_no", line, line, 0, 0))
+            columns = list(zip(*out)) or [()] * 7
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["tab", "rec_id", "kind", "wrong", "word", "known", "other"])
+
+    return records.select("tab", F.col("rec_id").cast("long"), "page", "text").mapInArrow(find, FOUND)
 
-    return records.select("tab", F.col("rec_id").cast("long"), "page", "text").mapInArrow(find, "tab string, rec_id long, kind string, wrong string, word string, edits int")
 
+def joined(spots: DataFrame, words: DataFrame, channel: Channel) -> DataFrame:
+    """(wrong, word): of distinct (wrong, word) spots around marked line ends those that are one word.
+
+    The lattice of a spot: the pieces as one word, as it stands or with one misread undone; as a word
+    that has a hyphen; as two words and a stray mark; or as a word that nobody has seen. A path's cost
+    is that of its words and of what happened to them; the cheapest path decides.
+    """
+    shared = spots.sparkSession.sparkContext.broadcast(channel.state())
+    edge = "wrong string, role string, item string, rate double"
 
-def damage(records: DataFrame, pages: DataFrame) -> DataFrame:
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Channel.of(shared.value)
+        for batch in batches:
+            out: list[tuple] = []
+            wrongs, wholes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            new = math.log(max(model.hapaxes, 1) / max(model.tokens, 1)) - math.log(max(model.letters.n_forms, 2))
+            for wrong, whole, own in zip(wrongs, wholes, model.letters.logs(wholes).tolist()):
+                if not whole.isalpha() or len(whole) > 2 * 64:
+                    continue
+                x = next(wrong[:i] for i in range(len(wrong)) if wrong[i] == "-" and wrong[:i] + wrong[i + 1 :] == whole)
+                out += [(wrong, "one", whole, 0.0), (wrong, "hyphen", wrong, 0.0), (wrong, "left", x, 0.0), (wrong, "right", whole[len(x) :], math.log(STRAY)), (wrong, "new", "", new + own)]
+                out += [(wrong, "one", r, rate) for r, rate in model.undone(whole).items()]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.string(), pa.float64()))], names=["wrong", "role", "item", "rate"])
+
+    def cheapest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = math.log(max(Channel.of(shared.value).tokens, 1))
+        for batch in batches:
+            out = []
+            for wrong, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                cost = {(e["role"], e["item"]): -e["rate"] - (math.log(e["n"]) - total if e["role"] != "new" else 0.0) for e in found}
+                paths = [(c, role, item) for (role, item), c in cost.items() if role in ("one", "hyphen", "new")]
+                sides = [min((c for (role, _), c in cost.items() if role == side), default=math.inf) for side in ("left", "right")]
+                best = min([*paths, (sum(sides), "two", "")])
+                if best[1] == "one":
+                    out.append((wrong, best[2]))
+            columns = list(zip(*out)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["wrong", "word"])
+
+    some = spots.select("wrong", "word").mapInArrow(edges, edge)
+    counts = words.select(F.col("form").alias("item"), "n")
+    met = some.join(counts, "item", "left").filter("n is not null or role = 'new'")
+    lattices = met.groupBy("wrong").agg(F.collect_list(F.struct("role", "item", "rate", "n")).alias("edges"))
+    return lattices.mapInArrow(cheapest, "wrong string, word string")
+
+
+class Decoder:
+    """What ``damage`` and ``repaired`` share: the lexicon, the channel and the decoded forms."""
+
+    def __init__(self, pages: DataFrame):
+        self.forms = cut(lexicon(pages))
+        self.channel = learn(self.forms)
+        self.words = self.forms.filter("word").select("form", "n")
+        self.wrong = cut(decoded_forms(self.forms, self.channel, self.words))
+        self.right = self.words.join(self.wrong.select("form"), "form", "left_anti")
+        sure = self.right.filter(F.col("n") >= max(2.0, FREQUENT * self.channel.tokens))
+        self.frequent = {r[0]: r[1] for r in sure.select("form", "n").toLocalIterator()}
+
+
+def damage(records: DataFrame, pages: DataFrame, decoder: Decoder | None = None) -> DataFrame:
     """(tab, rec_id, kind, wrong, word): what is damaged in each record and what it should be.
 
     ``kind`` is split, misread or page_no. ``records``: (tab, rec_id, page, text), ``page`` NULL where
     the record is no page; ``pages`` gives the lexicon. Repeated records give their rows once. NULL
-    and empty texts give none.
+    and empty texts give none. A form is read alike wherever it stands; a line that is more likely
+    rubbish than text, by its known and its other words, is not decoded.
     """
-    words = cut(lexicon(pages))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    wrong = cut(misread_words(words, total))
-    often = words.filter(F.col("n") >= max(2.0, FREQUENT * total)).join(wrong.select(F.col("wrong").alias("word")), "word", "left_anti")
-    often = often.select("word", F.expr(f"n >= {COMMON} * {total}").alias("common")).collect()
-    found = cut(suspects(records, [r[0] for r in often], [r[0] for r in often if r[1]]).distinct())
-    cost = lambda n, edits: edits * EDIT_COST - F.ln(n.cast("double"))
-    judged = found.filter(F.col("kind").isin("split", "misread")).join(words, "word")
-    judged = judged.unionByName(joined_misread(found, words))
-    best = judged.groupBy("tab", "rec_id", "kind", "wrong").agg(F.min(F.struct(cost(F.col("n"), F.col("edits")).alias("cost"), "word")).alias("best"))
-    hyphened = words.filter(F.col("word").contains("-")).select(F.col("word").alias("wrong"), F.col("n").alias("n_hyphened"))
-    best = best.join(hyphened, "wrong", "left").filter(F.coalesce(F.col("best.cost") < cost(F.col("n_hyphened"), F.lit(0)), F.lit(True)))
-    letters = found.filter("kind = 'letters'").select("tab", "rec_id", F.lit("misread").alias("kind"), "wrong").join(wrong, "wrong")
-    numbers = found.filter("kind = 'page_no'").select("tab", "rec_id", "kind", "wrong", "word")
+    d = decoder or Decoder(pages)
+    found = cut(suspects(records, list(d.frequent), d.channel).distinct())
+    forms = found.filter("kind = 'form'")
+    counts = forms.groupBy(F.least("known", F.lit(63)).alias("s"), F.least("other", F.lit(63)).alias("o")).agg(F.count("*").alias("w")).collect()
+    known, other, constant = text_lines([tuple(r) for r in counts])
+    text = F.col("known") * known + F.col("other") * other + constant >= 0
+    # forms that stand in no page are decoded by their own count
+    rest = forms.groupBy(F.col("wrong").alias("form")).agg(F.count("*").alias("n")).join(d.forms.select("form"), "form", "left_anti")
+    wrong = d.wrong.unionByName(decoded_forms(rest, d.channel, d.words))
+    misread = forms.filter(text).join(wrong.select(F.col("form").alias("wrong"), F.col("word").alias("right")), "wrong")
+    misread = misread.select("tab", "rec_id", F.lit("misread").alias("kind"), "wrong", F.col("right").alias("word")).distinct()
+    spots = found.filter("kind = 'split'")
+    whole = joined(spots.select("wrong", "word").distinct(), d.right, d.channel)
+    split = spots.drop("word").join(whole, "wrong")
     names = ["tab", "rec_id", "kind", "wrong", "word"]
-    return best.select("tab", "rec_id", "kind", "wrong", "best.word").unionByName(letters.select(*names)).unionByName(numbers)
+    return split.select(*names).unionByName(misread.select(*names)).unionByName(found.filter("kind = 'page_no'").select(*names))
 
 
 def page_records(pages: DataFrame, sections: DataFrame, *more: str) -> DataFrame:
@@ -395,7 +361,62 @@ def page_number_lines(lines: list[str]) -> set[int]:
     return out
 
 
-def repair(text: str, fixes: dict[str, str], drop: set[str], running: frozenset[int] | set[int] = frozenset(), report: bool = False) -> str:
+class Stream:
+    """Decodes the words of a de-lined paragraph: blanks that were lost or added beside unknown words.
+
+    Viterbi over the tokens: a token stands as it is, falls into two frequent words, or joins the
+    next one to a frequent word. Unknown tokens pay what the letter model asks for a new word.
+    """
+
+    def __init__(self, counts: dict[str, int], channel: Channel):
+        self.counts, self.channel = counts, channel
+        self.total = math.log(max(channel.tokens, 2))
+        self.new = math.log(max(channel.hapaxes, 1)) - self.total - math.log(max(channel.letters.n_forms, 2))
+        self.memo: dict[str, tuple[float, str | None]] = {}
+
+    def cost(self, w: str) -> float:
+        n = self.counts.get(w)
+        return self.total - math.log(n) if n else math.inf
+
+    def alone(self, w: str) -> tuple[float, str | None]:
+        """The cost of an unknown word by itself, and its two parts if they are cheaper."""
+        if w not in self.memo:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            best, parts = -self.new - float(self.channel.letters.logs([w])[0]), None
+            for i in range(2, len(w) - 1) if len(w) <= 64 else ():
+                c = self.cost(w[:i]) + self.cost(w[i:]) - math.log(LOST)
+                if c < best:
+                    best, parts = c, f"{w[:i]} {w[i:]}"
+            self.memo[w] = best, parts
+        return self.memo[w]
+
+    def decode(self, paragraph: str) -> str:
+        tokens = paragraph.split(" ")
+        bare_ = [t.lower() if t.isalpha() else None for t in tokens]
+        known = [b is None or b in self.counts for b in bare_]
+        if all(known):
+            return paragraph
+        best: list[tuple[float, int, str]] = [(0.0, 0, "")]
+        for i, (t, b) in enumerate(zip(tokens, bare_)):
+            if b is None or known[i]:
+                choice = (best[i][0] + (self.cost(b) if b else 0.0), i, t)
+            else:
+                c, parts = self.alone(b)
+                k = parts.index(" ") if parts else 0
+                choice = (best[i][0] + c, i, f"{t[:k]} {t[k:]}" if parts else t)
+            if i and b is not None and bare_[i - 1] is not None and not (known[i] and known[i - 1]):
+                c = best[i - 1][0] + self.cost(bare_[i - 1] + b) - math.log(ADDED)
+                choice = min(choice, (c, i - 1, tokens[i - 1] + t))
+            best.append(choice)
+        out, i = [], len(tokens)
+        while i:
+            out.append(best[i][2])
+            i = best[i][1]
+        return " ".join(reversed(out))
+
+
+def repair(text: str, fixes: dict[str, str], drop: set[str], running: frozenset[int] | set[int] = frozenset(), report: bool = False, stream: Stream | None = None) -> str:
     """One text: broken words joined, misread words put right in their case, furniture dropped.
 
     ``running``: keys of lines to drop, as they stand or after their words are put right. ``report``:
@@ -419,8 +440,8 @@ def repair(text: str, fixes: dict[str, str], drop: set[str], running: frozenset[
 
     def token(m: re.Match[str]) -> str:
         old = m[0]
-        for core in (bare(old), old.strip(".,;:()[]\"'’?").lower()):
-            if core in fixes:
+        for core in (old.strip(".,;:()[]\"'’?").lower(), form_of(old), bare(old)):
+            if core and core in fixes and old.lower().find(core) >= 0:
                 at = old.lower().find(core)
                 return old[:at] + cased(old[at : at + len(core)], fixes[core]) + old[at + len(core) :]
         return old
@@ -432,14 +453,15 @@ def repair(text: str, fixes: dict[str, str], drop: set[str], running: frozenset[
     numbers = page_number_lines(rows) if report else set()
     kept = "\n".join(x for i, x in enumerate(rows) if i not in numbers and x.strip() not in drop and (not x.strip() or any(map(str.isalnum, x))) and not runs(x))
     kept = re.sub(r"(\S+?)[" + MARKS + r"][ \t]*\n[ \t]*([^\W\d_A-Z]\S*)[ \t]*\n?", whole, kept)
-    return "\n\n".join(paragraphs(re.sub(r"\S+", token, kept).split("\n")))
+    whole_text = paragraphs(re.sub(r"\S+", token, kept).split("\n"))
+    return "\n\n".join(stream.decode(x) if stream else x for x in whole_text)
 
 
-def repaired(records: DataFrame, found: DataFrame, running: DataFrame | None = None) -> DataFrame:
+def repaired(records: DataFrame, found: DataFrame, running: DataFrame | None = None, decoder: Decoder | None = None) -> DataFrame:
     """(tab, rec_id, text, n_fixes): each record once, as continuous paragraphs.
 
     ``found`` is the result of ``damage``; ``running`` that of ``running_lines``, for records with a
-    club. Records without a page have the page numbers inside dropped. A text is shuffled once to meet
+    club; ``decoder`` lets blanks that were lost or added be decoded, too. Records without a page have the page numbers inside dropped. A text is shuffled once to meet
     its own few fixes. NULL texts stay NULL, empty ones ''.
     """
     fixes = found.groupBy("tab", "rec_id").agg(
@@ -448,14 +470,17 @@ def repaired(records: DataFrame, found: DataFrame, running: DataFrame | None = N
         F.count("*").cast("int").alias("n"),
     )
 
+    shared = records.sparkSession.sparkContext.broadcast((decoder.frequent, decoder.channel.state()) if decoder else None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = Stream(shared.value[0], Channel.of(shared.value[1])) if shared.value else None
         for batch in batches:
             texts = []
             sets: dict[str, set[int]] = {}
             for text, fix, drop, page, club, keys in zip(*(c.to_pylist() for c in [*batch.columns[2:5], *batch.columns[6:8]]), batch.column(8)):
                 if club not in sets:
                     sets[club] = set(keys.as_py() or ())
-                texts.append(repair(text, dict(fix or ()), set(drop or ()), sets[club], page is None) if text else text)
+                texts.append(repair(text, dict(fix or ()), set(drop or ()), sets[club], page is None, stream) if text else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(5)], names=["tab", "rec_id", "text", "n_fixes"])
 
     rows = records.dropDuplicates(["tab", "rec_id"]).join(fixes, ["tab", "rec_id"], "left")
