@@ -7,7 +7,9 @@ and text is rewritten greedily, longest match first, with one multi-pattern auto
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
@@ -31,6 +33,9 @@ LOOKALIKE_LETTERS = {
 }
 # Marks that print alike.
 LOOKALIKE_MARKS = {"‐": "-", "‑": "-", "­": "", "ʼ": "’", ";": ";", "·": "·", "·": "·", "∶": ":", "․": ".", "‚": "‚"}
+# Ranges of characters that print nothing and are not of the category "format".
+INVISIBLE = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xE0000, 0xE0FFF)]
+ALL = range(0x80, sys.maxunicode + 1)
 
 
 class UnionFind:
@@ -66,10 +71,12 @@ def relations() -> Iterator[tuple[str, str]]:
     characters. Raised and lowered figures, fractions, circled and styled letters stay apart: a
     reader sees the difference.
     """
-    for code in range(0x80, 0x30000):
+    for low, high in INVISIBLE:
+        yield from ((chr(code), "") for code in range(low, high + 1))
+    for code in ALL:
         ch = chr(code)
         kind = unicodedata.category(ch)
-        if kind == "Cf" or 0xFE00 <= code <= 0xFE0F or code == 0x034F:
+        if kind == "Cf":
             yield ch, ""
             continue
         if kind == "Zs":
@@ -87,6 +94,7 @@ def relations() -> Iterator[tuple[str, str]]:
     yield from LOOKALIKE_MARKS.items()
 
 
+@functools.cache
 def lookalike_classes() -> list[list[str]]:
     """Transitive classes over code points and strings.
 
@@ -98,7 +106,7 @@ def lookalike_classes() -> list[list[str]]:
     for a, b in pairs:
         if len(a) <= 1 and len(b) <= 1:
             sets.union(a, b)
-    singles = {x: plainest(g) for g in sets.classes() for x in g}
+    singles = {x: best for g in sets.classes() for best in [plainest(g)] for x in g}
     spell = lambda s: "".join(singles.get(x, x) for x in s) if len(s) > 1 else s
     for a, b in pairs:
         if len(a) > 1 or len(b) > 1:
@@ -128,11 +136,16 @@ def representatives(classes: list[list[str]], counts: dict[str, int] | None = No
 
 def compile_fold(mapping: dict[str, str]) -> tuple[str, dict[str, str]]:
     """The pattern of everything that a fold may have to touch, and the rewriting table."""
-    marks = [chr(c) for c in range(0x80, 0x30000) if unicodedata.combining(chr(c))]
     singles = {x for x in mapping if len(x) == 1}
-    # precomposed letters whose base is itself rewritten (such as a Cyrillic letter with diaeresis)
-    built = [chr(c) for c in range(0x80, 0x30000) if any(x in singles for x in unicodedata.normalize("NFD", chr(c))[:1]) and chr(c) not in singles and len(unicodedata.normalize("NFD", chr(c))) > 1]
-    unstable = [chr(c) for c in range(0x80, 0x30000) if unicodedata.normalize("NFC", chr(c)) != chr(c)]
+    marks, built, unstable = [], [], []
+    for c in map(chr, ALL):
+        if unicodedata.combining(c):
+            marks.append(c)
+        said = unicodedata.decomposition(c)
+        if said and not said.startswith("<") and c not in singles and unicodedata.normalize("NFD", c)[0] in singles:
+            built.append(c)  # a precomposed letter whose base is rewritten, such as a Cyrillic one with diaeresis
+        if not unicodedata.is_normalized("NFC", c):
+            unstable.append(c)
     heads = {x[0] for x in mapping if len(x) > 1}
     touch = {ord(x) for x in [*singles, *marks, *built, *unstable, *heads]}
     # negated, over the basic plane: re then tests a character by one table look-up
@@ -150,21 +163,34 @@ def folder(pattern: str, mapping: dict[str, str]) -> Callable[[str], str]:
     """The rewriting function. Text without any touched character is returned as it is.
 
     Runs of plain text are skipped by one scan; only where a touched character stands, the text is
-    decomposed, rewritten greedily by the table and composed again.
+    decomposed, rewritten and composed again: single characters by a table, then strings by one
+    Aho-Corasick automaton.
     """
+    import ahocorasick
+
     suspect = re.compile(pattern)
     ascii_stays = all(not k.isascii() for k in mapping)
     table = str.maketrans({k: v for k, v in mapping.items() if len(k) == 1})
-    strings = sorted((k for k in mapping if len(k) > 1), key=len, reverse=True)
-    automaton = re.compile("|".join(map(re.escape, strings))) if strings else None
+    automaton = ahocorasick.Automaton()
+    for k, v in mapping.items():
+        if len(k) > 1:
+            automaton.add_word(k, (len(k), v))
+    if len(automaton):
+        automaton.make_automaton()
+
+    def rewrite(text: str) -> str:
+        """Strings of several characters, leftmost and longest first."""
+        parts, done = [], 0
+        for last, (size, new) in automaton.iter_long(text):
+            parts += [text[done : last + 1 - size], new]
+            done = last + 1
+        return "".join([*parts, text[done:]]) if parts else text
 
     def fold(text: str) -> str:
         if ascii_stays and text.isascii() or suspect.search(text) is None:
             return text
         text = unicodedata.normalize("NFD", text).translate(table)
-        if automaton is not None:
-            text = automaton.sub(lambda m: mapping[m[0]], text)
-        return unicodedata.normalize("NFC", text)
+        return unicodedata.normalize("NFC", rewrite(text) if len(automaton) else text)
 
     return fold
 
@@ -248,3 +274,15 @@ def alike_pairs(prints: DataFrame, key: str = "doc_id") -> DataFrame:
     left = members.select(F.col("stored").alias("sa"), F.col(key).alias("ka"))
     right = members.select(F.col("stored").alias("sb"), F.col(key).alias("kb"))
     return pairs.join(left, "sa").join(right, "sb").select(F.least("ka", "kb").alias("doc_a"), F.greatest("ka", "kb").alias("doc_b"))
+
+
+def alike_classes(prints: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, class_id, n_alike, n_forms): each document that prints like another one, with the smallest
+    key of its class, the number of its documents and of the forms they are stored in.
+
+    One row per document, never a pair: a class of any size costs its members.
+    """
+    prints = cut(prints)
+    stored = prints.groupBy("printed", "stored").agg(F.min(key).alias("least"), F.count("*").alias("n"))
+    classes = stored.groupBy("printed").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_alike"), F.count("*").alias("n_forms")).filter("n_alike > 1")
+    return prints.join(classes, "printed").select(key, "class_id", "n_alike", "n_forms")

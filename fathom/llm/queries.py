@@ -103,6 +103,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.alike_pairs(prints)
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that print like another one, stored alike or not, with their class."""
+    docs = table(spark, d, "documents")
+    return lookalike.alike_classes(lookalike.fingerprints(docs, counts=lookalike.code_point_counts(docs)))
+
+
 def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return lookalike.canonical_text(docs.select("doc_id", "text"), counts=lookalike.code_point_counts(docs))
@@ -110,7 +116,7 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_shares, p1_clusters, p2_found, p2_terms, p3_found, p3_tails, p3_documents, p4_found, p4_clean, p5_found, p5_repaired, p6_found, p6_leaks, p7_found, p7_mix, p8_found, p8_canonical)
+    for f in (p1_found, p1_shares, p1_clusters, p2_found, p2_terms, p3_found, p3_tails, p3_documents, p4_found, p4_clean, p5_found, p5_repaired, p6_found, p6_leaks, p7_found, p7_mix, p8_found, p8_classes, p8_canonical)
 }
 
 _RECORDS = """

@@ -69,3 +69,24 @@ def test_a_foreign_representative_keeps_strings_together():
     counts = {"і": 9, "i": 1, "f": 5}
     fold = L.folder(*L.compile_fold(L.representatives(L.lookalike_classes(), counts)))
     assert fold("ﬁn") == fold("fin") == fold("fіn") == "fіn"
+
+
+def test_all_of_unicode_is_covered():
+    fold = L.default_fold()
+    for code in (0xE0020, 0xE0101, 0xE0FFF, 0x200B, 0xFE0F, 0x3164, 0x1D173, 0x180F):
+        assert fold(f"a{chr(code)}b") == "ab", hex(code)
+    assert fold("\U0001f600") == "\U0001f600" and fold("\U0002f800") == unicodedata.normalize("NFC", "\U0002f800")
+
+
+def test_strings_are_rewritten_longest_first():
+    fold = L.folder("[^ -~]|[ -~]", {"ab": "1", "abc": "2", "bcd": "3", "é": "e"})
+    assert fold("abcd") == "2d" and fold("xabab bcd") == "x11 3" and fold("") == ""
+
+
+def test_classes_against_pairs(spark):
+    rows = [(1, "a b"), (2, "a\u00a0b"), (3, "a b"), (4, "other"), (5, None), (6, ""), (7, "A b"), (8, "а b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_alike"], r["n_forms"]) for r in L.alike_classes(L.fingerprints(docs)).collect()}
+    assert got == {k: (1, 4, 3) for k in (1, 2, 3, 8)}
+    pairs = {(r["doc_a"], r["doc_b"]) for r in L.alike_pairs(L.fingerprints(docs)).collect()}
+    assert pairs == {(1, 2), (2, 3), (1, 8), (2, 8), (3, 8)}
