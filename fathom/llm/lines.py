@@ -1,29 +1,27 @@
 """Lines that one source repeats over many of its documents.
 
-Lines get identifiers; those that stand on too few pages cannot be part of a repeated block and turn
-into separators. The remaining identifier sequences of a source are concatenated, equal sequences
-once with their number of pages, and searched with suffix arrays: each interval of a common prefix is
-a repeated block of lines, counted in pages. A source larger than ``SHARD`` pages is split; a block
-that is frequent in the source is, in proportion, frequent in one of its shards, where it is a block
-or, if the same lines always follow it there, the beginning of one. So the union of the shards'
-blocks and their beginnings is complete, and one exact count over all shards follows.
+Lines get identifiers; those that stand on too few pages cannot be part of a repeated block and
+separate runs of lines that can. What remains of a source is one long text over line identifiers, and
+its suffix array is built the distributed way, by prefixes of doubling length (Karp, Miller and
+Rosenberg): suffixes with an equal prefix form a group, which is an interval of the array, and its
+number of pages one sum by the prefix's hash. For each suffix a binary search over the length finds
+the longest prefix on enough pages. No source, line or block is ever gathered in one task, equal
+sequences of lines are one with their number of pages, and the result has no parameter of the layout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.frames import cut
 
 MIN_PAGES = 5
 MIN_SHARE = 5  # at least one page in so many
-SHARD = 8_000  # pages of a source in one suffix array
 
 
 def line_list(text: str) -> list[str]:
@@ -34,7 +32,7 @@ def line_list(text: str) -> list[str]:
 def page_lines(pages: DataFrame, source: str, key: str, text: str) -> DataFrame:
     """(key, source, source_id, lines): identifiers of a page's lines in order, one row per page.
 
-    An identifier is a 64-bit hash of source and line. Pages without text have no lines but count.
+    An identifier is a 64-bit hash of source and line; blank lines have none. Pages without text have no lines but count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,133 +51,79 @@ def page_lines(pages: DataFrame, source: str, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "key long, source_id long, lines array<long>").dropDuplicates(["key"])
 
 
-def suffix_array(ids: np.ndarray) -> np.ndarray:
-    """Suffix array of a sequence of integers, by prefix doubling."""
-    rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
-    n, step = len(ids), 1
-    while True:
-        second = np.full(n, -1, np.int64)
-        second[:-step] = rank[step:] if step < n else rank[:0]
-        order = np.lexsort((second, rank))
-        same = (rank[order][1:] == rank[order][:-1]) & (second[order][1:] == second[order][:-1])
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(~same)])
-        if new[order[-1]] == n - 1:
-            return order
-        rank, step = new, step * 2
-
-
-def common_prefixes(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each suffix with the one before it in the array."""
-    n = len(ids)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    out, h = np.zeros(n, np.int64), 0
-    for i in range(n):
-        r = rank[i]
-        if r:
-            j = order[r - 1]
-            while i + h < n and j + h < n and ids[i + h] == ids[j + h]:
-                h += 1
-            out[r] = h
-            h = max(h - 1, 0)
-        else:
-            h = 0
-    return out
-
-
-def repeated_blocks(sequences: list[list[int]], weights: list[int], least: float) -> dict[tuple[int, ...], int]:
-    """Blocks of consecutive identifiers on pages of total weight ``least`` or more.
-
-    A sequence holds NULL where lines were dropped; blocks never reach over one.
-    """
-    known: dict[int, int] = {}
-    flat, owner, stop = [], [], 0
-    for k, seq in enumerate(sequences):
-        for x in [*seq, None]:
-            if x is None:
-                stop -= 1
-                flat.append(stop)
-            else:
-                flat.append(known.setdefault(x, len(known)))
-            owner.append(k)
-    names = list(known)
-    ids = np.array(flat, np.int64)
-    order = suffix_array(ids)
-    prefix = common_prefixes(ids, order)
-    ends = np.where(ids < 0, np.arange(len(ids)), len(ids))
-    run = np.minimum.accumulate(ends[::-1])[::-1] - np.arange(len(ids))
-    found: dict[tuple[int, ...], int] = {}
-
-    def say(at: int, length: int, low: int, high: int) -> None:
-        weight = sum(weights[k] for k in {owner[order[i]] for i in range(low, high)})
-        if length and weight >= least:
-            block = tuple(names[x] for x in ids[at : at + length])
-            found[block] = max(found.get(block, 0), weight)
-
-    stack: list[tuple[int, int]] = []
-    for i in range(len(order) + 1):
-        depth = int(prefix[i]) if 0 < i < len(order) else 0
-        low = i
-        if 0 < i:
-            own = int(run[order[i - 1]])
-            if own > max(depth, int(prefix[i - 1])):
-                say(int(order[i - 1]), own, i - 1, i)
-            low = i - 1
-        while stack and stack[-1][0] > depth:
-            length, low = stack.pop()
-            say(int(order[low]), length, low, i)
-        if depth and (not stack or stack[-1][0] < depth):
-            stack.append((depth, low))
-    return found
-
-
-def blocks(pages: DataFrame, source: str = "club", key: str = "page_id", text: str = "text", min_pages: int = MIN_PAGES, min_share: int = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(repeated blocks, where their lines can be read).
-
-    Blocks: (source_id, block, n_pages), on at least ``min_pages`` pages and a ``min_share``-th of all
-    pages of the source; a page with NULL or empty text counts in the total. Of a source over ``SHARD``
-    pages the beginnings of a block are listed, too. Lines: (line_id, page) with one page that holds
-    the line. At most ``min_share`` times the mean number of lines of a page can qualify in a source,
-    so a source's set of lines is small whatever its size.
-    """
-    listed = cut(page_lines(pages, source, key, text))
-    totals = listed.groupBy("source_id").agg(F.count("*").alias("pages"))
-    counted = listed.select("key", "source_id", F.explode(F.array_distinct("lines")).alias("line_id"))
-    counted = counted.groupBy("source_id", "line_id").agg(F.count("*").alias("n"), F.min("key").alias("page")).filter(F.col("n") >= min_pages)
-    frequent = cut(counted.join(totals, "source_id").filter(F.col("n") * min_share >= F.col("pages")))
-    sets = frequent.groupBy("source_id").agg(F.collect_set("line_id").alias("set"), F.first("pages").alias("pages"))
-    kept = listed.join(sets, "source_id").withColumn("seq", F.expr("transform(lines, x -> if(array_contains(set, x), x, null))"))
-    kept = kept.filter(F.expr("exists(seq, x -> x is not null)")).select("source_id", "pages", F.expr("filter(seq, (x, i) -> x is not null or (i > 0 and seq[i - 1] is not null))").alias("seq"))
-    signed = cut(kept.groupBy("source_id", "pages", "seq").agg(F.count("*").alias("w")))
-    whole = signed.groupBy("source_id").agg(F.sum("w").alias("signed_pages"))
-    shards = signed.join(whole, "source_id").withColumn("shard", F.expr(f"pmod(xxhash64(seq), cast(ceil(pages / {SHARD}) as int))"))
-
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        weights = part["w"].tolist()
-        need = max(min_pages, part["pages"].iloc[0] / min_share)
-        need *= sum(weights) / part["signed_pages"].iloc[0]
-        sequences = [[None if x is None or x != x else int(x) for x in seq] for seq in part["seq"].map(list)]
-        found = set(repeated_blocks(sequences, weights, need - 1e-9))
-        if part["pages"].iloc[0] > SHARD:  # what follows a block here need not follow it in the other shards
-            found = {b[:i] for b in found for i in range(1, len(b) + 1)}
-        return pd.DataFrame({"source_id": part["source_id"].iloc[0], "block": [list(b) for b in found]})
-
-    # identifiers travel as text: pandas would turn a list of integers with gaps into floats
-    shards = shards.withColumn("seq", F.expr("transform(seq, x -> cast(x as string))"))
-    candidates = shards.groupBy("source_id", "shard").applyInPandas(search, "source_id long, block array<long>").distinct()
-    within = F.expr("exists(sequence(1, size(seq) - size(block) + 1), i -> slice(seq, i, size(block)) = block)")
-    exact = signed.join(candidates, "source_id").filter(F.expr("size(block) <= size(seq)")).filter(within)
-    exact = exact.groupBy("source_id", "block").agg(F.sum("w").alias("n_pages"), F.first("pages").alias("pages"))
-    exact = exact.filter((F.col("n_pages") >= min_pages) & (F.col("n_pages") * min_share >= F.col("pages")))
-    return exact.select("source_id", "block", "n_pages"), frequent.select("line_id", "page")
+def sequence_id() -> Column:
+    """Hash of a sequence; its gaps count, which a hash of NULLs would pass over."""
+    return F.xxhash64("source_id", F.transform("seq", lambda x: F.coalesce(x, F.lit(0))))
 
 
-def repeated_lines(pages: DataFrame, source: str = "club", key: str = "page_id", text: str = "text", min_pages: int = MIN_PAGES, min_share: int = MIN_SHARE) -> DataFrame:
-    """(source, line): every line of a repeated block, in its collapsed form. Pages whose source is
-    NULL belong to no source and give no line."""
-    found, where = blocks(pages, source, key, text, min_pages, min_share)
-    lines = found.select("source_id", F.explode("block").alias("line_id")).distinct().join(where, "line_id")
+class Repeats:
+    """The repeated blocks of all sources.
+
+    ``frequent``: (source_id, line_id, n, page, pages), lines that stand on enough pages, with one page
+    that holds each. ``runs``: (key, seq, at), a page's frequent lines in order, NULL where another
+    line stands between, and their places among the page's lines. ``suffixes``: (sid, source_id, i,
+    rest, length, n_pages): of each distinct sequence and place the lines that follow in its run and
+    how many of them form the longest block on enough pages.
+    """
+
+    def __init__(self, pages: DataFrame, source: str = "club", key: str = "page_id", text: str = "text", min_pages: int = MIN_PAGES, min_share: int = MIN_SHARE):
+        """Enough are ``min_pages`` pages and a ``min_share``-th of all pages of the source, where a page
+        with NULL or empty text counts, too, and one without a source does not."""
+        listed = cut(page_lines(pages, source, key, text))
+        totals = listed.groupBy("source_id").agg(F.count("*").alias("pages"))
+        counted = listed.select("key", "source_id", F.explode(F.array_distinct("lines")).alias("line_id"))
+        counted = counted.groupBy("source_id", "line_id").agg(F.count("*").alias("n"), F.min("key").alias("page")).filter(F.col("n") >= min_pages)
+        self.frequent = cut(counted.join(totals, "source_id").filter(F.col("n") * min_share >= F.col("pages")))
+        need = F.greatest(F.lit(float(min_pages)), F.col("pages") / F.lit(float(min_share)))
+        marks = self.frequent.select("line_id", "n", need.alias("need"))
+        hits = listed.select("key", "source_id", F.posexplode("lines").alias("i", "line_id")).join(marks, "line_id")
+        runs = hits.groupBy("key", "source_id").agg(F.max("need").alias("need"), F.sort_array(F.collect_list(F.struct("i", "line_id", "n"))).alias("hits"))
+        gaps = F.expr("flatten(transform(hits, (x, k) -> if(k > 0 and hits[k - 1].i < x.i - 1, array(null, x.line_id), array(x.line_id))))")
+        self.runs = cut(runs.select("key", "source_id", "need", gaps.alias("seq"), F.expr("transform(hits, x -> x.i)").alias("at"), F.expr("map_from_entries(array_distinct(transform(hits, x -> struct(x.line_id, x.n))))").alias("n_of")))
+        self.suffixes = self.longest()
+
+    def longest(self) -> DataFrame:
+        sequences = self.runs.groupBy("source_id", "seq").agg(F.count("*").alias("w"), F.max("need").alias("need"), F.max_by(F.struct("n_of"), "key").alias("c"))
+        each = sequences.select(sequence_id().alias("sid"), "source_id", "w", "need", "c.n_of", "seq", F.posexplode("seq").alias("i", "line_id")).filter("line_id is not null")
+        end = F.expr("coalesce(nullif(array_position(transform(slice(seq, i + 1, size(seq)), x -> x is null), true), 0) - 1, size(seq) - i)")
+        rows = each.select("sid", "source_id", "i", "w", "need", F.expr("n_of[line_id]").alias("n_pages"), F.slice("seq", F.col("i") + 1, end.cast("int")).alias("rest"), F.lit(1).alias("length"))
+        rows = cut(rows)
+        most = rows.agg(F.max(F.size("rest"))).first()[0] or 0
+        step = 1 << max(most - 1, 0).bit_length() >> 1
+        while step:
+            # A block is on enough pages only if its beginnings are, so each suffix tries one length; it also
+            # counts for the shorter lengths that others with the same beginning try in this step.
+            lengths = F.expr(f"if(size(rest) > {step}, filter(sequence({1 + step}, size(rest), {2 * step}), c -> c <= length + {step}), array())")
+            counts = rows.select("sid", "w", "need", F.explode(F.transform(lengths, lambda c: F.xxhash64("source_id", F.slice("rest", F.lit(1), c)))).alias("k"))
+            tried = rows.withColumn("k", F.when(F.size("rest") >= F.col("length") + step, F.xxhash64("source_id", F.slice("rest", F.lit(1), F.col("length") + step))))
+            counts = counts.groupBy("k", "sid").agg(F.max("w").alias("w"), F.max("need").alias("need"))
+            counts = counts.groupBy("k").agg(F.sum("w").alias("more"), F.max("need").alias("least")).filter("more >= least").select("k", "more")
+            tried = tried.join(counts, "k", "left")
+            rows = cut(tried.select("sid", "source_id", "i", "w", "need", F.coalesce("more", "n_pages").alias("n_pages"), "rest", (F.col("length") + F.when(F.col("more").isNotNull(), step).otherwise(0)).alias("length")))
+            step >>= 1
+        return rows.select("sid", "source_id", "i", "rest", "length", "n_pages")
+
+    def blocks(self) -> DataFrame:
+        """(source_id, block, n_pages): every block that stands somewhere without being a part of a
+        longer one on enough pages. All frequent lines are in some block."""
+        before = W.partitionBy("sid").orderBy("i")
+        rows = self.suffixes.withColumn("last", F.lag(F.struct("i", "length")).over(before))
+        inside = F.coalesce((F.col("last.i") == F.col("i") - 1) & (F.col("last.length") > F.col("length")), F.lit(False))
+        return rows.filter(~inside).select("source_id", F.slice("rest", F.lit(1), F.col("length")).alias("block"), "n_pages").distinct()
+
+    def occurrences(self, least: int = 1) -> DataFrame:
+        """(key, drop): the places of a page's lines that lie in a block of ``least`` lines or more."""
+        long = self.suffixes.filter(F.col("length") >= least).groupBy("sid").agg(F.collect_list(F.struct("i", "length")).alias("found"))
+        pages = self.runs.withColumn("sid", sequence_id()).join(long, "sid")
+        covered = F.expr("filter(sequence(0, size(seq) - 1), p -> seq[p] is not null and exists(found, b -> b.i <= p and p < b.i + b.length))")
+        # the k-th line of a sequence that is no gap stands at the k-th place
+        place = F.expr("transform(covered, p -> at[p - size(filter(slice(seq, 1, p + 1), x -> x is null))])")
+        return pages.withColumn("covered", covered).select("key", place.alias("drop"))
+
+
+def block_lines(found: Repeats, pages: DataFrame, source: str = "club", key: str = "page_id", text: str = "text") -> DataFrame:
+    """(line_id, source, line): the text of every line that is in a block."""
+    lines = found.blocks().select(F.explode("block").alias("line_id")).distinct().join(found.frequent.select("line_id", "page"), "line_id")
     wanted = lines.groupBy("page").agg(F.collect_list("line_id").alias("wanted"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,26 +131,46 @@ def repeated_lines(pages: DataFrame, source: str = "club", key: str = "page_id",
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            a, b = [], []
+            ids, a, b = [], [], []
             for s, x, want in zip(*(c.to_pylist() for c in batch.columns)):
                 seed, want = digest(s), set(want)
                 for y in line_list(x):
-                    if digest(y, seed) - (1 << 63) in want:
+                    if (k := digest(y, seed) - (1 << 63)) in want:
+                        ids.append(k)
                         a.append(s)
                         b.append(y)
-            yield pa.RecordBatch.from_pydict({"source": pa.array(a, pa.string()), "line": pa.array(b, pa.string())})
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["line_id", "source", "line"])
 
     some = pages.select(F.col(key).cast("long").alias("page"), source, text).join(wanted, "page").select(source, text, "wanted")
-    return some.mapInArrow(read, "source string, line string").distinct().withColumnRenamed("source", source)
+    return some.mapInArrow(read, "line_id long, source string, line string").distinct()
+
+
+def repeated_lines(pages: DataFrame, source: str = "club", key: str = "page_id", text: str = "text", min_pages: int = MIN_PAGES, min_share: int = MIN_SHARE) -> DataFrame:
+    """(source, line): every line of a repeated block, in its collapsed form. Pages whose source is
+    NULL belong to no source and give no line."""
+    found = Repeats(pages, source, key, text, min_pages, min_share)
+    return block_lines(found, pages, source, key, text).select(F.col("source").alias(source), "line").distinct()
+
+
+def repeated_blocks(pages: DataFrame, source: str = "club", key: str = "page_id", text: str = "text", least: int = 2, min_pages: int = MIN_PAGES, min_share: int = MIN_SHARE) -> DataFrame:
+    """(source, lines, n_lines, n_pages): blocks of ``least`` or more lines, their lines joined by line
+    ends, with the number of pages they stand on."""
+    found = Repeats(pages, source, key, text, min_pages, min_share)
+    blocks = cut(found.blocks().filter(F.size("block") >= least).withColumn("b", F.xxhash64("source_id", "block")))
+    texts = block_lines(found, pages, source, key, text)
+    rows = blocks.select("b", "n_pages", F.posexplode("block").alias("i", "line_id")).join(texts, "line_id")
+    rows = rows.groupBy("b", "n_pages", "source").agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("l"))
+    return rows.select(F.col("source").alias(source), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("lines"), F.size("l").alias("n_lines"), "n_pages")
 
 
-def without_repeated_lines(pages: DataFrame, source: str = "club", key: str = "page_id", text: str = "text", min_pages: int = MIN_PAGES, min_share: int = MIN_SHARE) -> DataFrame:
-    """(key, source, text, n_removed): each page once, without the lines of its source's blocks.
+def without_repeated_lines(pages: DataFrame, source: str = "club", key: str = "page_id", text: str = "text", least: int = 1, min_pages: int = MIN_PAGES, min_share: int = MIN_SHARE) -> DataFrame:
+    """(key, source, text, n_removed): each page once, without its occurrences of repeated blocks of
+    ``least`` or more lines.
 
-    Other lines stay as stored. A NULL text stays NULL; pages without a source are unchanged.
+    Other lines stay as stored. A NULL text stays NULL; pages without a source are unchanged. A text
+    moves once, by its key, to meet the places of its own lines.
     """
-    lines = repeated_lines(pages, source, key, text, min_pages, min_share)
-    sets = lines.groupBy(source).agg(F.collect_set("line").alias("drop"))
+    drop = Repeats(pages, source, key, text, min_pages, min_share).occurrences(least)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,15 +178,19 @@ def without_repeated_lines(pages: DataFrame, source: str = "club", key: str = "p
             for x, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 n = 0
                 if x and drop:
-                    drop = set(drop)
-                    rows = x.split("\n")
-                    left = [y for y in rows if " ".join(y.split()) not in drop]
-                    n, x = len(rows) - len(left), "\n".join(left)
+                    places, left, at = set(drop), [], 0
+                    for row in x.split("\n"):
+                        if row.split():
+                            if at not in places:
+                                left.append(row)
+                            at += 1
+                        else:
+                            left.append(row)
+                    n, x = len(places), "\n".join(left)
                 texts.append(x)
                 removed.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["key", "source", "text", "n_removed"])
 
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))
-    rows = rows.join(sets.withColumnRenamed(source, "source"), "source", "left").select("key", "source", "text", "drop")
-    out = rows.mapInArrow(clean, "key long, source string, text string, n_removed int").dropDuplicates(["key"])
+    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(source).alias("source"), F.col(text).alias("text")).dropDuplicates(["key"])
+    out = rows.join(drop, "key", "left").select("key", "source", "text", "drop").mapInArrow(clean, "key long, source string, text string, n_removed int")
     return out.select(F.col("key").alias(key), F.col("source").alias(source), F.col("text").alias(text), "n_removed")

@@ -62,8 +62,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated_lines(table(spark, d, "ocr_pages"))
 
 
+def p4_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of two or more lines."""
+    return lines.repeated_blocks(table(spark, d, "ocr_pages"))
+
+
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
-    return lines.without_repeated_lines(table(spark, d, "ocr_pages"))
+    """The pages' texts without the blocks (of one line and more) that their club repeats."""
+    out = lines.without_repeated_lines(table(spark, d, "ocr_pages"))
+    return out.select("page_id", "club", F.md5("text").alias("text_md5"), "n_removed")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +123,7 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_shares, p1_clusters, p2_found, p2_terms, p3_found, p3_tails, p3_documents, p4_found, p4_clean, p5_found, p5_repaired, p6_found, p6_leaks, p7_found, p7_mix, p8_found, p8_classes, p8_canonical)
+    for f in (p1_found, p1_shares, p1_clusters, p2_found, p2_terms, p3_found, p3_tails, p3_documents, p4_found, p4_blocks, p4_clean, p5_found, p5_repaired, p6_found, p6_leaks, p7_found, p7_mix, p8_found, p8_classes, p8_canonical)
 }
 
 _RECORDS = """
@@ -157,6 +164,42 @@ with pages as (select page_id, any_value(club) as club, any_value(text) as text
 lines as (select distinct page_id, club, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) as line from pages),
 totals as (select club, count(*) as pages from pages group by club)
 select club, line from lines join totals using (club) where line <> '' group by club, line, pages having count(*) >= 5 and 5 * count(*) >= pages
+""",
+    "p4_clean": r"""
+with pages as (select page_id, any_value(club) as club, any_value(text) as text from ocr_pages group by page_id),
+rows as (select page_id, club, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as i from pages),
+lines as (select *, trim(regexp_replace(raw, '\s+', ' ', 'g')) as line from rows),
+totals as (select club, count(*) as pages from pages where club is not null group by club),
+often as (
+  select club, line from (select distinct page_id, club, line from lines where line <> '') join totals using (club) group by club, line, pages having count(*) >= 5 and 5 * count(*) >= pages
+),
+kept as (
+  select page_id, string_agg(raw, chr(10) order by i) filter (o.line is null) as left_text, count(o.line) as n from lines l left join often o on l.club = o.club and l.line = o.line group by page_id
+)
+select p.page_id, p.club, md5(case when p.text is null then null when n > 0 then coalesce(left_text, '') else p.text end) as text_md5, coalesce(n, 0) as n_removed
+from pages p left join kept using (page_id)
+""",
+    "p4_blocks": r"""
+with recursive pages as (select page_id, any_value(club) as club, any_value(text) as text from ocr_pages where club is not null group by page_id),
+rows as (select page_id, club, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from pages),
+lines as (select page_id, club, line, row_number() over (partition by page_id order by k) as i from rows where line <> ''),
+totals as (select club, count(*) as pages from pages group by club),
+often as (select club, line from (select distinct page_id, club, line from lines) join totals using (club) group by club, line, pages having count(*) >= 5 and 5 * count(*) >= pages),
+seen as (select l.* from lines l join often using (club, line)),
+blocks as (
+  select page_id, club, i, 1 as n, line as lines, (select count(*) from seen) as some from seen
+  union all
+  select * exclude (pages, on_pages) from (
+    select b.page_id, b.club, b.i, b.n + 1 as n, b.lines || chr(10) || s.line as lines, b.some, t.pages, count(distinct b.page_id) over (partition by b.club, b.n, b.lines || chr(10) || s.line) as on_pages
+    from blocks b join seen s on s.page_id = b.page_id and s.i = b.i + b.n join totals t on t.club = b.club
+  ) where on_pages >= 5 and 5 * on_pages >= pages
+),
+longest as (select page_id, club, i, max(n) as n, arg_max(lines, n) as lines from blocks group by all),
+free as (
+  select a.* from longest a where not exists (select 1 from longest b where b.page_id = a.page_id and b.i = a.i - 1 and b.n > a.n)
+),
+counted as (select club, lines, n, count(distinct page_id) as n_pages from blocks group by all)
+select distinct f.club, f.lines, f.n::int as n_lines, c.n_pages from free f join counted c on c.club = f.club and c.lines = f.lines and c.n = f.n where f.n >= 2
 """,
     "p7_found": """
 with t as (select lower(trim(source)) as source, n_chars from documents where text <> ''),

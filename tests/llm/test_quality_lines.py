@@ -40,44 +40,6 @@ def test_percentiles_and_tails(spark):
     assert got[1000]["function_share_pct"] == pytest.approx(0.5, abs=0.02) and got[5]["symbol_share_pct"] is None and got[5]["symbol_share_tail"] == 0
 
 
-def test_suffix_array_against_sorting():
-    rng = np.random.default_rng(0)
-    for n in (1, 2, 7, 60, 300):
-        ids = rng.integers(0, 3, n)
-        order = L.suffix_array(ids)
-        suffixes = [tuple(ids[i:]) for i in range(n)]
-        assert [suffixes[i] for i in order] == sorted(suffixes)
-        prefix = L.common_prefixes(ids, order)
-        for r in range(1, n):
-            a, b = suffixes[order[r - 1]], suffixes[order[r]]
-            k = 0
-            while k < min(len(a), len(b)) and a[k] == b[k]:
-                k += 1
-            assert prefix[r] == k
-
-
-def test_blocks_against_counting():
-    rng = np.random.default_rng(1)
-    for _ in range(40):
-        seqs = [[None if x == 4 else int(x) for x in rng.integers(0, 5, rng.integers(1, 9))] for _ in range(rng.integers(1, 12))]
-        weights = rng.integers(1, 4, len(seqs)).tolist()
-        need = int(rng.integers(1, 8))
-        counts = defaultdict(set)
-        for k, s in enumerate(seqs):
-            for i in range(len(s)):
-                for j in range(i + 1, len(s) + 1):
-                    if None in s[i:j]:
-                        break
-                    counts[tuple(s[i:j])].add(k)
-        weight = {b: sum(weights[k] for k in ks) for b, ks in counts.items()}
-        found = L.repeated_blocks(seqs, weights, need)
-        assert all(weight[b] == w and w >= need for b, w in found.items())
-        heavy = {b for b, w in weight.items() if w >= need}
-        longer = lambda b: any(len(c) > len(b) and weight[c] == weight[b] and any(c[i : i + len(b)] == b for i in range(len(c))) for c in heavy)
-        assert {b for b in heavy if not longer(b)} <= set(found)
-        assert {x for b in heavy for x in b} == {x for b in found for x in b}
-
-
 def pages(spark, rows):
     return spark.createDataFrame(rows, "club string, page_id long, text string")
 
@@ -104,16 +66,58 @@ def test_repeated_lines_against_counting(spark):
     assert L.repeated_lines(df.limit(0)).count() == 0
 
 
-def test_split_sources_give_the_same_lines(spark, monkeypatch):
-    rows = [("c", i, f"Head\nSub\nown {i}\n" + ("Foot" if i % 2 else f"x{i}")) for i in range(80)]
-    whole = {r["line"] for r in L.repeated_lines(pages(spark, rows)).collect()}
-    monkeypatch.setattr(L, "SHARD", 9)
-    assert {r["line"] for r in L.repeated_lines(pages(spark, rows)).collect()} == whole == {"Head", "Sub", "Foot"}
+def brute_blocks(rows, min_pages=5, min_share=5):
+    """Per source, all blocks on enough pages, and those that stand somewhere outside a longer one."""
+    seqs, total = defaultdict(list), defaultdict(int)
+    for club, key, text in {(c, k): (c, k, t) for c, k, t in rows}.values():
+        if club is not None:
+            total[club] += 1
+            seqs[club].append(L.line_list(text or ""))
+    out = set()
+    for club, pages_ in seqs.items():
+        on = defaultdict(set)
+        for k, s in enumerate(pages_):
+            for i in range(len(s)):
+                for j in range(i + 1, len(s) + 1):
+                    on[tuple(s[i:j])].add(k)
+        often = {b: len(ks) for b, ks in on.items() if len(ks) >= min_pages and min_share * len(ks) >= total[club]}
+        for s in pages_:
+            longest = [max((j - i for j in range(i + 1, len(s) + 1) if tuple(s[i:j]) in often), default=0) for i in range(len(s))]
+            for i, n in enumerate(longest):
+                if n and (i == 0 or longest[i - 1] <= n):
+                    out.add((club, tuple(s[i : i + n]), often[tuple(s[i : i + n])]))
+    return out
 
 
-def test_lines_followed_by_others_in_one_shard_only(spark, monkeypatch):
-    monkeypatch.setattr(L, "SHARD", 80)
+def test_blocks_against_counting(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for c in range(6):
+        for k in range(30):
+            lines = [f"L{x}" for x in rng.integers(0, 3 + c, rng.integers(1, 9))]
+            rows.append((f"c{c}", 100 * c + k, "\n \n".join(lines)))
+    rows += [("long", 1000 + k, "\n".join([f"a{i}" for i in range(37 - k % 3)] + [f"own {k}", "a5", "a6"] + ["same"] * (k % 4) * 3)) for k in range(12)]
+    rows += rows[:40] + [(None, 5000, "L1\nL2"), ("c0", 5001, None), ("c0", 5002, "")]
+    want = brute_blocks(rows)
+    found = L.Repeats(pages(spark, rows))
+    texts = {r["line_id"]: (r["source"], r["line"]) for r in L.block_lines(found, pages(spark, rows)).collect()}
+    got = [(texts[r["block"][0]][0], tuple(texts[x][1] for x in r["block"]), r["n_pages"]) for r in found.blocks().collect()]
+    assert len(got) == len(set(got)) and set(got) == want and max(len(b) for _, b, _ in want) > 30
+    several = {(r["club"], r["lines"], r["n_lines"], r["n_pages"]) for r in L.repeated_blocks(pages(spark, rows)).collect()}
+    assert several == {(c, "\n".join(b), len(b), n) for c, b, n in want if len(b) > 1}
+    assert {(r["club"], r["line"]) for r in L.repeated_lines(pages(spark, rows)).collect()} == {(c, x) for c, b, _ in want for x in b}
+
+
+def test_only_blocks_of_enough_lines_are_deleted(spark):
+    rows = [("c", k, f"Head\n\nSub\nown {k}\n" + ("Foot" if k % 2 else "x")) for k in range(20)]
+    whole = {r["page_id"]: (r["text"], r["n_removed"]) for r in L.without_repeated_lines(pages(spark, rows)).collect()}
+    assert whole[3] == ("\nown 3", 3) and whole[4] == ("\nown 4", 3)
+    long = {r["page_id"]: (r["text"], r["n_removed"]) for r in L.without_repeated_lines(pages(spark, rows), least=2).collect()}
+    assert long[3] == ("\nown 3\nFoot", 2) and long[4] == ("\nown 4\nx", 2)
+
+
+def test_the_layout_does_not_change_the_blocks(spark):
     kinds = ["Lead\nMore"] * 30 + ["Lead"] * 20 + ["Xtra"] * 80 + ["More"] * 20 + ["own"] * 90
-    rows = [(f"c{c}", 1000 * c + i, f"{x} {i}" if x == "own" else x) for c in range(40) for i, x in enumerate(kinds)]
-    got = {(r["club"], r["line"]) for r in L.repeated_lines(pages(spark, rows)).collect()}
-    assert got == {(f"c{c}", x) for c in range(40) for x in ("Lead", "More", "Xtra")}
+    rows = [(f"c{c}", 1000 * c + i, f"{x} {i}" if x == "own" else x) for c in range(5) for i, x in enumerate(kinds)]
+    some = [{(r["club"], r["lines"], r["n_pages"]) for r in L.repeated_blocks(pages(spark, rows).repartition(n), least=1, min_share=9).collect()} for n in (1, 7)]
+    assert some[0] == some[1] == {(f"c{c}", x, n) for c in range(5) for x, n in (("Lead\nMore", 30), ("Lead", 50), ("More", 50), ("Xtra", 80))}
