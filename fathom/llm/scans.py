@@ -29,6 +29,9 @@ from .lines import MIN_PAGES, MIN_SHARE
 STRAY, LOST, ADDED = 1e-3, 1e-5, 1e-5
 # Marks that a scan leaves at the end of a broken line.
 MARKS = "-‐¬\xad"
+# Running lines of all clubs are sent to the executors up to so many (8 bytes each); beyond that they are
+# joined, and the adaptive join splits large clubs.
+BROADCAST_KEYS = 4_000_000
 # On so many different pages of a filing a line is a running one, if it is among the first or last lines.
 RUNNING_PAGES, EDGE = 3, 3
 PAGE_NUMBER = r"[^\w\n]*(?:(?:page|pg|p)\b[^\w\n]*)?0*{}(?:\s*(?:of|/)\s*\d+)?[^\w\n]*"
@@ -378,42 +381,64 @@ class Stream:
         n = self.counts.get(w)
         return self.total - math.log(n) if n else math.inf
 
-    def alone(self, w: str) -> tuple[float, str | None]:
-        """The cost of an unknown word by itself, and its two parts if they are cheaper."""
-        if w not in self.memo:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            best, parts = -self.new - float(self.channel.letters.logs([w])[0]), None
+    def learn(self, texts: list[str | None]) -> None:
+        """Judges all unknown words of a batch of texts at once."""
+        new = {w for x in texts if x for t in set(x.split()) if t.isalpha() and (w := t.lower()) not in self.counts and w not in self.memo}
+        if len(self.memo) > 500_000:
+            self.memo.clear()
+        self.judge(list(new))
+
+    def judge(self, words: list[str]) -> None:
+        counts = self.counts
+        for w, log in zip(words, self.channel.letters.logs(words).tolist()):
+            best, parts = -self.new - log, None
             for i in range(2, len(w) - 1) if len(w) <= 64 else ():
-                c = self.cost(w[:i]) + self.cost(w[i:]) - math.log(LOST)
-                if c < best:
-                    best, parts = c, f"{w[:i]} {w[i:]}"
+                if w[:i] in counts and w[i:] in counts:
+                    c = self.cost(w[:i]) + self.cost(w[i:]) - math.log(LOST)
+                    if c < best:
+                        best, parts = c, f"{w[:i]} {w[i:]}"
             self.memo[w] = best, parts
-        return self.memo[w]
 
     def decode(self, paragraph: str) -> str:
+        """The least-cost path through each spot: unknown words in a row and their neighbours."""
         tokens = paragraph.split(" ")
-        bare_ = [t.lower() if t.isalpha() else None for t in tokens]
-        known = [b is None or b in self.counts for b in bare_]
-        if all(known):
+        plain = [t.lower() if t.isalpha() else None for t in tokens]
+        unknown = [i for i, b in enumerate(plain) if b is not None and b not in self.counts]
+        if not unknown:
             return paragraph
+        out, done, at = [], 0, 0
+        while at < len(unknown):
+            first = last = unknown[at]
+            while at + 1 < len(unknown) and unknown[at + 1] <= last + 1:
+                at += 1
+                last = unknown[at]
+            at += 1
+            low, high = max(first - 1, done), min(last + 2, len(tokens))
+            out += tokens[done:low]
+            out += self.path(tokens[low:high], plain[low:high])
+            done = high
+        return " ".join(out + tokens[done:])
+
+    def path(self, tokens: list[str], plain: list[str | None]) -> list[str]:
         best: list[tuple[float, int, str]] = [(0.0, 0, "")]
-        for i, (t, b) in enumerate(zip(tokens, bare_)):
-            if b is None or known[i]:
+        for i, (t, b) in enumerate(zip(tokens, plain)):
+            if b is None or b in self.counts:
                 choice = (best[i][0] + (self.cost(b) if b else 0.0), i, t)
             else:
-                c, parts = self.alone(b)
+                if b not in self.memo:
+                    self.judge([b])
+                c, parts = self.memo[b]
                 k = parts.index(" ") if parts else 0
                 choice = (best[i][0] + c, i, f"{t[:k]} {t[k:]}" if parts else t)
-            if i and b is not None and bare_[i - 1] is not None and not (known[i] and known[i - 1]):
-                c = best[i - 1][0] + self.cost(bare_[i - 1] + b) - math.log(ADDED)
-                choice = min(choice, (c, i - 1, tokens[i - 1] + t))
+            before = plain[i - 1] if i else None
+            if b is not None and before is not None and (before + b) in self.counts and not (b in self.counts and before in self.counts):
+                choice = min(choice, (best[i - 1][0] + self.cost(before + b) - math.log(ADDED), i - 1, tokens[i - 1] + t))
             best.append(choice)
         out, i = [], len(tokens)
         while i:
             out.append(best[i][2])
             i = best[i][1]
-        return " ".join(reversed(out))
+        return out[::-1]
 
 
 def repair(text: str, fixes: dict[str, str], drop: set[str], running: frozenset[int] | set[int] = frozenset(), report: bool = False, stream: Stream | None = None) -> str:
@@ -453,7 +478,7 @@ def repair(text: str, fixes: dict[str, str], drop: set[str], running: frozenset[
     numbers = page_number_lines(rows) if report else set()
     kept = "\n".join(x for i, x in enumerate(rows) if i not in numbers and x.strip() not in drop and (not x.strip() or any(map(str.isalnum, x))) and not runs(x))
     kept = re.sub(r"(\S+?)[" + MARKS + r"][ \t]*\n[ \t]*([^\W\d_A-Z]\S*)[ \t]*\n?", whole, kept)
-    whole_text = paragraphs(re.sub(r"\S+", token, kept).split("\n"))
+    whole_text = paragraphs((re.sub(r"\S+", token, kept) if fixes else kept).split("\n"))
     return "\n\n".join(stream.decode(x) if stream else x for x in whole_text)
 
 
@@ -477,6 +502,8 @@ def repaired(records: DataFrame, found: DataFrame, running: DataFrame | None = N
         for batch in batches:
             texts = []
             sets: dict[str, set[int]] = {}
+            if stream:
+                stream.learn(batch.column(2).to_pylist())
             for text, fix, drop, page, club, keys in zip(*(c.to_pylist() for c in [*batch.columns[2:5], *batch.columns[6:8]]), batch.column(8)):
                 if club not in sets:
                     sets[club] = set(keys.as_py() or ())
@@ -487,6 +514,8 @@ def repaired(records: DataFrame, found: DataFrame, running: DataFrame | None = N
     if running is None:
         rows = rows.withColumns({"club": F.lit(None).cast("string"), "running": F.lit(None).cast("array<long>")})
     else:
-        rows = rows.join(running, "club", "left")
+        running = cut(running)
+        keys = running.agg(F.sum(F.size("running"))).first()[0] or 0
+        rows = rows.join(F.broadcast(running) if keys <= BROADCAST_KEYS else running, "club", "left")
     rows = rows.select("tab", F.col("rec_id").cast("long"), "text", "fixes", "drop", F.coalesce("n", F.lit(0)).alias("n"), "page", "club", "running")
     return rows.mapInArrow(run, "tab string, rec_id long, text string, n_fixes int")
