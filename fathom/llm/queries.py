@@ -29,10 +29,15 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.span_shares(reports(spark, d))
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs with their kind: successive years of a company, its other reports, its club's, others'."""
+    rows = reports(spark, d)
+    return spans.link_kinds(spans.span_pairs(rows), rows, table(spark, d, "drift"))
+
+
 def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Reports linked by shared spans, each with its cluster and whether it is the one to keep."""
-    pairs = spans.span_pairs(reports(spark, d))
-    found = components.connected_components(pairs, "section_a", "section_b")
+    found = components.connected_components(spans.span_links(reports(spark, d)), "u", "v")
     return found.select(F.col("id").alias("section_id"), F.col("component").alias("cluster_id"), (F.col("id") == F.col("component")).alias("keep"))
 
 
@@ -123,7 +128,7 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_shares, p1_clusters, p2_found, p2_terms, p3_found, p3_tails, p3_documents, p4_found, p4_blocks, p4_clean, p5_found, p5_repaired, p6_found, p6_leaks, p7_found, p7_mix, p8_found, p8_classes, p8_canonical)
+    for f in (p1_found, p1_shares, p1_links, p1_clusters, p2_found, p2_terms, p3_found, p3_tails, p3_documents, p4_found, p4_blocks, p4_clean, p5_found, p5_repaired, p6_found, p6_leaks, p7_found, p7_mix, p8_found, p8_classes, p8_canonical)
 }
 
 _RECORDS = """

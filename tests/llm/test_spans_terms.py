@@ -49,6 +49,47 @@ def test_pairs_and_shares_against_brute_force(spark):
     assert spans.span_pairs(df.limit(0)).count() == 0
 
 
+def test_passages_of_many_texts_join_once(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    part = spans.collapse(text(3000))
+    rows = [(i, text(rng.randint(5, 200)) + part[: 3000 - i] + text(rng.randint(5, 200))) for i in range(12)] + [(100 + i, rows_) for i, rows_ in enumerate([part] * 5)]
+    df = reports(spark, rows)
+    texts = spans.normal_texts(df, "section_id", "text", spans.SPAN)
+    prints = spans.cut(spans.fingerprints(texts, spans.SPAN, spans.GRAM).distinct())
+    met = spans.meetings(prints, "before").count()
+    grams = prints.count() / 13
+    assert met <= 4 * 13 * 12 / 2 and grams > 50
+    assert spans.span_pairs(df).count() == 17 * 16 // 2
+    links = [tuple(r) for r in spans.span_links(df).collect()]
+    assert len(links) == 13 * 12 // 2 + 4
+    found = components.connected_components(spans.span_links(df), "u", "v").collect()
+    assert len(found) == 17 and {r["component"] for r in found} == {0}
+
+
+def test_recall_of_sparse_bands(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = []
+    for i in range(120):
+        part = text(400)
+        rows += [(2 * i, text(rng.randint(50, 300)) + part + text(80)), (2 * i + 1, text(rng.randint(50, 300)) + part + text(80))]
+    df = reports(spark, rows)
+    exact = {tuple(r) for r in spans.span_pairs(df).collect()}
+    assert len(exact) == 120
+    found = {k: len(exact & {tuple(r) for r in spans.span_pairs(df, bands=k, stride=64).collect()}) / 120 for k in (1, 4)}
+    assert found[1] < found[4] and found[4] >= 0.9
+
+
+def test_kinds_of_links(spark):
+    who = [(1, "c", None, "2020"), (2, "c", None, "2022"), (3, "c", None, "2023"), (4, "c", "n", "2022"), (5, "d", None, "2022"), (6, "c", None, "2022")]
+    rows = spark.createDataFrame([(*r, "x") for r in who], "section_id long, club string, company_number string, year string, text string")
+    drift = spark.createDataFrame([("c", None, "2020", "2022"), ("c", None, "2022", "2023"), ("c", None, "2020", "2022")], "club string, company_number string, year_prev string, year string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (2, 4), (2, 5), (2, 6)], "section_a long, section_b long")
+    got = {(r["section_a"], r["section_b"]): r["kind"] for r in spans.link_kinds(pairs, rows, drift).collect()}
+    assert got == {(1, 2): "successive", (1, 3): "entity", (2, 3): "successive", (2, 4): "club", (2, 5): "foreign", (2, 6): "edition"}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(40, 50), (50, 60), (60, 40), (40, 50), (7, 7), (None, 3)]
     got = {r["id"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
