@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import table
+from ..functions.frames import exact_round, table
 from . import components, leaks, lines, lookalike, mixing, quality, scans, spans, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,18 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.Balance(mixing.token_sizes(table(spark, d, "documents")), table(spark, d, "source_weights")).report()
 
 
+def p7_feasible(spark: SparkSession, d: str) -> DataFrame:
+    """The same at the largest total at which every source can hold its weight."""
+    return mixing.Balance(mixing.token_sizes(table(spark, d, "documents")), table(spark, d, "source_weights"), feasible=True).report()
+
+
+def p7_targets(spark: SparkSession, d: str) -> DataFrame:
+    """What each source has, in characters, and what it should give."""
+    docs = table(spark, d, "documents").filter("text is not null and text <> ''")
+    out = mixing.Balance(docs.select("doc_id", "source", F.col("n_chars").alias("size")), table(spark, d, "source_weights")).targets()
+    return out.withColumn("target", exact_round(F.col("target"), 3))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     prints = lookalike.fingerprints(docs, counts=lookalike.code_point_counts(docs))
@@ -128,7 +140,7 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_shares, p1_links, p1_clusters, p2_found, p2_terms, p3_found, p3_tails, p3_documents, p4_found, p4_blocks, p4_clean, p5_found, p5_repaired, p6_found, p6_leaks, p7_found, p7_mix, p8_found, p8_classes, p8_canonical)
+    for f in (p1_found, p1_shares, p1_links, p1_clusters, p2_found, p2_terms, p3_found, p3_tails, p3_documents, p4_found, p4_blocks, p4_clean, p5_found, p5_repaired, p6_found, p6_leaks, p7_found, p7_mix, p7_feasible, p7_targets, p8_found, p8_classes, p8_canonical)
 }
 
 _RECORDS = """
@@ -205,6 +217,13 @@ free as (
 ),
 counted as (select club, lines, n, count(distinct page_id) as n_pages from blocks group by all)
 select distinct f.club, f.lines, f.n::int as n_lines, c.n_pages from free f join counted c on c.club = f.club and c.lines = f.lines and c.n = f.n where f.n >= 2
+""",
+    "p7_targets": """
+with t as (select lower(trim(source)) as source, n_chars from documents where text <> ''),
+have as (select source, count(*) as n, sum(n_chars) as s from t group by source),
+w as (select lower(trim(source)) as source, weight, max_repeat, weight * (select sum(n_chars) from t)::bigint as target from source_weights)
+select w.source, weight, max_repeat, coalesce(n, 0) as n_docs, coalesce(s, 0)::bigint as size, format('{:.3f}', target)::double as target, coalesce(s, 0) * max_repeat < target as short
+from w left join have h on h.source = w.source
 """,
     "p7_found": """
 with t as (select lower(trim(source)) as source, n_chars from documents where text <> ''),

@@ -135,8 +135,12 @@ def test_mix_reaches_targets(spark):
     caps = {"a": 1, "b": 3, "c": 1, "d": 5}
     for s, w in (("a", 0.2), ("b", 0.5), ("c", 0.25), ("d", 0.05)):
         assert got[s]["short"] == (have[s] * caps[s] < w * mix.total) and got[s]["most_copies"] <= caps[s]
-        assert got[s]["used"] == have[s] * caps[s] if got[s]["short"] else got[s]["used"] == pytest.approx(w * mix.total, rel=0.05)
+        assert got[s]["used"] == have[s] * caps[s] if got[s]["short"] else abs(got[s]["missing"]) < got[s]["largest"] and got[s]["missing"] == pytest.approx(w * mix.total - got[s]["used"])
     assert sum(r["actual_share"] for r in got.values()) == pytest.approx(1)
+    even = mixing.Balance(sizes, weights, feasible=True)
+    shares = {r["source"]: r for r in even.report().collect()}
+    assert even.total == pytest.approx(min(have[s] * caps[s] / (w / 0.95) for s, w in (("a", 0.2), ("b", 0.5), ("c", 0.25))))
+    assert all(abs(shares[s]["actual_share"] - w / 0.95) < 2 * 400 / even.total for s, w in (("a", 0.2), ("b", 0.5), ("c", 0.25))) and shares["d"]["used"] == 0
     none = mixing.Balance(sizes.limit(0), weights)
     assert none.total == 0 and none.report().count() == 4
 
@@ -150,6 +154,20 @@ def test_rates_solve_the_dual(spark):
         assert reached == pytest.approx(weight * mix.total, rel=1e-5)
 
 
+def test_copies_follow_the_rates_and_carry_the_error(spark):
+    rng = random.Random(6)
+    sizes = spark.createDataFrame([(i, "a" if i % 3 else "b", rng.randint(1, 900)) for i in range(3000)] + [(9999, "c", 77)], "doc_id long, source string, size long")
+    weights = spark.createDataFrame([("a", 0.5, 3), ("b", 0.49, 3), ("c", 0.00001, 2)], "source string, weight double, max_repeat int")
+    mix = mixing.Balance(sizes, weights)
+    assert not mix.solved and mix.targets().count() == 3 and not mix.solved
+    rows = mix.copies().collect()
+    for s in "abc":
+        own = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["size"] * r["copies"] for r in own) - mix.rows[s]["target"]) < max(r["size"] for r in own)
+        assert all(math.floor(r["rate"]) <= r["copies"] <= math.ceil(r["rate"]) for r in own)
+        assert [r["copies"] for r in sorted(own, key=lambda r: r["doc_id"])] == [r["copies"] for r in sorted((r for r in mix.copies().collect() if r["source"] == s), key=lambda r: r["doc_id"])]
+
+
 def test_token_sizes_round_trip(spark):
     got = {r["doc_id"]: r["size"] for r in mixing.token_sizes(spark.createDataFrame([(1, "s", "The club"), (2, "s", None), (3, "s", ""), (4, None, "é" * 5000)], "doc_id long, source string, text string")).collect()}
     assert set(got) == {1, 4} and got[1] == 2
