@@ -1,11 +1,12 @@
 """Evaluation texts inside a training corpus: pigeonhole pieces, exact hits, Myers distance.
 
 Both sides are brought to one printed form (``lookalike``) and to words: maximal runs of letters and
-digits in lower case. An item is cut into consecutive pieces of equal word count. Any passage of
-``window`` words with at most ``errors`` damaged words holds one of its pieces undamaged, if a piece
-has ``(window + 1) // (errors + 2)`` words: the passage covers at least ``errors + 1`` whole pieces.
-All pieces go into one Aho-Corasick automaton, each document is streamed through it once, and every
-hit is verified: the exact common run around it, and the bit-parallel edit distance of its passage.
+digits in lower case. A passage of ``window`` words with at most ``errors`` damaged words falls into
+``errors + 1`` undamaged pieces, the longest of which has at least ``(window - errors) / (errors + 1)``
+words, so every passage holds an undamaged piece of that length. The pieces at all places of all items
+are kept as hashes over word numbers; each document is walked once, its pieces meet them by hash, and
+every hit is verified by its words: the exact common run around it, and the bit-parallel edit distance
+of the windows through it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,21 +28,21 @@ ITEMS_A_PASS = 20_000
 
 
 def piece_words(window: int, errors: int) -> int:
-    """The longest piece of which a damaged window still holds a whole, undamaged one."""
-    n = (window + 1) // (errors + 2)
+    """The length of the longest piece that a damaged window holds undamaged in any case."""
+    n = -(-(window - errors) // (errors + 1))
     if n < 1:
         raise ValueError("more errors than a window of this length can be searched for")
     return n
 
 
-def myers(pattern: list[str], text: list[str]) -> int:
+def myers(pattern: list, text: list) -> int:
     """Least edit distance, in words, between ``pattern`` and any passage of ``text``.
 
     Myers' bit-vector recurrence; Python's integers hold patterns of any length.
     """
     if not pattern:
         return 0
-    at: dict[str, int] = {}
+    at: dict = {}
     for i, w in enumerate(pattern):
         at[w] = at.get(w, 0) | 1 << i
     full, top = (1 << len(pattern)) - 1, 1 << len(pattern) - 1
@@ -57,17 +59,6 @@ def myers(pattern: list[str], text: list[str]) -> int:
     return best
 
 
-def common_run(doc: list[str], at: int, item: list[str], piece: int, size: int) -> tuple[int, int]:
-    """(start in the item, length) of the maximal equal run around a hit."""
-    a, b = at, piece
-    while a and b and doc[a - 1] == item[b - 1]:
-        a, b = a - 1, b - 1
-    start, i, j = b, at + size, piece + size
-    while i < len(doc) and j < len(item) and doc[i] == item[j]:
-        i, j = i + 1, j + 1
-    return start, j - start
-
-
 SCHEMA = "doc_id long, item_id long, longest_run int, words_leaked int, item_words int, least_errors int, score double"
 
 
@@ -79,74 +70,118 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 13, errors: int = 0)
     item around a hit and the document; ``score``: leaked share of the item. A row needs a run of
     ``window`` words, or a window within ``errors`` edits. NULL and empty texts give no rows; items
     shorter than the window give none. The items are a query set: they are read to the driver in
-    passes of at most ``ITEMS_A_PASS``; the documents never leave the executors.
+    passes of about ``ITEMS_A_PASS`` by a hash; the documents never leave the executors.
     """
     size = piece_words(window, errors)
     pattern, mapping = compile_fold(representatives(lookalike_classes()))
-    spark_items = items.select(F.col("item_id").cast("long"), "text").filter("text is not null")
-    bounds = [r[0] for r in spark_items.select("item_id").orderBy("item_id").collect()][::ITEMS_A_PASS]
+    fold, words_of = folder(pattern, mapping), re.compile(WORD).findall
+    rows = items.select(F.col("item_id").cast("long"), "text").filter("text is not null and item_id is not null")
+    passes = max(1, -(-rows.count() // ITEMS_A_PASS))
     out = None
-    for k, low in enumerate(bounds):
-        some = spark_items.filter(F.col("item_id") >= low)
-        if k + 1 < len(bounds):
-            some = some.filter(F.col("item_id") < bounds[k + 1])
-        found = search(docs, [tuple(r) for r in some.collect()], window, errors, size, pattern, mapping)
+    for k in range(passes):
+        some = rows.filter(F.pmod(F.xxhash64("item_id", F.lit("pass")), F.lit(passes)) == k).toLocalIterator()
+        index = Index.of([(r[0], words_of(fold(r[1]).lower())) for r in some], window, size)
+        found = search(docs, index, window, errors, size, pattern, mapping)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
-
-
-def search(docs: DataFrame, query: list[tuple[int, str]], window: int, errors: int, size: int, pattern: str, mapping: dict[str, str]) -> DataFrame:
-    """One pass over the documents for a bounded set of items."""
+    return out
+
+
+class Index:
+    """Pieces of a bounded set of items: their hashes in order, with item and place."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, vocabulary: dict[str, int], items: list[tuple[int, np.ndarray]], hashes: np.ndarray, numbers: np.ndarray, places: np.ndarray):
+        self.vocabulary, self.items, self.hashes, self.numbers, self.places = vocabulary, items, hashes, numbers, places
+
+    @classmethod
+    def of(cls, items: list[tuple[int, list[str]]], window: int, size: int) -> Index:
+        vocabulary: dict[str, int] = {}
+        kept = [(k, np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int64)) for k, words in items if len(words) >= window]
+        parts = [cls.pieces(ids, size) for _, ids in kept]
+        hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        numbers = np.repeat(np.arange(len(kept)), [len(p) for p in parts])
+        places = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, np.int64)
+        order = np.argsort(hashes, kind="stable")
+        return cls(vocabulary, kept, hashes[order], numbers[order], places[order])
+
+    @classmethod
+    def pieces(cls, ids: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the piece at each place. Words that no item has are 0."""
+        n = max(len(ids) - size + 1, 0)
+        h = np.zeros(n, np.uint64)
+        for j in range(size):
+            h = (h + ids[j : j + n].astype(np.uint64)) * np.uint64(cls.BASE)
+            h ^= h >> np.uint64(31)
+        return h
+
+    def hits(self, ids: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+        """(place in the document, item, place in the item) of equal pieces, in order."""
+        if len(ids) < size or not len(self.hashes):
+            return
+        known = np.concatenate([[0], np.cumsum(ids > 0)])
+        at = np.flatnonzero(known[size:] - known[:-size] == size)
+        if not len(at):
+            return
+        h = self.pieces(ids, size)[at]
+        low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        for i in np.flatnonzero(high > low).tolist():
+            for k in range(low[i], high[i]):
+                yield int(at[i]), int(self.numbers[k]), int(self.places[k])
+
+
+def search(docs: DataFrame, index: Index, window: int, errors: int, size: int, pattern: str, mapping: dict[str, str]) -> DataFrame:
+    """One pass over the documents for a bounded set of items, whose index every worker unpacks once."""
+    shared = docs.sparkSession.sparkContext.broadcast((index.vocabulary, index.items, index.hashes, index.numbers, index.places))
+
+    def check(ids: np.ndarray, found: Index) -> dict[int, list]:
+        """Per item: longest run, the item's leaked words, least distance of a window."""
+        best: dict[int, list] = {}
+        done: dict[tuple[int, int], int] = {}  # up to where a run of this item at this shift is known
+        words = ids.tolist()
+        for at, item, piece in found.hits(ids, size):
+            if done.get((item, at - piece), -1) >= at + size:
+                continue
+            other = found.items[item][1].tolist()
+            a, b = at, piece
+            while a and b and words[a - 1] == other[b - 1] != 0:
+                a, b = a - 1, b - 1
+            i, j = at, piece
+            while i < len(words) and j < len(other) and words[i] == other[j]:
+                i, j = i + 1, j + 1
+            done[item, at - piece] = i
+            if j - b < size:
+                continue  # equal hashes of different words
+            kept = best.setdefault(item, [0, set(), window])
+            kept[0] = max(kept[0], j - b)
+            if j - b >= window:
+                kept[1].update(range(b, j))
+                kept[2] = 0
+            elif errors and kept[2]:
+                for low in range(max(0, b + size - window), min(j - size, len(other) - window) + 1):
+                    want, start = other[low : low + window], a + low - b
+                    near = words[max(0, start - errors) : start + window + errors]
+                    # each edit costs a word: a window with fewer words in common is further off
+                    if len(set(want).difference(near)) <= errors:
+                        kept[2] = min(kept[2], myers(want, near))
+        return best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        fold, words_of = folder(pattern, mapping), re.compile(WORD).findall
-        item_words: dict[int, list[str]] = {}
-        pieces: dict[str, list[tuple[int, int]]] = {}
-        for item, text in query:
-            words = item_words[item] = words_of(fold(text).lower())
-            if len(words) >= window:
-                for at in range(0, len(words) - size + 1, size):
-                    pieces.setdefault(" " + " ".join(words[at : at + size]) + " ", []).append((item, at))
-        automaton = ahocorasick.Automaton()
-        for text, where in pieces.items():
-            automaton.add_word(text, (where, len(text)))
-        if pieces:
-            automaton.make_automaton()
+        found = Index(*shared.value)
+        fold, words_of, number = folder(pattern, mapping), re.compile(WORD).findall, found.vocabulary.get
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text or not pieces:
+                if not text or not found.items:
                     continue
                 words = words_of(fold(text).lower())
-                if len(words) < size:
-                    continue
-                line = " " + " ".join(words) + " "
-                hits = list(automaton.iter(line))
-                if not hits:
-                    continue
-                best: dict[int, list] = {}
-                for end, (where, length) in hits:
-                    at = line.count(" ", 0, end - length + 1)
-                    for item, piece in where:
-                        other = item_words[item]
-                        start, n = common_run(words, at, other, piece, size)
-                        b = best.setdefault(item, [0, set(), window])
-                        b[0] = max(b[0], n)
-                        if n >= window:
-                            b[1].update(range(start, start + n))
-                            b[2] = 0
-                        elif errors and b[2]:
-                            for low in range(max(0, piece + size - window), min(piece, len(other) - window) + 1):
-                                near = words[max(0, at - (piece - low) - errors) : at + window - (piece - low) + errors]
-                                # each edit costs a word: a window with fewer words in common is further off
-                                if len(set(other[low : low + window]).difference(near)) <= errors:
-                                    b[2] = min(b[2], myers(other[low : low + window], near))
-                for item, (longest, leaked, least) in best.items():
+                ids = np.fromiter((number(w, 0) for w in words), np.int64, len(words))
+                for item, (longest, leaked, least) in check(ids, found).items():
                     if longest >= window or least <= errors:
-                        n = len(item_words[item])
-                        rows.append((key, item, longest, len(leaked), n, least, len(leaked) / n))
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "longest_run", "words_leaked", "item_words", "least_errors", "score"), r)) for r in rows], schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("longest_run", pa.int32()), ("words_leaked", pa.int32()), ("item_words", pa.int32()), ("least_errors", pa.int32()), ("score", pa.float64())]))
+                        k, own = found.items[item]
+                        rows.append((key, k, longest, len(leaked), len(own), least, len(leaked) / len(own)))
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "item_id", "longest_run", "words_leaked", "item_words", "least_errors", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
