@@ -46,7 +46,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_terms(spark: SparkSession, d: str) -> DataFrame:
-    return terms.term_scores(reports(spark, d))
+    """Every term of every report with its weight and its log-likelihood ratio, rounded."""
+    out = terms.term_scores(reports(spark, d))
+    return out.withColumns({"weight": exact_round(F.col("weight")), "g2": exact_round(F.col("g2"), 4)})
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +151,59 @@ union all
 select 'sections' as tab, section_id as rec_id, text from sections where section = 'strategic_report'
 """
 
+# What prints alike, stated for the other engine: letters of other scripts with their Latin twins.
+_TWINS = "АA ВB ЕE КK МM НH ОO РP СC ТT ХX ЅS ІI ЈJ аa еe оo рp сc уy хx ѕs іi јj һh ԁd ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ϲc ɡg ʼ’ ‐- ‑-".split()
+_WIDE = [chr(0xFF01 + i) + chr(0x21 + i) for i in range(94)]
+_sql = lambda x: x.replace("'", "''")
+_FROM, _TO = (_sql("".join(p[i] for p in _TWINS + _WIDE)) for i in (0, 1))
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+
+
+def _printed(text: str) -> str:
+    """SQL for the printed form of a text: invisible characters, spaces, width, twins, ligatures, composition."""
+    out = f"regexp_replace({text}, '[\\x{{00AD}}\\x{{034F}}\\x{{061C}}\\x{{180B}}-\\x{{180F}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g')"
+    out = f"regexp_replace({out}, '[\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g')"
+    out = f"translate({out}, '{_FROM}', '{_TO}')"
+    for a, b in _LIGATURES.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"nfc_normalize({out})"
+
+
+_ALIKE = f"prints as (select doc_id, text, {_printed('text')} as form from (select distinct on (doc_id) * from documents where text <> ''))"
+_GRAM = "list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))"
+
 ORACLES: dict[str, str] = {
+    "p2_terms": r"""
+with docs as (select section_id, any_value(text) as text from sections where section = 'strategic_report' and text <> '' group by section_id),
+words as (
+  select section_id, unnest(regexp_extract_all(regexp_replace(lower(text), '[£$€]?\d[\d,.]*%?', ' ', 'g'), '[a-z][a-z''’-]*')) as term from docs
+),
+counts as (select section_id, term, count(*) as n from words group by all),
+sizes as (select section_id, count(*) as n_tokens from words group by section_id),
+totals as (select term, count(*) as n_docs, sum(n)::bigint as n_total from counts group by term),
+t as (
+  select section_id, term, n, n_tokens, n_docs, n_total, (select count(*) from docs) as docs_all, n::double as a, (n_total - n)::double as b, (n_tokens - n)::double as c,
+    ((select count(*) from words) - n_tokens - n_total + n)::double as d, (select count(*) from words)::double as whole
+  from counts join totals using (term) join sizes using (section_id)
+)
+select section_id, term, n, n_tokens, n_docs, n_total, format('{:.6f}', n * ln(docs_all / n_docs))::double as weight,
+  format('{:.4f}', case when a * (b + d) < b * (a + c) then -2 else 2 end * (
+    case when a > 0 then a * ln(a * whole / ((a + b) * (a + c))) else 0 end + case when b > 0 then b * ln(b * whole / ((a + b) * (b + d))) else 0 end
+    + case when c > 0 then c * ln(c * whole / ((c + d) * (a + c))) else 0 end + case when d > 0 then d * ln(d * whole / ((c + d) * (b + d))) else 0 end))::double as g2
+from t
+""".replace("\\'", "'"),
+    "p6_found": rf"""
+with d as (select distinct doc_id, unnest({_GRAM}) as g from (select doc_id, regexp_extract_all(lower({_printed('text')}), '[\pL\pN]+') as w from documents where text <> '')),
+i as (select distinct item_id, unnest({_GRAM}) as g from (select item_id, regexp_extract_all(lower({_printed('text')}), '[\pL\pN]+') as w from eval_items where text <> ''))
+select distinct doc_id, item_id from d join i using (g)
+""",
+    "p8_found": f"with {_ALIKE} select a.doc_id as doc_a, b.doc_id as doc_b from prints a join prints b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text",
+    "p8_classes": f"""
+with {_ALIKE}
+select doc_id, min(doc_id) over f as class_id, count(*) over f as n_alike, (select count(distinct text) from prints q where q.form = p.form) as n_forms
+from prints p window f as (partition by form) qualify n_alike > 1
+""",
+    "p8_canonical": f"select doc_id, text, {_printed('text')} as canonical from documents",
     "p2_found": r"""
 with docs as (select section_id, any_value(text) as text from sections where section = 'strategic_report' and text <> '' group by section_id),
 words as (
