@@ -252,13 +252,21 @@ def page_records(pages: DataFrame, sections: DataFrame, *more: str) -> DataFrame
     return a.unionByName(b)
 
 
+_letters, _figure = re.compile(r"[^\W\d_]{3,}"), re.compile(r"\d")
+_row = re.compile(r"\d[,.]?\d{3},?\d|\d[,.]\d|\d\W* \W*\d")
+_no_figures = str.maketrans("", "", "0123456789")
+
+
 def line_key(line: str) -> int | None:
     """64-bit hash of a line without case and white-space runs; NULL unless it holds two words, and
     for rows of figures."""
     import xxhash
 
+    first = _letters.search(line)
+    if first is None or _letters.search(line, first.end()) is None:
+        return None
     line = " ".join(line.lower().split())
-    if len(re.findall(r"[^\W\d_]{3,}", line)) < 2 or re.search(r"\d[,.]?\d{3},?\d|\d[,.]\d|\d\W* \W*\d", line):
+    if _figure.search(line) and _row.search(line):
         return None
     return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
@@ -307,17 +315,18 @@ def paragraphs(lines: list[str]) -> list[str]:
     width = max(len(x) for _, x in rows)
 
     def layout(x: str) -> float:
-        figures = sum(c.isdigit() for c in x) / len(x)
+        figures = 1 - len(x.translate(_no_figures)) / len(x)
         return 2.0 * (figures > 0.25) + 1.0 * (len(x) < 0.5 * width and x[-1] not in ".!?,;") - 0.5 - 1.0 * (len(x) > 0.7 * width)
 
-    best = {s: layout(rows[0][1]) * (1 if s == "prose" else -1) for s in ("prose", "layout")}
+    own_cost = [layout(x) for _, x in rows]
+    best = {"prose": own_cost[0], "layout": -own_cost[0]}
     back: list[dict[str, tuple[str, bool]]] = []
-    for (i, a), (j, b) in zip(rows, rows[1:]):
+    for (i, a), (j, b), cost_b in zip(rows, rows[1:], own_cost[1:]):
         gap = j - i > 1
         ends = a[-1] in ".!?:" and (len(a) < 0.75 * width or gap)
         now, how = {}, {}
         for s in ("prose", "layout"):
-            own = layout(b) * (1 if s == "prose" else -1)
+            own = cost_b if s == "prose" else -cost_b
             options = []
             for p in ("prose", "layout"):
                 options.append((best[p] + own + (0.0 if ends or p != s or s == "layout" else 0.6 if gap else 1.2), p, True))
@@ -441,6 +450,10 @@ class Stream:
         return out[::-1]
 
 
+_token = re.compile(r"\S+")
+_broken = re.compile(r"(\S+?)[" + MARKS + r"][ \t]*\n[ \t]*([^\W\d_A-Z]\S*)[ \t]*\n?")
+
+
 def repair(text: str, fixes: dict[str, str], drop: set[str], running: frozenset[int] | set[int] = frozenset(), report: bool = False, stream: Stream | None = None) -> str:
     """One text: broken words joined, misread words put right in their case, furniture dropped.
 
@@ -465,20 +478,25 @@ def repair(text: str, fixes: dict[str, str], drop: set[str], running: frozenset[
 
     def token(m: re.Match[str]) -> str:
         old = m[0]
-        for core in (old.strip(".,;:()[]\"'’?").lower(), form_of(old), bare(old)):
+        for core in (old.strip(".,;:()[]\"'’?").lower(), bare(old)):
             if core and core in fixes and old.lower().find(core) >= 0:
                 at = old.lower().find(core)
                 return old[:at] + cased(old[at : at + len(core)], fixes[core]) + old[at + len(core) :]
         return old
 
+    def mended(x: str) -> str:
+        """A line with its words put right; most lines hold none of them."""
+        low = x.lower() if fixes else ""
+        return _token.sub(token, x) if any(k in low for k in fixes) else x
+
     def runs(x: str) -> bool:
-        return bool(running) and (line_key(x) in running or bool(fixes) and line_key(re.sub(r"\S+", token, x)) in running)
+        return bool(running) and (line_key(x) in running or (y := mended(x)) is not x and line_key(y) in running)
 
     rows = text.split("\n")
     numbers = page_number_lines(rows) if report else set()
     kept = "\n".join(x for i, x in enumerate(rows) if i not in numbers and x.strip() not in drop and (not x.strip() or any(map(str.isalnum, x))) and not runs(x))
-    kept = re.sub(r"(\S+?)[" + MARKS + r"][ \t]*\n[ \t]*([^\W\d_A-Z]\S*)[ \t]*\n?", whole, kept)
-    whole_text = paragraphs((re.sub(r"\S+", token, kept) if fixes else kept).split("\n"))
+    kept = _broken.sub(whole, kept) if any(m in kept for m in MARKS) else kept
+    whole_text = paragraphs([mended(x) for x in kept.split("\n")])
     return "\n\n".join(stream.decode(x) if stream else x for x in whole_text)
 
 
