@@ -87,7 +87,8 @@ PRINT = "doc long, hash long, pos int, before long, after long"
 
 
 def fingerprints(texts: DataFrame, span: int, gram: int, bands: int = 1, stride: int = 1) -> DataFrame:
-    """(doc, hash, pos, before, after) of the stored grams of each document.
+    """(doc, hash, pos, before, after) of the stored grams of each document. A document that several tasks
+    meet gives its rows several times.
 
     ``before`` and ``after`` name the neighbouring stored gram of the band and its distance; at the ends
     of a text they are unlike any other's.
@@ -107,7 +108,7 @@ def fingerprints(texts: DataFrame, span: int, gram: int, bands: int = 1, stride:
                 if doc in done:
                     continue
                 if len(done) < 1_000_000:
-                    done.add(doc)  # saves work; what slips through is made distinct below
+                    done.add(doc)  # equal texts in one task are read once
                 codes = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
                 if len(codes) > len(powers):
                     n = max(1 << 16, 1 << len(codes).bit_length())
@@ -130,16 +131,22 @@ def meetings(prints: DataFrame, side: str) -> DataFrame:
     """(a, b, shift, pos), a < b: places in a where a stretch common with b begins (``side`` before) or ends
     (after), as far as the stored grams tell. ``shift`` is the distance to the place in b.
 
-    Texts that agree on the neighbouring gram, too, meet there instead: they are one row of the join, so
-    a gram in the middle of a passage of many texts joins nothing.
+    The places of a gram fall into classes by the neighbouring gram. Texts of one class agree on it, too,
+    and meet there instead; so only places of different classes are paired, class by class, and a
+    gram in the middle of a passage of many texts, which has one class, joins nothing. Which grams
+    have several is told by two numbers a gram, combined before they are shuffled.
     """
     rows = prints.select("hash", "doc", "pos", F.col(side).alias("n"))
-    kinds = rows.groupBy("hash", "n").agg(F.count("*").alias("c")).groupBy("hash").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("hash")
-    rows = rows.join(kinds, "hash", "left_semi")
-    a = rows.select("hash", F.col("doc").alias("a"), F.col("pos").alias("pos_a"), F.col("n").alias("na"))
-    b = rows.select("hash", F.col("doc").alias("b"), F.col("pos").alias("pos_b"), F.col("n").alias("nb"))
-    met = a.join(b, "hash").filter("a < b and na <> nb")
-    return met.select("a", "b", (F.col("pos_a") - F.col("pos_b")).alias("shift"), F.col("pos_a").alias("pos")).distinct()
+    several = cut(rows.groupBy("hash").agg(F.min("n").alias("low"), F.max("n").alias("high")).filter("low < high").select("hash"))
+    rows = cut(rows.join(several, "hash", "left_semi").distinct())
+    classes = rows.select("hash", "n").distinct()
+    pairs = classes.withColumnRenamed("n", "n1").join(classes.withColumnRenamed("n", "n2"), "hash").filter("n1 < n2")
+    side_ = lambda k: rows.select("hash", F.col("n").alias(f"n{k}"), F.col("doc").alias(f"d{k}"), F.col("pos").alias(f"p{k}"))
+    met = pairs.join(side_(1), ["hash", "n1"]).join(side_(2), ["hash", "n2"]).filter("d1 <> d2")
+    turned = F.col("d1") > F.col("d2")
+    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    a, b, pos, other = pick("d1", "d2"), pick("d2", "d1"), pick("p1", "p2"), pick("p2", "p1")
+    return met.select(a.alias("a"), b.alias("b"), (pos - other).alias("shift"), pos.alias("pos")).distinct()
 
 
 def around(texts: DataFrame, wanted: DataFrame, before: int, after: int) -> DataFrame:
@@ -171,7 +178,7 @@ def document_pairs(texts: DataFrame, span: int, gram: int, bands: int = 1, strid
     """(a, b), a < b: different documents with a common run of ``span`` characters, each verified by its
     characters around the place where they met."""
     reach = span - gram
-    found = cut(meetings(cut(fingerprints(texts, span, gram, bands, stride).distinct()), "before"))
+    found = cut(meetings(cut(fingerprints(texts, span, gram, bands, stride).drop("after")), "before"))
     ends = found.select(F.col("a").alias("doc"), "pos").unionByName(found.select(F.col("b").alias("doc"), (F.col("pos") - F.col("shift")).alias("pos")))
     near = cut(around(texts.select("doc", "text"), ends, reach, span))
     side = lambda d, p: near.select(F.col("doc").alias(d), F.col("pos").alias(p), F.col("left").alias(f"left_{d}"), F.col("right").alias(f"right_{d}"))
@@ -232,7 +239,7 @@ def stretches(texts: DataFrame, span: int, gram: int) -> DataFrame:
     characters are compared by a 128-bit hash, at the edges one by one.
     """
     reach = span - gram
-    prints = cut(fingerprints(texts, span, gram).distinct())
+    prints = cut(fingerprints(texts, span, gram))
     keys = ["a", "b", "shift"]
     ends = [meetings(prints, side).groupBy(*keys).agg(F.sort_array(F.collect_set("pos")).alias(side)) for side in ("before", "after")]
     met = cut(ends[0].join(ends[1], keys).select(*keys, F.explode(F.arrays_zip("before", "after")).alias("c")).select(*keys, F.col("c.before").alias("first"), F.col("c.after").alias("last")).filter("first <= last"))
