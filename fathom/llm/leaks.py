@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +92,7 @@ class Index:
 
     BASE = 0x9E3779B97F4A7C15
 
-    def __init__(self, vocabulary: dict[str, int], items: list[tuple[int, np.ndarray]], hashes: np.ndarray, numbers: np.ndarray, places: np.ndarray):
+    def __init__(self, vocabulary: dict[str, int], items: list[tuple[int, list[int]]], hashes: np.ndarray, numbers: np.ndarray, places: np.ndarray):
         self.vocabulary, self.items, self.hashes, self.numbers, self.places = vocabulary, items, hashes, numbers, places
 
     @classmethod
@@ -99,6 +100,7 @@ class Index:
         vocabulary: dict[str, int] = {}
         kept = [(k, np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int64)) for k, words in items if len(words) >= window]
         parts = [cls.pieces(ids, size) for _, ids in kept]
+        kept = [(k, ids.tolist()) for k, ids in kept]
         hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         numbers = np.repeat(np.arange(len(kept)), [len(p) for p in parts])
         places = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, np.int64)
@@ -142,7 +144,7 @@ def search(docs: DataFrame, index: Index, window: int, errors: int, size: int, p
         for at, item, piece in found.hits(ids, size):
             if done.get((item, at - piece), -1) >= at + size:
                 continue
-            other = found.items[item][1].tolist()
+            other = found.items[item][1]
             a, b = at, piece
             while a and b and words[a - 1] == other[b - 1] != 0:
                 a, b = a - 1, b - 1
@@ -158,12 +160,16 @@ def search(docs: DataFrame, index: Index, window: int, errors: int, size: int, p
                 kept[1].update(range(b, j))
                 kept[2] = 0
             elif errors and kept[2]:
-                for low in range(max(0, b + size - window), min(j - size, len(other) - window) + 1):
-                    want, start = other[low : low + window], a + low - b
-                    near = words[max(0, start - errors) : start + window + errors]
-                    # each edit costs a word: a window with fewer words in common is further off
-                    if len(set(want).difference(near)) <= errors:
-                        kept[2] = min(kept[2], myers(want, near))
+                first, last = max(0, b + size - window), min(j - size, len(other) - window)
+                if last < first:
+                    continue
+                # a word of a window that is nowhere near costs an edit: count them along all windows of the run
+                around = set(words[max(0, a + first - b - errors) : a + last - b + window + errors])
+                missing = list(accumulate((w not in around for w in other[first : last + window]), initial=0))
+                for low in range(first, last + 1):
+                    if missing[low - first + window] - missing[low - first] <= min(errors, kept[2]):
+                        start = a + low - b
+                        kept[2] = min(kept[2], myers(other[low : low + window], words[max(0, start - errors) : start + window + errors]))
         return best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
