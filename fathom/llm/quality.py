@@ -9,12 +9,16 @@ per group (language or collection): no group is ever sorted or collected.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+WORD = r"[^\W\d_]+"
+
 # Function words of English accounts prose.
 FUNCTION_WORDS = ("the", "of", "and", "to", "in", "a", "for", "is", "on", "by", "with", "as", "at", "from", "that", "was", "be", "are", "or", "this")
 STATISTICS = ("function_share", "symbol_share", "mean_token", "stop_line_share")
@@ -24,14 +28,51 @@ NULL_FLAGS = ("function_share",)
 PERCENTILES = 200
 
 
-def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of each text, whose column is the last; the other columns pass through."""
+# Words that count as common in a language: so many of its most frequent ones.
+COMMON, PARTS = 20, 64
+
+
+def common_words(docs: DataFrame, group: str, text: str = "text", n: int = COMMON) -> dict[str | None, frozenset[str]]:
+    """The ``n`` most frequent words of each language of the collection, ties by the alphabet.
+
+    Counted in each batch first. The best of each of ``PARTS`` parts of a vocabulary come first, then the
+    best of those, so no language's vocabulary is in one task. What comes back is ``n`` words a language.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = re.compile(WORD).findall
+        for batch in batches:
+            total: Counter[tuple[str | None, str]] = Counter()
+            for g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if x:
+                    for w, k in Counter(words(x.lower())).items():
+                        total[g, w] += k
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in total], pa.string()), pa.array([w for _, w in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["g", "w", "k"])
+
+    rows = docs.select(F.col(group).cast("string"), text).mapInArrow(count, "g string, w string, k long").groupBy("g", "w").agg(F.sum("k").alias("k"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(PARTS)))
+    for keys in (["g", "part"], ["g"]):
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("k").desc(), "w"))
+        rows = rows.withColumn("place", place).filter(F.col("place") <= n).drop("place")
+    out: dict[str | None, set[str]] = {}
+    for r in rows.collect():
+        out.setdefault(r["g"], set()).add(r["w"])
+    return {g: frozenset(ws) for g, ws in out.items()}
+
+
+def measure(batches: Iterator[pa.RecordBatch], at: int = -1, lists: dict[str | None, frozenset[str]] | None = None) -> Iterator[pa.RecordBatch]:
+    """Counts of each text, whose column is the last; the other columns pass through.
+
+    With ``lists`` the common words are those of the group in column ``at``, and words are runs of any letters.
+    """
     letters = bytes(range(65, 91)) + bytes(range(97, 123))
-    runs = re.compile("[a-z]+").findall
-    function = frozenset(FUNCTION_WORDS)
+    runs = re.compile("[a-z]+" if lists is None else WORD).findall
+    english = frozenset(FUNCTION_WORDS)
     for batch in batches:
         keep, out = [], [[] for _ in range(7)]
+        groups = None if lists is None else batch.column(at).to_pylist()
         for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            function = english if lists is None else lists.get(groups[i], frozenset())
             tokens = text.split() if text else None
             if not tokens:
                 continue
@@ -66,11 +107,12 @@ def flags(limits: dict[str, tuple[float | None, float | None]] = LIMITS) -> Colu
     return total
 
 
-def text_statistics(docs: DataFrame, keys: list[str], text: str = "text", limits: dict = LIMITS) -> DataFrame:
+def text_statistics(docs: DataFrame, keys: list[str], text: str = "text", limits: dict = LIMITS, language: str | None = None) -> DataFrame:
     """``keys``, the statistics and ``n_flags`` for every text with at least one token.
 
     ``n_tokens`` white-space tokens; ``function_share`` share of function words among ``[a-z]+``
-    runs (NULL without such a run); ``symbol_share`` share of characters that are not ASCII letters
+    runs (NULL without such a run; with a ``language`` column among the keys: the share of that language's
+    own most frequent words among all words); ``symbol_share`` share of characters that are not ASCII letters
     among those that are not white space; ``mean_token`` characters per token; ``stop_line_share``
     share of non-blank lines that end in ``.``, ``!`` or ``?``.
 
@@ -79,7 +121,11 @@ def text_statistics(docs: DataFrame, keys: list[str], text: str = "text", limits
     """
     source = docs.select(*keys, F.col(text).alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), *(f"{n} int" for n in ("n_tokens", "n_solid", "n_letters", "n_words", "n_function", "n_lines", "n_stops"))])
-    counted = source.mapInArrow(measure, schema).dropDuplicates(keys)
+    run = measure
+    if language is not None:
+        lists, at = common_words(docs, language, text), keys.index(language)
+        run = lambda batches: measure(batches, at, lists)
+    counted = source.mapInArrow(run, schema).dropDuplicates(keys)
     share = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
     stats = counted.select(
         *keys,
@@ -93,7 +139,10 @@ def text_statistics(docs: DataFrame, keys: list[str], text: str = "text", limits
 
 
 def tail_report(stats: DataFrame, group: str, low: float = 0.05, high: float = 0.95, names: tuple[str, ...] = STATISTICS) -> DataFrame:
-    """Each record with the percentile of every statistic in its group and a tail flag.
+    """Each record with the percentile of every statistic in its group, its robust z-score and a tail flag.
+
+    The z-score is the distance from the group's median over its interquartile range as a normal law's
+    standard deviation, both from the sketch; NULL where that range is 0.
 
     One KLL sketch per group and statistic is merged over all partitions (a few kB each); its
     ``PERCENTILES`` cut points join back by group. Percentiles are within the sketch's rank error
@@ -107,5 +156,7 @@ def tail_report(stats: DataFrame, group: str, low: float = 0.05, high: float = 0
     for n in names:
         below = F.expr(f"size(filter(_{n}, q -> q < {n}))") / F.lit(float(PERCENTILES))
         out = out.withColumn(f"{n}_pct", F.when(F.col(n).isNotNull(), below))
+        at = lambda q: F.get(F.col(f"_{n}"), F.lit(int(q * PERCENTILES) - 1))  # noqa: B023, E731
+        out = out.withColumn(f"{n}_z", (F.col(n) - at(0.5)) / F.nullif((at(0.75) - at(0.25)) / F.lit(1.349), F.lit(0.0)))
         out = out.withColumn(f"{n}_tail", F.coalesce(F.when(F.col(f"{n}_pct") < low, -1).when(F.col(f"{n}_pct") > high, 1), F.lit(0)))
     return out.drop(*[f"_{n}" for n in names])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import exact_round, table
+from ..functions.frames import cut, exact_round, table
 from . import components, leaks, lines, lookalike, mixing, quality, scans, spans, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,7 +62,13 @@ def p3_tails(spark: SparkSession, d: str) -> DataFrame:
 def p3_documents(spark: SparkSession, d: str) -> DataFrame:
     """The documents' statistics, with percentiles within their language."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return quality.tail_report(quality.text_statistics(docs, ["doc_id", "lang"]), "lang")
+    return quality.tail_report(quality.text_statistics(docs, ["doc_id", "lang"], language="lang"), "lang")
+
+
+def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics themselves, of all pages and reports."""
+    stats = quality.text_statistics(records(spark, d), ["tab", "rec_id"])
+    return stats.withColumns({n: exact_round(F.col(n)) for n in quality.STATISTICS})
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -108,12 +114,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """The shares reached, in tokens of a public tokenizer."""
-    return mixing.Balance(mixing.token_sizes(table(spark, d, "documents")), table(spark, d, "source_weights")).report()
+    return mixing.Balance(cut(mixing.token_sizes(table(spark, d, "documents"))), table(spark, d, "source_weights")).report()
 
 
 def p7_feasible(spark: SparkSession, d: str) -> DataFrame:
     """The same at the largest total at which every source can hold its weight."""
-    return mixing.Balance(mixing.token_sizes(table(spark, d, "documents")), table(spark, d, "source_weights"), feasible=True).report()
+    return mixing.Balance(cut(mixing.token_sizes(table(spark, d, "documents"))), table(spark, d, "source_weights"), feasible=True).report()
 
 
 def p7_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +148,7 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_shares, p1_links, p1_clusters, p2_found, p2_terms, p3_found, p3_tails, p3_documents, p4_found, p4_blocks, p4_clean, p5_found, p5_repaired, p6_found, p6_leaks, p7_found, p7_mix, p7_feasible, p7_targets, p8_found, p8_classes, p8_canonical)
+    for f in (p1_found, p1_shares, p1_links, p1_clusters, p2_found, p2_terms, p3_found, p3_statistics, p3_tails, p3_documents, p4_found, p4_blocks, p4_clean, p5_found, p5_repaired, p6_found, p6_leaks, p7_found, p7_mix, p7_feasible, p7_targets, p8_found, p8_classes, p8_canonical)
 }
 
 _RECORDS = """
@@ -172,6 +178,17 @@ def _printed(text: str) -> str:
 _ALIKE = f"prints as (select doc_id, text, {_printed('text')} as form from (select distinct on (doc_id) * from documents where text <> ''))"
 _GRAM = "list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))"
 
+_STATISTICS = rf"""
+t as ({_RECORDS}),
+u as (select tab, rec_id, any_value(text) as text from t where regexp_matches(text, '\S') group by tab, rec_id),
+v as (
+  select tab, rec_id, regexp_extract_all(lower(text), '[a-z]+') as words, regexp_extract_all(text, '\S+') as tokens,
+    regexp_replace(text, '\s+', '', 'g') as solid, length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) as letters,
+    list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as lines
+  from u
+)
+"""
+
 ORACLES: dict[str, str] = {
     "p2_terms": r"""
 with docs as (select section_id, any_value(text) as text from sections where section = 'strategic_report' and text <> '' group by section_id),
@@ -214,6 +231,18 @@ sizes as (select section_id from words group by section_id having count(*) >= 20
 docs_with as (select term, count(*) as d from counts group by term)
 select section_id, term from counts join docs_with using (term) join sizes using (section_id)
 qualify row_number() over (partition by section_id order by n * ln((select count(*) from docs) / d) desc, term) = 1
+""",
+    "p3_statistics": rf"""
+with {_STATISTICS},
+w as (
+  select tab, rec_id, len(tokens) as n_tokens,
+    len(list_filter(words, lambda x: x in ('the','of','and','to','in','a','for','is','on','by','with','as','at','from','that','was','be','are','or','this'))) / nullif(len(words), 0) as f,
+    (length(solid) - letters) / length(solid) as s, length(solid) / len(tokens) as m, len(list_filter(lines, lambda x: x[-1] in ('.', '!', '?'))) / len(lines) as l
+  from v
+)
+select tab, rec_id, n_tokens, format('{{:.6f}}', f)::double as function_share, format('{{:.6f}}', s)::double as symbol_share, format('{{:.6f}}', m)::double as mean_token, format('{{:.6f}}', l)::double as stop_line_share,
+  coalesce(f < 0.15, true)::int + (s > 0.25)::int + (m < 3.2 or m > 8.5)::int + (l < 0.02)::int as n_flags
+from w
 """,
     "p3_found": rf"""
 with t as ({_RECORDS}),

@@ -40,6 +40,27 @@ def test_percentiles_and_tails(spark):
     assert got[1000]["function_share_pct"] == pytest.approx(0.5, abs=0.02) and got[5]["symbol_share_pct"] is None and got[5]["symbol_share_tail"] == 0
 
 
+def test_sketches_against_exact_ranks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, i, float(x), float(x) ** 3) for g, n in (("en", 30_000), ("de", 700)) for i, x in enumerate(rng.gamma(2, 1, n))]
+    df = spark.createDataFrame(rows, "lang string, rec_id long, function_share double, symbol_share double").repartition(7)
+    got = Q.tail_report(df, "lang", names=("function_share", "symbol_share")).toPandas()
+    for g, own in got.groupby("lang"):
+        for n in ("function_share", "symbol_share"):
+            exact = own[n].rank() / len(own)
+            assert (own[f"{n}_pct"] - exact).abs().max() < 0.01
+            z = (own[n] - own[n].median()) / ((own[n].quantile(0.75) - own[n].quantile(0.25)) / 1.349)
+            assert (own[f"{n}_z"] - z).abs().median() < 0.03
+
+
+def test_common_words_are_those_of_the_language(spark):
+    rows = [("en", 1, "the cat and the dog and the the bird"), ("de", 2, "der Hund und die Katze und der der Vögel"), ("de", 3, None), (None, 4, "xx xx yy"), ("fr", 5, "")]
+    df = spark.createDataFrame(rows, "lang string, doc_id long, text string")
+    assert Q.common_words(df, "lang", n=2) == {"en": {"the", "and"}, "de": {"der", "und"}, None: {"xx", "yy"}}
+    got = {r["doc_id"]: r["function_share"] for r in Q.text_statistics(df, ["doc_id", "lang"], language="lang").collect()}
+    assert got == {1: 1.0, 2: 1.0, 4: 1.0} and Q.common_words(df.limit(0), "lang") == {}
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "club string, page_id long, text string")
 
