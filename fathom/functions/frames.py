@@ -30,15 +30,40 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there.
 
     A lost executor costs nothing that was written, and unlike an RDD checkpoint the table is
-    compressed, columnar and has statistics for the joins that follow. Removed when Python ends.
+    compressed, columnar and has statistics for the joins that follow. Removed by ``release``, at the
+    latest when Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/fathom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that ``cut`` has written, once the results that read them are no longer needed.
+
+    A session that runs many queries calls this between them, or its shared folder fills up. Returns
+    how many there were.
+    """
+    n = len(_written)
+    while _written:
+        _remove(spark, _written.pop())
+    return n
+
+
+def _at_end() -> None:
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        release(session)
+
+
+atexit.register(_at_end)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -5,9 +5,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from fathom.functions.frames import cut, release
 
 DATA = "/root/testdata/sf0.001"
-QUICK = ["latest_pages", "page_quality", "dense_pages", "cross_check", "series_check", "drift_rows", "surprisal", "ranking", "resolved_entities", "items_table", "alignment", "units"]
+QUICK = ["latest_pages", "page_quality", "dense_pages", "cross_check", "series_check", "drift_rows", "surprisal", "ranking", "resolved_entities", "items_table", "alignment", "units", "drift", "sanity", "parsed_filings", "filing_check", "row_figures", "derived_totals", "context_items", "extracted_items", "better_reading"]
 
 
 def test_names_and_sql_belong_together():
@@ -31,6 +32,12 @@ def test_rows_agree_with_sql(spark, name):
     assert mine == sorted(([plain(r[i]) for i in at] for r in rel.fetchall()), key=repr)
 
 
+def test_cut_tables_are_released(spark):
+    release(spark)
+    df = cut(spark.range(5))
+    assert df.count() == 5 and release(spark) == 1 and release(spark) == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_entry_runs(spark):
     assert entry_point.entry(spark).count() > 0
