@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import cut, let
 
 SPAN = 300
-GRAM = 250
+GRAM = 150
 BASE = 0x9E3779B97F4A7C15 | 1
 
 

@@ -56,7 +56,7 @@ def test_passages_of_many_texts_join_once(spark):
     rows = [(i, text(rng.randint(5, 200)) + part[: 3000 - i] + text(rng.randint(5, 200))) for i in range(12)] + [(100 + i, rows_) for i, rows_ in enumerate([part] * 5)]
     df = reports(spark, rows)
     texts = spans.normal_texts(df, "section_id", "text", spans.SPAN)
-    prints = spans.cut(spans.fingerprints(texts, spans.SPAN, spans.GRAM).distinct())
+    prints = spans.cut(spans.fingerprints(texts, spans.SPAN, 250).distinct())
     met = spans.meetings(prints, "before").count()
     grams = prints.count() / 13
     assert met <= 4 * 13 * 12 / 2 and grams > 50
@@ -77,7 +77,7 @@ def test_recall_of_sparse_bands(spark):
     df = reports(spark, rows)
     exact = {tuple(r) for r in spans.span_pairs(df).collect()}
     assert len(exact) == 120
-    found = {k: len(exact & {tuple(r) for r in spans.span_pairs(df, bands=k, stride=64).collect()}) / 120 for k in (1, 4)}
+    found = {k: len(exact & {tuple(r) for r in spans.span_pairs(df, gram=250, bands=k, stride=64).collect()}) / 120 for k in (1, 4)}
     assert found[1] < found[4] and found[4] >= 0.9
 
 
