@@ -117,19 +117,28 @@ class Index:
             h ^= h >> np.uint64(31)
         return h
 
-    def hits(self, ids: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
-        """(place in the document, item, place in the item) of equal pieces, in order."""
+    def runs(self, ids: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
+        """(item, place in the document, place in the item, length) of the maximal runs of equal pieces.
+
+        Neighbouring hits of one item at one shift are one run, so a run is seen once, whatever its length.
+        """
         if len(ids) < size or not len(self.hashes):
             return
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         at = np.flatnonzero(known[size:] - known[:-size] == size)
-        if not len(at):
-            return
         h = self.pieces(ids, size)[at]
         low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        for i in np.flatnonzero(high > low).tolist():
-            for k in range(low[i], high[i]):
-                yield int(at[i]), int(self.numbers[k]), int(self.places[k])
+        n = high - low
+        if not n.any():
+            return
+        a = np.repeat(at, n)
+        k = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        item, place = self.numbers[k], self.places[k]
+        order = np.lexsort((a, a - place, item))
+        a, item, place = a[order], item[order], place[order]
+        fresh = np.flatnonzero((np.diff(a, prepend=-9) != 1) | (np.diff(place, prepend=-9) != 1) | (np.diff(item, prepend=-9) != 0))
+        lengths = np.diff(fresh, append=len(a)) + size - 1
+        yield from zip(item[fresh].tolist(), a[fresh].tolist(), place[fresh].tolist(), lengths.tolist())
 
 
 def search(docs: DataFrame, index: Index, window: int, errors: int, size: int, pattern: str, mapping: dict[str, str]) -> DataFrame:
@@ -139,20 +148,10 @@ def search(docs: DataFrame, index: Index, window: int, errors: int, size: int, p
     def check(ids: np.ndarray, found: Index) -> dict[int, list]:
         """Per item: longest run, the item's leaked words, least distance of a window."""
         best: dict[int, list] = {}
-        done: dict[tuple[int, int], int] = {}  # up to where a run of this item at this shift is known
         words = ids.tolist()
-        for at, item, piece in found.hits(ids, size):
-            if done.get((item, at - piece), -1) >= at + size:
-                continue
-            other = found.items[item][1]
-            a, b = at, piece
-            while a and b and words[a - 1] == other[b - 1] != 0:
-                a, b = a - 1, b - 1
-            i, j = at, piece
-            while i < len(words) and j < len(other) and words[i] == other[j]:
-                i, j = i + 1, j + 1
-            done[item, at - piece] = i
-            if j - b < size:
+        for item, a, b, n in found.runs(ids, size):
+            other, j = found.items[item][1], b + n
+            if words[a : a + n] != other[b:j]:
                 continue  # equal hashes of different words
             kept = best.setdefault(item, [0, set(), window])
             kept[0] = max(kept[0], j - b)
