@@ -315,7 +315,7 @@ def paragraphs(lines: list[str]) -> list[str]:
     width = max(len(x) for _, x in rows)
 
     def layout(x: str) -> float:
-        figures = 1 - len(x.translate(_no_figures)) / len(x)
+        figures = 1 - len(x.translate(_no_figures)) / len(x) if _figure.search(x) else 0.0
         return 2.0 * (figures > 0.25) + 1.0 * (len(x) < 0.5 * width and x[-1] not in ".!?,;") - 0.5 - 1.0 * (len(x) > 0.7 * width)
 
     own_cost = [layout(x) for _, x in rows]
