@@ -257,18 +257,21 @@ _row = re.compile(r"\d[,.]?\d{3},?\d|\d[,.]\d|\d\W* \W*\d")
 _no_figures = str.maketrans("", "", "0123456789")
 
 
-def line_key(line: str) -> int | None:
-    """64-bit hash of a line without case and white-space runs; NULL unless it holds two words, and
-    for rows of figures."""
+def line_hash(line: str) -> int:
+    """64-bit hash of a line without case and white-space runs."""
     import xxhash
 
+    return xxhash.xxh3_64_intdigest(" ".join(line.lower().split())) - (1 << 63)
+
+
+def line_key(line: str) -> int | None:
+    """``line_hash``; NULL unless the line holds two words, and for rows of figures."""
     first = _letters.search(line)
     if first is None or _letters.search(line, first.end()) is None:
         return None
-    line = " ".join(line.lower().split())
-    if _figure.search(line) and _row.search(line):
+    if _figure.search(line) and _row.search(" ".join(line.split())):
         return None
-    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
+    return line_hash(line)
 
 
 def running_lines(pages: DataFrame) -> DataFrame:
@@ -319,26 +322,19 @@ def paragraphs(lines: list[str]) -> list[str]:
         return 2.0 * (figures > 0.25) + 1.0 * (len(x) < 0.5 * width and x[-1] not in ".!?,;") - 0.5 - 1.0 * (len(x) > 0.7 * width)
 
     own_cost = [layout(x) for _, x in rows]
-    best = {"prose": own_cost[0], "layout": -own_cost[0]}
-    back: list[dict[str, tuple[str, bool]]] = []
-    for (i, a), (j, b), cost_b in zip(rows, rows[1:], own_cost[1:]):
+    prose, apart = own_cost[0], -own_cost[0]
+    back: list[tuple[tuple[str, bool], str]] = []
+    for (i, a), (j, b), cost in zip(rows, rows[1:], own_cost[1:]):
         gap = j - i > 1
         ends = a[-1] in ".!?:" and (len(a) < 0.75 * width or gap)
-        now, how = {}, {}
-        for s in ("prose", "layout"):
-            own = cost_b if s == "prose" else -cost_b
-            options = []
-            for p in ("prose", "layout"):
-                options.append((best[p] + own + (0.0 if ends or p != s or s == "layout" else 0.6 if gap else 1.2), p, True))
-                if p == s == "prose":
-                    options.append((best[p] + own + (1.5 if ends else 0.9 if gap and b[:1].isupper() else 0.0), p, False))
-            cost, p, fresh = min(options)
-            now[s], how[s] = cost, (p, fresh)
-        best = now
-        back.append(how)
-    state, breaks = min(best, key=best.get), []
-    for how in reversed(back):
-        state, fresh = how[state]
+        fresh = prose + (0.0 if ends else 0.6 if gap else 1.2)
+        goes_on = prose + (1.5 if ends else 0.9 if gap and b[:1].isupper() else 0.0)
+        low, how = (apart, ("layout", True)) if apart <= fresh and apart <= goes_on else (goes_on, ("prose", False)) if goes_on <= fresh else (fresh, ("prose", True))
+        back.append((how, "layout" if apart <= prose else "prose"))
+        prose, apart = low + cost, min(apart, prose) - cost
+    state, breaks = "prose" if prose <= apart else "layout", []
+    for how, before in reversed(back):
+        state, fresh = how if state == "prose" else (before, True)
         breaks.append(fresh)
     out = [rows[0][1]]
     for (_, x), fresh in zip(rows[1:], reversed(breaks)):
@@ -385,6 +381,7 @@ class Stream:
         self.total = math.log(max(channel.tokens, 2))
         self.new = math.log(max(channel.hapaxes, 1)) - self.total - math.log(max(channel.letters.n_forms, 2))
         self.memo: dict[str, tuple[float, str | None]] = {}
+        self.seen: dict[str, bool] = {}
 
     def cost(self, w: str) -> float:
         n = self.counts.get(w)
@@ -410,9 +407,16 @@ class Stream:
 
     def decode(self, paragraph: str) -> str:
         """The least-cost path through each spot: unknown words in a row and their neighbours."""
-        tokens = paragraph.split(" ")
-        plain = [t.lower() if t.isalpha() else None for t in tokens]
-        unknown = [i for i, b in enumerate(plain) if b is not None and b not in self.counts]
+        tokens, seen = paragraph.split(" "), self.seen
+        unknown = []
+        for i, t in enumerate(tokens):
+            new = seen.get(t)
+            if new is None:
+                if len(seen) > 500_000:
+                    seen.clear()
+                new = seen[t] = t.isalpha() and t.lower() not in self.counts
+            if new:
+                unknown.append(i)
         if not unknown:
             return paragraph
         out, done, at = [], 0, 0
@@ -424,11 +428,12 @@ class Stream:
             at += 1
             low, high = max(first - 1, done), min(last + 2, len(tokens))
             out += tokens[done:low]
-            out += self.path(tokens[low:high], plain[low:high])
+            out += self.path(tokens[low:high])
             done = high
         return " ".join(out + tokens[done:])
 
-    def path(self, tokens: list[str], plain: list[str | None]) -> list[str]:
+    def path(self, tokens: list[str]) -> list[str]:
+        plain = [t.lower() if t.isalpha() else None for t in tokens]
         best: list[tuple[float, int, str]] = [(0.0, 0, "")]
         for i, (t, b) in enumerate(zip(tokens, plain)):
             if b is None or b in self.counts:
@@ -490,7 +495,8 @@ def repair(text: str, fixes: dict[str, str], drop: set[str], running: frozenset[
         return _token.sub(token, x) if any(k in low for k in fixes) else x
 
     def runs(x: str) -> bool:
-        return bool(running) and (line_key(x) in running or (y := mended(x)) is not x and line_key(y) in running)
+        # only keys of lines that can run are in the set: a line's own hash tells
+        return bool(running) and (line_hash(x) in running or (y := mended(x)) is not x and line_hash(y) in running)
 
     rows = text.split("\n")
     numbers = page_number_lines(rows) if report else set()
