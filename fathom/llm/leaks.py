@@ -145,6 +145,19 @@ def search(docs: DataFrame, index: Index, window: int, errors: int, size: int, p
     """One pass over the documents for a bounded set of items, whose index every worker unpacks once."""
     shared = docs.sparkSession.sparkContext.broadcast((index.vocabulary, index.items, index.hashes, index.numbers, index.places))
 
+    def goes_on(words: list[int], other: list[int], a: int, b: int, n: int) -> bool:
+        """Whether one edit at an end of a maximal run lets the next word match: a window with one error
+        and fewer words in the run needs that on one side."""
+        i, j = a + n, b + n
+        if j < len(other) and i < len(words):
+            after, beyond = words[i + 1] if i + 1 < len(words) else 0, other[j + 1] if j + 1 < len(other) else -1
+            if after == beyond or after == other[j] or words[i] == beyond:
+                return True
+        if a and b:
+            before, beyond = words[a - 2] if a > 1 else 0, other[b - 2] if b > 1 else -1
+            return before == beyond or before == other[b - 1] or words[a - 1] == beyond
+        return False
+
     def check(ids: np.ndarray, found: Index) -> dict[int, list]:
         """Per item: longest run, the item's leaked words, least distance of a window."""
         best: dict[int, list] = {}
@@ -160,7 +173,7 @@ def search(docs: DataFrame, index: Index, window: int, errors: int, size: int, p
                 kept[2] = 0
             elif errors and kept[2]:
                 first, last = max(0, b + size - window), min(j - size, len(other) - window)
-                if last < first:
+                if last < first or errors == 1 and n < window - 1 and not goes_on(words, other, a, b, n):
                     continue
                 # a word of a window that is nowhere near costs an edit: count them along all windows of the run
                 around = set(words[max(0, a + first - b - errors) : a + last - b + window + errors])

@@ -61,3 +61,28 @@ def test_one_damaged_word(spark):
     assert [(r["doc_id"], r["least_errors"]) for r in got] == [(1, 1)]
     with pytest.raises(ValueError):
         L.leaks(docs, items, window=3, errors=3)
+
+
+def test_one_error_against_brute_force(spark):
+    rng = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([13, 14, 20, 35])))) for i in range(25)]
+    docs = []
+    for d in range(150):
+        words = items[d % 25][1].split()
+        at = rng.randint(0, max(0, len(words) - 14))
+        part = words[at : at + rng.choice([12, 13, 14])]
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            k = rng.randrange(len(part))
+            part = rng.choice([part[:k] + part[k + 1 :], part[:k] + ["zz"] + part[k:], part[:k] + ["zz"] + part[k + 1 :]])
+        docs.append((d, " ".join([rng.choice(vocabulary) for _ in range(rng.randint(0, 9))] + part + [rng.choice(vocabulary) for _ in range(rng.randint(0, 9))])))
+    ddf, idf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["least_errors"] for r in L.leaks(ddf, idf, errors=1).collect()}
+    want = {}
+    for d, text in docs:
+        for k, item in items:
+            w = item.split()
+            best = min(distance(w[i : i + 13], text.split()) for i in range(len(w) - 12))
+            if best <= 1:
+                want[d, k] = best
+    assert got == want and sum(v == 1 for v in want.values()) > 20
