@@ -194,6 +194,7 @@ def best_items(filings: DataFrame, found: DataFrame, keys: list[str], items: lis
     best = found.groupBy(*keys, "item").agg(F.min_by(F.struct(*fields), "rank").alias("b"))
     every = filings.select(*keys, F.explode(F.array(*[F.lit(i.name) for i in items])).alias("item"))
     out = join_on(every, best, [*keys, "item"]).select(*keys, "item", "b.*")
+    # fixed values: the wording of notes and confidences
     value = F.when(F.col("cost"), F.abs("value")).when(F.col("snippet").rlike(X.FLAGS + BARE_LOSS) & (F.col("value") > 0), -F.col("value")).otherwise(F.col("value"))
     level = F.when(F.col("tier") == 1, "high").otherwise("medium")
     level = F.when(F.col("evidence").startswith("default"), "low").when(F.col("evidence").startswith("document") & (level == "high"), "medium").otherwise(level)
@@ -243,6 +244,7 @@ def derived_totals(rowed: DataFrame, keys: list[str] = FILING, item: str = "wage
     order = F.struct((F.col("section") != "notes").alias("a"), "start")
     df = df.groupBy(*keys).agg(F.min_by(F.struct("section", "multiplier", "evidence", "f", "run"), order).alias("b"))
     total = F.get("b.f", F.col("b.run.k"))
+    # fixed values: the wording of the snippet and the note
     parts = F.array_join(F.transform(F.slice("b.f", F.col("b.run.first") + 1, F.col("b.run.k") - F.col("b.run.first")), lambda v: F.format_number(v, 0)), " + ")
     return df.select(
         *keys, F.lit(item).alias("item"), F.rint(total * F.col("b.multiplier")).cast("long").alias("value_gbp"),
@@ -286,6 +288,7 @@ def cross_check(items: DataFrame, entity: list[str] = ["club"]) -> DataFrame:  #
     checked = a.isNotNull() & b.isNotNull()
     agrees = F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1.0)) <= GAP
     bad = checked & ~agrees
+    # fixed values: the wording of the verdict
     said = F.when(bad, F.concat(F.lit("MISMATCH: "), (F.col("year").cast("int") + 1).cast("string"), F.lit(" filing restates this as "), F.format_number(b, 0))).when(checked, F.concat(F.lit("agrees with "), F.col("year"), F.lit("+1 comparative")))
     return df.withColumn("cross_check", said).withColumn("restated_next_year", F.when(bad, F.rint(b).cast("long"))).withColumn("confidence", F.when(bad, "low").otherwise(F.col("confidence"))).drop("_b")
 
@@ -302,6 +305,7 @@ def series_check(items: DataFrame, entity: list[str] = ["club"]) -> DataFrame:
     df = join_on(items, middle, keys)
     ratio = F.abs(F.col("value_gbp").cast("double")) / F.col("_mid")
     out = F.coalesce((ratio < SERIES_LOW) | (ratio > SERIES_HIGH), F.lit(False))
+    # fixed values: the wording of the verdict
     said = F.concat(F.lit("OUTLIER: "), fixed(ratio, 2), F.lit("x this club's median "), F.col("item"), F.lit(" ("), F.format_number("_mid", 0), F.lit(")"))
     text = F.when(out, F.concat_ws("; ", F.nullif(F.col("cross_check"), F.lit("")), said)).otherwise(F.col("cross_check"))
     return df.withColumn("cross_check", text).withColumn("confidence", F.when(out, "low").otherwise(F.col("confidence"))).drop("_mid", "_n")

@@ -81,6 +81,17 @@ def validation_rows(items: DataFrame, entity: list[str] = ["club"]) -> DataFrame
     return items.select(*entity, "year", "item", pounds(F.col("value_gbp")).alias("value"), "confidence", F.coalesce(said, F.lit(DASH)).alias("check"), F.coalesce(F.nullif(F.col("source_section"), F.lit("")), F.lit(DASH)).alias("section"), source.alias("source_row"))
 
 
+def sheet_rows(items: DataFrame, context: DataFrame, entity: list[str] = ["club"]) -> DataFrame:  # noqa: B006
+    """The rows of the sheet that reviewers fill in: ``validation_rows`` (kind item) and, of context items that
+    were found or not, value and source row (kind context)."""
+    names = [*entity, "year", "kind", "item", "value", "confidence", "check", "section", "source_row"]
+    extra = context.select(
+        *entity, "year", F.lit("context").alias("kind"), "item", pounds(F.col("value_gbp")).alias("value"), *[F.lit("").alias(c) for c in ("confidence", "check", "section")],
+        F.coalesce(F.nullif(F.replace(F.col("source_snippet"), F.lit("|"), F.lit("\\|")), F.lit("")), F.lit(DASH)).alias("source_row"),
+    )
+    return validation_rows(items, entity).withColumn("kind", F.lit("item")).select(*names).unionByName(extra.select(*names))
+
+
 def confidence_counts(items: DataFrame) -> DataFrame:
     """(confidence, n, disclosed): how many items have each confidence and how many a value."""
     return items.groupBy("confidence").agg(F.count("*").alias("n"), F.count("value_gbp").alias("disclosed"))

@@ -248,3 +248,19 @@ rows as (select line, 1000 as multiplier, {_figures(_marked(_no_notes("line")))}
 {_steps("rows", "line")}
 select line, len(f) as n_figures, now as "current", before as comparative, total_at - 1 as total_column from picked
 """
+
+_PRINTED = r"""
+select club, company_number, year, kind, item, coalesce('£' || format('{:,.0f}', value_gbp::double), '—') as value, confidence, "check", section,
+  coalesce(nullif(replace(source_snippet, '|', '\|'), ''), '—') as source_row
+"""
+SHEET = rf"""
+with items as ({_FOUND}), {_CHECKED},
+rows as (
+  select i.club, i.company_number, i.year, 'item' as kind, i.item, i.value_gbp, t.confidence, i.source_snippet, coalesce(i.source_section, '—') as section,
+    coalesce(case when starts_with(t.cross_check, 'agrees') then 'ok' when starts_with(t.cross_check, 'MISMATCH') then '**' || t.cross_check || '**' end, '—') as "check"
+  from items i join said t on i.club is not distinct from t.club and i.company_number is not distinct from t.company_number and i.year = t.year and i.item = t.item
+  union all by name
+  select club, company_number, year, 'context' as kind, item, value_gbp, '' as confidence, source_snippet, '' as section, '' as "check" from ({CONTEXT_ITEMS})
+)
+{_PRINTED} from rows
+"""

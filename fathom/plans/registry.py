@@ -380,6 +380,16 @@ def validation_rows(spark: SparkSession, d: str) -> DataFrame:
     return report.validation_rows(items(spark, d), ENTITY)
 
 
+@query(extract_sql.SHEET)
+def validation_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """The extracted items and their context as reviewers see them."""
+    texts = cut(filing_sections(spark, d))
+    rowed = cut(extract.section_rows(texts, FILING))
+    filings = texts.select(*FILING).distinct()
+    found, context = (extract.best_items(filings, extract.candidates(rowed, FILING, x), FILING, x) for x in (extract.ITEMS, extract.CONTEXT))
+    return report.sheet_rows(extract.cross_check(found, ENTITY), context, ENTITY)
+
+
 @query(sql.CONFIDENCE)
 def confidence_counts(spark: SparkSession, d: str) -> DataFrame:
     return report.confidence_counts(items(spark, d))

@@ -27,6 +27,7 @@ def test_items_of_the_filing(spark, filing):
     assert E.find_items(texts, KEYS, E.CONTEXT).first()["value_gbp"] == 76_441_000
 
 
+# Rows and what must be read from them.
 @pytest.mark.parametrize(
     "row, value",
     [
@@ -39,6 +40,12 @@ def test_items_of_the_filing(spark, filing):
         ("Profit on disposal of property, plant and equipment (25) -", -25_000),
         ("Profit on disposal of\nplayer registrations 10,732 5", None),
         ("Nothing relevant here", None),
+        # rows of our own
+        ("Profit on disposals of player registrations 7,001 6,002", 7_001_000),
+        ("Gain on the disposal of subsidiaries (note 4) 1,250 -", 1_250_000),
+        ("  » Surplus on disposal of businesses 12.5 3.25", 12_500),
+        ("Losses on disposal of investments 3,100 2,900", -3_100_000),
+        ("Profit on disposal of é–x 1,000 900", 1_000_000),
     ],
 )
 def test_disposal_rows(spark, row, value):
@@ -53,6 +60,7 @@ def test_search_order_and_ties(spark):
     assert (got["value_gbp"], got["source_section"]) == (6_000_000, "profit_and_loss")
 
 
+# Notes and the total that must be derived from them.
 @pytest.mark.parametrize(
     "notes, value",
     [
