@@ -49,6 +49,14 @@ def test_pairs_and_shares_against_brute_force(spark):
     assert spans.span_pairs(df.limit(0)).count() == 0
 
 
+def test_common_characters():
+    rng = random.Random(2)
+    for _ in range(300):
+        x, y = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        want = next((i for i, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+        assert spans.agreed(x, y, False) == want and spans.agreed(x[::-1], y[::-1], True) == want
+
+
 def test_passages_of_many_texts_join_once(spark):
     rng = random.Random(8)
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
