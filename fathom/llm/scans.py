@@ -456,7 +456,7 @@ class Stream:
 
 
 _token = re.compile(r"\S+")
-_broken = re.compile(r"(\S+?)[" + MARKS + r"][ \t]*\n[ \t]*([^\W\d_A-Z]\S*)[ \t]*\n?")
+_line_end = re.compile("[" + MARKS + r"][ \t]*\n[ \t]*(?=[^\W\d_A-Z])")
 
 
 def repair(text: str, fixes: dict[str, str], drop: set[str], running: frozenset[int] | set[int] = frozenset(), report: bool = False, stream: Stream | None = None) -> str:
@@ -472,8 +472,7 @@ def repair(text: str, fixes: dict[str, str], drop: set[str], running: frozenset[
             return new.upper()
         return new[:1].upper() + new[1:] if old[:1].isupper() else new
 
-    def whole(m: re.Match[str]) -> str:
-        a, b = m[1], m[2]
+    def whole(a: str, b: str) -> str:
         x, y = bare(a), bare(b)
         word = fixes.get(f"{x}-{y}") if x and y else None
         if word is None:
@@ -501,7 +500,19 @@ def repair(text: str, fixes: dict[str, str], drop: set[str], running: frozenset[
     rows = text.split("\n")
     numbers = page_number_lines(rows) if report else set()
     kept = "\n".join(x for i, x in enumerate(rows) if i not in numbers and x.strip() not in drop and (not x.strip() or any(map(str.isalnum, x))) and not runs(x))
-    kept = _broken.sub(whole, kept) if any(m in kept for m in MARKS) else kept
+    parts, done = [], 0
+    for m in _line_end.finditer(kept):
+        low = max(kept.rfind(" ", done, m.start()), kept.rfind("\n", done, m.start()), kept.rfind("\t", done, m.start()), done - 1) + 1
+        if low >= m.start():
+            continue
+        high = m.end()
+        while high < len(kept) and not kept[high].isspace():
+            high += 1
+        parts += [kept[done:low], whole(kept[low : m.start()], kept[m.end() : high])]
+        while high < len(kept) and kept[high] in " \t":
+            high += 1
+        done = high + (kept[high : high + 1] == "\n")
+    kept = "".join([*parts, kept[done:]])
     whole_text = paragraphs([mended(x) for x in kept.split("\n")])
     return "\n\n".join(stream.decode(x) if stream else x for x in whole_text)
 
