@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The channel and the letter model are fitted on at most so many forms (a sample by hash beyond that)
-# against the words that are at least a FREQUENT share of all, which are at most 1 / FREQUENT.
-FIT_FORMS, FREQUENT = 100_000, 2e-6
+from ..functions.frames import cut
+
+# The channel is fitted on all forms against the words that are at least a FREQUENT share of all, which
+# are at most 1 / FREQUENT.
+FREQUENT = 2e-6
 ORDER, ALPHABET = 5, 64
 # How a misread is expected before anything is learnt, and at most; the share and mean size of clusters.
 START_RATE, MOST_RATE, CLUSTERED, CLUSTER = 1e-4, 2e-3, 0.2, 20.0
@@ -78,7 +80,10 @@ def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
 
 @dataclass
 class Letters:
-    """Witten-Bell letter model: counts of grams, and of what follows each context, under sorted hashes."""
+    """Witten-Bell letter model: counts of grams, and of what follows each context, under sorted hashes.
+
+    A model in memory, of a list of forms. ``LetterTable`` is the same of a table.
+    """
 
     grams_: np.ndarray
     counts: np.ndarray
@@ -86,7 +91,6 @@ class Letters:
     totals: np.ndarray
     kinds: np.ndarray
     left_out: frozenset[str]
-    share: float
     n_forms: int
 
     @staticmethod
@@ -112,7 +116,7 @@ class Letters:
             yield order, at, gram ^ gram >> np.uint64(32), before
 
     @classmethod
-    def fit(cls, forms: list[str], left_out: frozenset[str] = frozenset(), share: float = 1.0, n_forms: int | None = None) -> Letters:
+    def fit(cls, forms: list[str], left_out: frozenset[str] = frozenset(), n_forms: int | None = None) -> Letters:
         used = [f for f in forms if f not in left_out]
         codes, _, place = cls.places(used)
         parts = []
@@ -124,16 +128,14 @@ class Letters:
         parts = parts or [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) * 2 + (np.zeros(0, np.int32),)]
         grams, counts, contexts, totals, kinds = (np.concatenate(x) for x in zip(*parts))
         a, b = np.argsort(grams), np.argsort(contexts)
-        return cls(grams[a], counts[a], contexts[b], totals[b], kinds[b], left_out, share, n_forms or len(forms))
+        return cls(grams[a], counts[a], contexts[b], totals[b], kinds[b], left_out, n_forms or len(forms))
 
     def logs(self, forms: list[str]) -> np.ndarray:
         """Log of how many such forms all the collection's forms should hold, at most 0."""
         if not forms:
             return np.zeros(0)
-        import xxhash
-
         codes, owner, place = self.places(forms)
-        own = np.fromiter((f not in self.left_out and all(c.isalpha() or c in "-'’" for c in f) and (self.share >= 1 or xxhash.xxh3_64_intdigest(f) < self.share * 2**64) for f in forms), np.int64, len(forms))
+        own = np.fromiter((f not in self.left_out and all(c.isalpha() or c in "-'’" for c in f) for f in forms), np.int64, len(forms))
         p = np.full(len(codes), 1.0 / ALPHABET)
         sizes = np.fromiter((len(f) + 1 for f in forms), np.int64, len(forms))
         for order, at, gram, before in self.grams(codes, place):
@@ -147,6 +149,143 @@ class Letters:
         np.add.at(logs, owner[place > 0], np.log(p[place > 0]))
         return np.minimum(logs + math.log(max(self.n_forms, 2)), 0.0)
 
+    def of(self, asked: DataFrame) -> DataFrame:
+        """(form, own): the ``logs`` of distinct forms."""
+        names = ("grams_", "counts", "contexts", "totals", "kinds", "left_out", "n_forms")
+        shared = asked.sparkSession.sparkContext.broadcast(tuple(getattr(self, x) for x in names))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = Letters(*shared.value)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.logs(batch.column(0).to_pylist()), pa.float64())], names=["form", "own"])
+
+        return asked.select("form").mapInArrow(run, "form string, own double")
+
+
+# Letters of a gram are packed three to a number; each is its code point plus one, 0 for none.
+BITS = 21
+# Places of letters that one task of the letter model holds, about.
+TASK_PLACES = 250_000
+# Logs are added as whole numbers of this part, so a sum does not depend on its order.
+PART = 1e-9
+
+
+class LetterTable:
+    """``Letters`` of all words of a table: no part of the model but its pairs of letters is in one place.
+
+    Each place of a letter is one row, with up to ``ORDER`` letters before it. Grams of two and more letters
+    before the last are counted where all places with the same two letters before meet; the counts of
+    single letters and pairs, at most the square of the alphabet, are sent along.
+    """
+
+    def __init__(self, known: DataFrame, n_forms: int):
+        """``known``: (form), the distinct words the model is made of; ``n_forms``: of the collection."""
+        self.known, self.n_forms = known.select("form"), n_forms
+        self.pairs: tuple[np.ndarray, np.ndarray] | None = None
+
+    def of(self, asked: DataFrame) -> DataFrame:
+        """(form, own): the log of how many such forms all the collection's forms should hold, at most
+        0, for distinct forms; a form of the model is left out of its own estimate."""
+        if self.pairs is None:
+            two = _places(self.known.select("form", F.lit(1).alias("n"), F.lit(False).alias("asked"))).groupBy(F.col("b").bitwiseAND((1 << 2 * BITS) - 1).alias("two")).agg(F.sum("n").alias("n")).orderBy("two").toArrow()
+            self.pairs = two.column("two").to_numpy(), two.column("n").to_numpy()
+        shared = asked.sparkSession.sparkContext.broadcast(self.pairs)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = pa.Table.from_batches(batches) if (batches := [x for x in batches if x.num_rows]) else None
+            if got is None:
+                return
+            a, b, n, size = (got.column(c).to_numpy() for c in ("a", "b", "n", "size"))
+            here = np.flatnonzero(got.column("form").is_valid().to_numpy())
+            logs = np.log(_chances(a, b, n, size, here, *shared.value))
+            for part in got.select(["form"]).take(pa.array(here)).add_column(1, "log", pa.array(np.rint(logs / PART).astype(np.int64))).to_batches():
+                yield part
+
+        both = self.known.select("form", F.lit(1).alias("n"), F.lit(False).alias("asked")).unionByName(asked.select("form", F.lit(0).alias("n"), F.lit(True).alias("asked")))
+        rows = _places(both.groupBy("form").agg(F.max("n").alias("n"), F.max("asked").alias("asked")))
+        tasks = max(1, math.ceil(10 * self.n_forms / TASK_PLACES))
+        logs = rows.repartition(tasks, F.shiftright("b", BITS)).mapInArrow(run, "form string, log long")
+        own = F.least(F.sum("log") * F.lit(PART) + F.lit(math.log(max(self.n_forms, 2))), F.lit(0.0))
+        return logs.groupBy("form").agg(own.alias("own"))
+
+    def logs(self, forms: list[str]) -> np.ndarray:
+        """The same of a few forms."""
+        if not forms:
+            return np.zeros(0)
+        asked = self.known.sparkSession.createDataFrame([(f,) for f in set(forms)], "form string")
+        found = {r[0]: r[1] for r in self.of(asked).collect()}
+        return np.array([found[f] for f in forms])
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """(a, b, form, n, size) of (form, n, asked): a letter with the two before it in ``b`` and three more in
+    ``a``. ``n``: how often the model has it there; ``form`` NULL unless asked for, alike places added up
+    then; ``size``: places of the form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            forms = batch.column(0)
+            codes, owner, place = Letters.places(forms.to_pylist())
+            at = np.flatnonzero(place > 0)
+            owner, place = owner[at], place[at]
+            codes = codes.astype(np.int64) + 1
+            x = [np.where(place >= j, codes[at - j], 0) for j in range(ORDER + 1)]
+            a, b = x[5] << 2 * BITS | x[4] << BITS | x[3], x[2] << 2 * BITS | x[1] << BITS | x[0]
+            n = batch.column(1).to_numpy().astype(np.int64)[owner]
+            asked = batch.column(2).to_numpy(zero_copy_only=False)[owner]
+            size = np.bincount(owner, minlength=batch.num_rows)[owner]
+            rest = np.flatnonzero(~asked)
+            both = np.empty(len(rest), [("a", np.int64), ("b", np.int64)])
+            both["a"], both["b"] = a[rest], b[rest]
+            kinds, times = np.unique(both, return_counts=True)
+            some = np.flatnonzero(asked)
+            columns = [np.concatenate(c) for c in ((a[some], kinds["a"]), (b[some], kinds["b"]), (n[some], times), (size[some], np.zeros(len(kinds), np.int64)))]
+            names = pa.concat_arrays([forms.take(pa.array(owner[some])).cast(pa.string()), pa.nulls(len(kinds), pa.string())])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:2]), names, *map(pa.array, columns[2:])], names=["a", "b", "form", "n", "size"])
+
+    return rows.select("form", "n", "asked").mapInArrow(run, "a long, b long, form string, n long, size long")
+
+
+def _chances(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: np.ndarray, here: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Probabilities of the letters in the rows ``here``; all rows with their two letters before are given."""
+    mask = (1 << BITS) - 1
+    last, mine = b[here] & mask, n[here]
+    letters, no = np.unique(pairs & mask, return_inverse=True)
+    one = np.bincount(no, times, len(letters)).astype(np.int64)
+    firsts, no = np.unique(pairs >> BITS, return_inverse=True)
+    totals, kinds_ = np.bincount(no, times, len(firsts)).astype(np.int64), np.bincount(no, minlength=len(firsts))
+
+    def mixed(p: np.ndarray, seen: np.ndarray, total: np.ndarray, kinds: np.ndarray, out: int | np.ndarray = 1) -> np.ndarray:
+        seen, total = seen - mine, total - mine * out
+        kinds = kinds - mine * (seen == 0)
+        some = (total > 0) & (kinds > 0)
+        return np.where(some, (np.maximum(seen, 0) + kinds * p) / np.maximum(total + kinds, 1), p)
+
+    p = np.full(len(here), 1.0 / ALPHABET)
+    p = mixed(p, look_up(letters, one, last), np.full(len(here), one.sum()), np.full(len(here), len(letters)), size[here])
+    two = b & ((1 << 2 * BITS) - 1)
+    p = mixed(p, look_up(pairs, times, two[here]), look_up(firsts, totals, two[here] >> BITS), look_up(firsts, kinds_, two[here] >> BITS))
+    before = np.full(len(b), 0x9E3779B97F4A7C15, np.uint64)
+    for order in range(2, ORDER + 1):
+        letter = b >> BITS if order == 2 else (a >> (order - 3) * BITS) & mask
+        fits = letter >> (BITS if order == 2 else 0) > 0
+        before = (before ^ letter.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        before ^= before >> np.uint64(29)
+        gram = (before ^ ((b & mask).astype(np.uint64) + np.uint64(0x51ED27))) * np.uint64(0xA0761D6478BD642F)
+        gram ^= gram >> np.uint64(32)
+        at = np.flatnonzero(fits)
+        _, first, gram_no = np.unique(gram[at], return_index=True, return_inverse=True)
+        _, context_no = np.unique(before[at], return_inverse=True)
+        seen = np.bincount(gram_no, n[at], len(first)).astype(np.int64)
+        total = np.bincount(context_no, n[at]).astype(np.int64)
+        kinds = np.bincount(context_no[first], seen > 0, len(total)).astype(np.int64)
+        full = np.zeros((3, len(b)), np.int64)
+        full[:, at] = seen[gram_no], total[context_no], kinds[context_no]
+        p = np.where(fits[here], mixed(p, *full[:, here]), p)
+    return p
+
 
 def own_chance(k: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.exp(own) / (k * (k + 1.0)) + 1e-300
@@ -157,19 +296,20 @@ class Channel:
     """What was learnt: ``rates`` of (right, read), the letter model, and sums over all words."""
 
     rates: dict[tuple[str, str], float]
-    letters: Letters
+    letters: Letters | LetterTable
     tokens: int
     hapaxes: int
     evidence: list[tuple[str, str, float, float]] = field(default_factory=list)  # right, read, rate, forms
 
     def state(self) -> tuple:
-        """Plain values for a broadcast: workers have no copy of this module to unpickle objects by."""
-        x = self.letters
-        return self.rates, (x.grams_, x.counts, x.contexts, x.totals, x.kinds, x.left_out, x.share, x.n_forms), self.tokens, self.hapaxes
+        """Plain values for a broadcast: workers have no copy of this module to unpickle objects by, and
+        no letter model but its number of forms."""
+        return self.rates, self.letters.n_forms, self.tokens, self.hapaxes
 
     @classmethod
     def of(cls, state: tuple) -> Channel:
-        return cls(state[0], Letters(*state[1]), *state[2:])
+        rates, n_forms, tokens, hapaxes = state
+        return cls(rates, Letters.fit([], n_forms=n_forms), tokens, hapaxes)
 
     def undone(self, form: str, edits: int = 1) -> dict[str, float]:
         """Readings of ``form`` with up to ``edits`` confusions undone, each with the log of its rate.
@@ -220,64 +360,110 @@ def hole_keys(rows: DataFrame) -> DataFrame:
 def learn(forms: DataFrame) -> Channel:
     """The channel of a lexicon (form, n, word): ``word`` tells forms that are made of letters.
 
-    Pairs of a sampled form and a frequent word that differ in one place of one or two characters are
-    found by a join; a key with a hole has at most as many partners as there are pairs of
-    characters. The pairs of the bounded sample are then fitted at the driver.
+    Pairs of any form and a frequent word that differ in one place of one or two characters are found by
+    a join; a key with a hole has at most as many partners as there are pairs of characters. Every
+    step of the fit is one pass over the forms that have such pairs, whose sums by confusion
+    come to the driver. A confusion of too few forms to outweigh its description is none.
     """
     total, n_forms, hapaxes = forms.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1)).first()
     total, n_forms = total or 0, n_forms or 0
-    share = min(1.0, FIT_FORMS / max(n_forms, 1))
-    some = _sample(forms, share) if share < 1 else forms
     frequent = forms.filter(F.col("word") & (F.col("n") >= FREQUENT * total) & F.col("form").rlike(r"^\p{L}+$"))
-    wrong = hole_keys(some.filter(F.length("form") > 2))
-    right = hole_keys(frequent).select("key", F.col("form").alias("right"), F.col("k").alias("n"), F.col("part").alias("a"))
+    right = cut(hole_keys(frequent).select("key", F.col("k").alias("n"), F.col("part").alias("a")))
     differ = (F.col("n") > F.col("k")) & (F.left("a", F.lit(1)) != F.left("part", F.lit(1))) & (F.right("a", F.lit(1)) != F.right("part", F.lit(1)))
-    met = wrong.join(right, "key").filter(differ).select("form", "k", "n", F.concat_ws("\t", "a", "part").alias("pair")).toArrow()
-    known = [r[0] for r in some.filter("word").select("form").toLocalIterator()]
+    met = hole_keys(forms.filter(F.length("form") > 2)).join(right, "key").filter(differ).select("form", "k", "n", F.concat_ws("\t", "a", "part").alias("pair"))
+    met = cut(met.groupBy("form", "k").agg(F.collect_list("pair").alias("pairs"), F.collect_list("n").alias("n")))
+    least = math.ceil(DESCRIPTION / ONE_FORM)
+    enough = met.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").count().filter(F.col("count") >= least)
+    pairs = sorted(r[0] for r in enough.select("pair").toLocalIterator())
+    met = cut(_numbered(met, pairs))
     segments = _segments(frequent)
-    coded = [met.column(c).combine_chunks().dictionary_encode() for c in ("form", "pair")]
-    (names, form_no), (pairs, pair_no) = ((x.dictionary.to_pylist(), x.indices.to_numpy()) for x in coded)
-    k, n = (met.column(c).to_numpy().astype(np.float64) for c in ("k", "n"))
-    del met, coded
     exposure = np.array([max(segments.get(p.split("\t")[0], 1), 1) for p in pairs], np.float64)
-    count = np.ones(len(names))
-    count[form_no] = k
-    left_out: frozenset[str] = frozenset()
+    known = forms.filter("word").select("form")
+    letters = LetterTable(known, n_forms)
     rate, alive, seen = np.zeros(len(pairs)), np.zeros(len(pairs), bool), np.zeros(len(pairs))
-    for _ in range(ROUNDS):
-        letters = Letters.fit(known, left_out, share, n_forms)
-        own = own_chance(count, letters.logs(names))
+    for _ in range(ROUNDS if pairs else 0):
+        judged = cut(met.join(letters.of(met.select("form")), "form"))
         rate, alive = np.full(len(pairs), START_RATE), np.ones(len(pairs), bool)
         for step in range(STEPS):
-            mean = n * rate[pair_no]
-            chance = np.where(alive[pair_no], likely(k, mean), 0.0)
-            sums = own.copy()
-            np.add.at(sums, form_no, chance)
-            part = chance / sums[form_no]
-            events = np.bincount(pair_no, part * np.minimum(k, 2 * mean + 2), len(pairs))
-            seen = np.bincount(pair_no, part, len(pairs))
-            gain = np.bincount(pair_no, np.minimum(ONE_FORM, -np.log(np.maximum(1 - part, 1e-300))), len(pairs))
+            before = rate, alive
+            events, seen, gain = _sums(judged, rate, alive)
             rate = np.clip(events / exposure, 1e-12, MOST_RATE)
             if step >= 2:
                 alive = gain >= DESCRIPTION
-        read_wrong = sums > 2 * own
-        left_out = frozenset(names[i] for i in np.flatnonzero(read_wrong))
-    letters = Letters.fit(known, left_out, share, n_forms)
+        letters = LetterTable(cut(known.join(_misread(judged, *before), "form", "left_anti")), n_forms)
     table = {tuple(p.split("\t")): float(r) for p, r, a in zip(pairs, rate, alive) if a}
     evidence = sorted(((*p.split("\t"), float(r), float(s)) for p, r, s, a in zip(pairs, rate, seen, alive) if a), key=lambda x: -x[3])
     return Channel(table, letters, total, hapaxes or 0, evidence)
 
 
-def _sample(forms: DataFrame, share: float) -> DataFrame:
-    """The forms whose hash is among the lowest ``share``."""
+def _numbered(met: DataFrame, pairs: list[str]) -> DataFrame:
+    """(form, k, pairs, n): the pairs by their numbers, without those that have none."""
+    shared = met.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        number = {p: i for i, p in enumerate(shared.value)}
+        for batch in batches:
+            out = []
+            for form, k, names, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                some = [(number[p], n) for p, n in zip(names, counts) if p in number]
+                if some:
+                    out.append((form, k, [i for i, _ in some], [n for _, n in some]))
+            columns = list(zip(*out)) or [()] * 4
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["form", "k", "pairs", "n"])
+
+    return met.select("form", "k", "pairs", "n").mapInArrow(run, "form string, k long, pairs array<int>, n array<long>")
+
+
+def _shares(batch: pa.RecordBatch, rate: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a batch (form, k, pairs, n, own): the number, k, mean and chance of each of its pairs, the
+    form of each, and of the forms all chances together and that of a word of its own."""
+    lists = batch.column(2)
+    owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+    no, n = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy().astype(np.float64)
+    count = batch.column(1).to_numpy().astype(np.float64)
+    own = own_chance(count, batch.column(4).to_numpy())
+    k, mean = count[owner], n * rate[no]
+    chance = np.zeros(len(no))
+    on = alive[no]
+    chance[on] = likely(k[on], mean[on])
+    return no, k, mean, chance, owner, own + np.bincount(owner, chance, batch.num_rows), own
+
+
+def _sums(judged: DataFrame, rate: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By pair: the misreads that it explains, the forms, and the nats gained."""
+    shared = judged.sparkSession.sparkContext.broadcast((rate, alive))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate, alive = shared.value
+        out = np.zeros((3, len(rate)))
         for batch in batches:
-            yield batch.filter(pa.array([xxhash.xxh3_64_intdigest(f) < share * 2**64 for f in batch.column(0).to_pylist()], pa.bool_()))
+            if batch.num_rows:
+                no, k, mean, chance, owner, sums, _ = _shares(batch, rate, alive)
+                part = chance / sums[owner]
+                gain = np.minimum(ONE_FORM, -np.log(np.maximum(1 - part, 1e-300)))
+                out += [np.bincount(no, x, len(rate)) for x in (part * np.minimum(k, 2 * mean + 2), part, gain)]
+        some = np.flatnonzero(out[1])
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in out)], names=["no", "events", "seen", "gain"])
 
-    return forms.select("form", "n", "word").mapInArrow(run, "form string, n long, word boolean")
+    rows = judged.select("form", "k", "pairs", "n", "own").mapInArrow(run, "no long, events double, seen double, gain double").groupBy("no").agg(*(F.sum(c).alias(c) for c in ("events", "seen", "gain"))).toArrow()
+    full = np.zeros((3, len(rate)))
+    for x, c in zip(full, ("events", "seen", "gain")):
+        x[rows.column("no").to_numpy()] = [float(f"{v:.12g}") for v in rows.column(c).to_numpy()]  # whatever the order of the sum
+    return full[0], full[1], full[2]
+
+
+def _misread(judged: DataFrame, rate: np.ndarray, alive: np.ndarray) -> DataFrame:
+    """(form): those that are rather misreads."""
+    shared = judged.sparkSession.sparkContext.broadcast((rate, alive))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sums, own = _shares(batch, *shared.value)[-2:]
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(sums > 2 * own))], names=["form"])
+
+    return judged.select("form", "k", "pairs", "n", "own").mapInArrow(run, "form string")
 
 
 def _segments(words: DataFrame) -> dict[str, int]:
@@ -310,13 +496,16 @@ def decoded_forms(forms: DataFrame, channel: Channel, words: DataFrame) -> DataF
     """
     shared = forms.sparkSession.sparkContext.broadcast(channel.state())
 
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reads = {b for _, b in shared.value[0]}
+        for batch in batches:
+            yield batch.filter(pa.array([1 < len(f) <= LONGEST and any(b in f for b in reads) for f in batch.column(0).to_pylist()], pa.bool_()))
+
     def undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Channel.of(shared.value)
-        reads = {b for _, b in model.rates}
         for batch in batches:
-            rows = [(f, k) for f, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if 1 < len(f) <= LONGEST and any(b in f for b in reads)]
             out: list[tuple] = []
-            for (f, k), own in zip(rows, model.letters.logs([f for f, _ in rows]).tolist()):
+            for f, k, own in zip(*(c.to_pylist() for c in batch.columns)):
                 out += [(f, k, own, w, r) for w, r in model.undone(f, 2 if own < SECOND else 1).items() if len(w) > 1]
             columns = list(zip(*out)) or [()] * 5
             kinds = (pa.string(), pa.int64(), pa.float64(), pa.string(), pa.float64())
@@ -328,7 +517,8 @@ def decoded_forms(forms: DataFrame, channel: Channel, words: DataFrame) -> DataF
             chance = likely(k, n * np.exp(rate), REPEATED)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(chance), pa.array(own_chance(k, own))], names=["form", "word", "chance", "own"])
 
-    tried = forms.select("form", "n").mapInArrow(undo, TRIED)
+    some = cut(forms.select("form", "n").mapInArrow(possible, "form string, n long"))
+    tried = some.join(channel.letters.of(some), "form").select("form", "n", "own").mapInArrow(undo, TRIED)
     right = words.select(F.col("form").alias("word"), F.col("n").alias("n_right"))
     met = tried.join(right, "word").filter(F.col("n_right") > F.col("k") * F.col("form").rlike(r"^\p{L}+$").cast("int")).select("form", "k", "own", "word", "rate", "n_right").mapInArrow(judge, "form string, word string, chance double, own double")
     best = met.groupBy("form").agg(F.max_by("word", F.struct("chance", "word")).alias("word"), F.sum("chance").alias("chance"), F.max("own").alias("own"))

@@ -174,9 +174,8 @@ def joined(spots: DataFrame, words: DataFrame, channel: Channel) -> DataFrame:
         model = Channel.of(shared.value)
         for batch in batches:
             out: list[tuple] = []
-            wrongs, wholes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             new = math.log(max(model.hapaxes, 1) / max(model.tokens, 1)) - math.log(max(model.letters.n_forms, 2))
-            for wrong, whole, own in zip(wrongs, wholes, model.letters.logs(wholes).tolist()):
+            for wrong, whole, own in zip(*(c.to_pylist() for c in batch.columns)):
                 if not whole.isalpha() or len(whole) > 2 * 64:
                     continue
                 x = next(wrong[:i] for i in range(len(wrong)) if wrong[i] == "-" and wrong[:i] + wrong[i + 1 :] == whole)
@@ -199,7 +198,8 @@ def joined(spots: DataFrame, words: DataFrame, channel: Channel) -> DataFrame:
             columns = list(zip(*out)) or [()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["wrong", "word"])
 
-    some = spots.select("wrong", "word").mapInArrow(edges, edge)
+    own = channel.letters.of(spots.select(F.col("word").alias("form")).distinct()).withColumnRenamed("form", "word")
+    some = spots.join(own, "word").select("wrong", "word", "own").mapInArrow(edges, edge)
     counts = words.select(F.col("form").alias("item"), "n")
     met = some.join(counts, "item", "left").filter("n is not null or role = 'new'")
     lattices = met.groupBy("wrong").agg(F.collect_list(F.struct("role", "item", "rate", "n")).alias("edges"))
@@ -374,10 +374,12 @@ class Stream:
 
     Viterbi over the tokens: a token stands as it is, falls into two frequent words, or joins the
     next one to a frequent word. Unknown tokens pay what the letter model asks for a new word.
+    ``logs``: what it says of words, at least of all that ``open_words`` names in the text; for any
+    other word the price is the same on every path. Without it the channel's model is asked.
     """
 
-    def __init__(self, counts: dict[str, int], channel: Channel):
-        self.counts, self.channel = counts, channel
+    def __init__(self, counts: dict[str, int], channel: Channel, logs: dict[str, float] | None = None):
+        self.counts, self.channel, self.logs = counts, channel, logs
         self.total = math.log(max(channel.tokens, 2))
         self.new = math.log(max(channel.hapaxes, 1)) - self.total - math.log(max(channel.letters.n_forms, 2))
         self.memo: dict[str, tuple[float, str | None]] = {}
@@ -396,7 +398,8 @@ class Stream:
 
     def judge(self, words: list[str]) -> None:
         counts = self.counts
-        for w, log in zip(words, self.channel.letters.logs(words).tolist()):
+        logs = self.channel.letters.logs(words).tolist() if self.logs is None else [self.logs.get(w, 0.0) for w in words]
+        for w, log in zip(words, logs):
             best, parts = -self.new - log, None
             for i in range(2, len(w) - 1) if len(w) <= 64 else ():
                 if w[:i] in counts and w[i:] in counts:
@@ -455,6 +458,33 @@ class Stream:
         return out[::-1]
 
 
+def open_words(records: DataFrame, frequent: list[str]) -> DataFrame:
+    """(form): the words of the records' texts that are not frequent, but two frequent ones or the start or
+    the end of one: only at these a ``Stream`` has a choice."""
+    shared = records.sparkSession.sparkContext.broadcast(sorted(frequent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bisect import bisect_right
+
+        heads = shared.value
+        words, tails = frozenset(heads), sorted(w[::-1] for w in heads)
+
+        def begins(w: str, rows: list[str]) -> bool:
+            at = bisect_right(rows, w)
+            return at < len(rows) and rows[at].startswith(w)
+
+        seen: set[str] = set()
+        for batch in batches:
+            if len(seen) > 500_000:
+                seen.clear()
+            new = {t.lower() for t in set().union(*(x.split() for x in batch.column(0).to_pylist() if x)) if t.isalpha()} - seen - words
+            seen |= new
+            out = [w for w in new if begins(w, heads) or begins(w[::-1], tails) or (len(w) <= 64 and any(w[:i] in words and w[i:] in words for i in range(2, len(w) - 1)))]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["form"])
+
+    return records.select("text").mapInArrow(run, "form string").distinct()
+
+
 _token = re.compile(r"\S+")
 _line_end = re.compile("[" + MARKS + r"][ \t]*\n[ \t]*(?=[^\W\d_A-Z])")
 
@@ -530,10 +560,14 @@ def repaired(records: DataFrame, found: DataFrame, running: DataFrame | None = N
         F.count("*").cast("int").alias("n"),
     )
 
-    shared = records.sparkSession.sparkContext.broadcast((decoder.frequent, decoder.channel.state()) if decoder else None)
+    plain = None
+    if decoder:
+        logs = {r[0]: r[1] for r in decoder.channel.letters.of(cut(open_words(records, list(decoder.frequent)))).toLocalIterator()}
+        plain = decoder.frequent, decoder.channel.state(), logs
+    shared = records.sparkSession.sparkContext.broadcast(plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = Stream(shared.value[0], Channel.of(shared.value[1])) if shared.value else None
+        stream = Stream(shared.value[0], Channel.of(shared.value[1]), shared.value[2]) if shared.value else None
         for batch in batches:
             texts = []
             sets: dict[str, set[int]] = {}

@@ -209,3 +209,30 @@ def test_running_lines_are_dropped(spark):
     assert sum("Strategic Report" in x for x in got.values()) == 11 and got["ocr_pages", 99] == "Own words here."
     assert "Printed by Some Press" in got["ocr_pages", 100] and got["ocr_pages", 101] == "Printed by Some Press"
     assert "It was a good year for us." in got["sections", 7] and "4" not in got["sections", 7]
+
+
+def counted(spark, scan, times=1, more=()):
+    rows = scan[5].forms.collect()
+    return spark.createDataFrame([(r["form"], r["n"] * times, r["word"]) for r in rows] + [(w, 1, True) for w in more], "form string, n long, word boolean")
+
+
+def test_the_channel_is_fitted_on_all_forms(spark, scan):
+    """Rates of a lexicon that also holds 150,000 words which are misreads of none are the same."""
+    rng = random.Random(8)
+    names = {"".join(rng.choices("aou", k=9)) + "x" * (i % 3) for i in range(400_000)}
+    more = sorted(names)[:150_000] if len(names) > 150_000 else [f"{x}{y}" for x in sorted(names)[:1000] for y in sorted(names)[-150:]]
+    few, many = C.learn(counted(spark, scan)).rates, C.learn(counted(spark, scan, more=more)).rates
+    assert set(TRUE) <= set(many)
+    for x in TRUE:
+        assert many[x] == pytest.approx(few[x], rel=0.1)
+
+
+def test_letter_model_of_a_table(spark):
+    rng = random.Random(4)
+    words = list(dict.fromkeys("".join(rng.choices("abdeginorst", k=rng.randint(1, 9))) for _ in range(3000)))
+    out = frozenset(words[::40])
+    plain = C.Letters.fit(words, out, n_forms=5000)
+    table = C.LetterTable(spark.createDataFrame([(w,) for w in words if w not in out], "form string"), 5000)
+    asked = [*words[:500], "7up", "𝔸!x"]
+    assert table.logs(asked) == pytest.approx(plain.logs(asked), abs=1e-6) and len(table.logs([])) == 0
+    assert table.logs(["zzqq"])[0] == pytest.approx(C.Letters.fit(words, out | {"zzqq"}, n_forms=5000).logs(["zzqq"])[0], abs=1e-6)
