@@ -6,8 +6,9 @@ which confusion, is latent, and expectation-maximisation over pairs of forms fin
 confusions that explain most. Two models meet in every decision:
 
 - misread: the right word's count times the rate of the confusion gives how often the form should be
-  seen; single misreads follow a Poisson law, and a page that is repeated repeats its misread, so
-  a part of them comes in clusters (a negative binomial law of the same mean);
+  seen; single misreads follow a Poisson law, a page that is repeated repeats its misread, so a part
+  of them comes in clusters (a negative binomial law of the same mean), and words differ in their
+  rates, so another part spreads in proportion to the mean (geometric laws), however large it is;
 - own word: a letter model of the forms (orders 0 to 5, each form left out of its own estimate) says
   how likely such a word is among all, and a word's count falls with its square (Zipf).
 
@@ -34,6 +35,9 @@ FREQUENT = 2e-6
 ORDER, ALPHABET = 5, 64
 # How a misread is expected before anything is learnt, and at most; the share and mean size of clusters.
 START_RATE, MOST_RATE, CLUSTERED, CLUSTER = 1e-4, 2e-3, 0.2, 20.0
+# The rates of single words differ from their confusion's: the share of misreads for which they do, and by
+# what factors, with the part of each (the mean factor is 1). Counts of a large collection show it, whatever its size.
+VARIED, FACTORS = 0.2, ((8.0, 0.06), (1.0, 0.46), (0.125, 0.48))
 # A line that a source repeats everywhere repeats its misread without bound: the share of misreads whose
 # counts fall like those of words. Not while the confusions are learnt, where it would let names pass.
 REPEATED = 0.2
@@ -55,7 +59,8 @@ def likely(k: np.ndarray, mean: np.ndarray, repeated: float = 0.0) -> np.ndarray
     r = mean / CLUSTER
     single = np.exp(-mean + k * np.log(mean) - _lgamma(k + 1))
     cluster = np.exp(_lgamma(k + r) - _lgamma(k + 1) - _lgamma(r) + k * math.log(CLUSTER / (CLUSTER + 1)) - r * math.log(CLUSTER + 1))
-    once = (1 - CLUSTERED) * single + CLUSTERED * cluster
+    varied = sum(part * np.exp(k * np.log(f * mean / (1 + f * mean)) - np.log1p(f * mean)) for f, part in FACTORS)
+    once = (1 - CLUSTERED - VARIED) * single + CLUSTERED * cluster + VARIED * varied
     return (1 - repeated) * once + repeated * -np.expm1(-mean) / (np.maximum(k, 1) * (k + 1)) if repeated else once
 
 
@@ -441,8 +446,9 @@ def _sums(judged: DataFrame, rate: np.ndarray, alive: np.ndarray) -> tuple[np.nd
             if batch.num_rows:
                 no, k, mean, chance, owner, sums, _ = _shares(batch, rate, alive)
                 part = chance / sums[owner]
+                most = np.maximum(2 * mean + 2, mean / rate[no] * MOST_RATE)  # a share of the word's count, or it falls behind in a large collection
                 gain = np.minimum(ONE_FORM, -np.log(np.maximum(1 - part, 1e-300)))
-                out += [np.bincount(no, x, len(rate)) for x in (part * np.minimum(k, 2 * mean + 2), part, gain)]
+                out += [np.bincount(no, x, len(rate)) for x in (part * np.minimum(k, most), part, gain)]
         some = np.flatnonzero(out[1])
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in out)], names=["no", "events", "seen", "gain"])
 

@@ -236,3 +236,16 @@ def test_letter_model_of_a_table(spark):
     asked = [*words[:500], "7up", "𝔸!x"]
     assert table.logs(asked) == pytest.approx(plain.logs(asked), abs=1e-6) and len(table.logs([])) == 0
     assert table.logs(["zzqq"])[0] == pytest.approx(C.Letters.fit(words, out | {"zzqq"}, n_forms=5000).logs(["zzqq"])[0], abs=1e-6)
+
+
+def test_misreads_are_found_alike_in_a_larger_collection(spark, scan):
+    """Thirty times as many pages of the same words: rates of the same size and the same misreads."""
+
+    def read(times):
+        forms = counted(spark, scan, times)
+        channel = C.learn(forms)
+        return channel.rates, {(r["form"], r["word"]) for r in C.decoded_forms(forms, channel, forms.filter("word")).collect()}
+
+    (few, found), (many, again) = read(1), read(30)
+    assert set(TRUE) <= set(many) and found <= again
+    assert all(0.3 * few[x] < many[x] < 3 * few[x] for x in TRUE)
