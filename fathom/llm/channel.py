@@ -10,7 +10,9 @@ confusions that explain most. Two models meet in every decision:
   of them comes in clusters (a negative binomial law of the same mean), and words differ in their
   rates, so another part spreads in proportion to the mean (geometric laws), however large it is;
 - own word: a letter model of the forms (orders 0 to 5, each form left out of its own estimate) says
-  how likely such a word is among all, and a word's count falls with its square (Zipf).
+  how likely such a word is among all, or as often letters at random do (rubbish, whose short words
+  come near to frequent ones the more the larger a collection is); a word's count falls with its
+  square (Zipf).
 
 Nothing here depends on absolute counts: a form that is seen once is judged by the same odds as one
 that is seen a thousand times.
@@ -150,9 +152,11 @@ class Letters:
             kinds = look_up(self.contexts, self.kinds, before) - mine * (n == 0)
             some = (total > 0) & (kinds > 0)
             p[at] = np.where(some, (np.maximum(n, 0) + kinds * p[at]) / np.maximum(total + kinds, 1), p[at])
-        logs = np.zeros(len(forms))
+            single = p.copy() if order == 0 else single
+        logs, plain = np.zeros(len(forms)), np.zeros(len(forms))
         np.add.at(logs, owner[place > 0], np.log(p[place > 0]))
-        return np.minimum(logs + math.log(max(self.n_forms, 2)), 0.0)
+        np.add.at(plain, owner[place > 0], np.log(single[place > 0]))
+        return np.minimum(np.logaddexp(logs, plain) + math.log(max(self.n_forms, 2) / 2), 0.0)
 
     def of(self, asked: DataFrame) -> DataFrame:
         """(form, own): the ``logs`` of distinct forms."""
@@ -202,16 +206,17 @@ class LetterTable:
                 return
             a, b, n, size = (got.column(c).to_numpy() for c in ("a", "b", "n", "size"))
             here = np.flatnonzero(got.column("form").is_valid().to_numpy())
-            logs = np.log(_chances(a, b, n, size, here, *shared.value))
-            for part in got.select(["form"]).take(pa.array(here)).add_column(1, "log", pa.array(np.rint(logs / PART).astype(np.int64))).to_batches():
+            plain, full = (pa.array(np.rint(np.log(p) / PART).astype(np.int64)) for p in _chances(a, b, n, size, here, *shared.value))
+            for part in got.select(["form"]).take(pa.array(here)).add_column(1, "log", full).add_column(2, "plain", plain).to_batches():
                 yield part
 
         both = self.known.select("form", F.lit(1).alias("n"), F.lit(False).alias("asked")).unionByName(asked.select("form", F.lit(0).alias("n"), F.lit(True).alias("asked")))
         rows = _places(both.groupBy("form").agg(F.max("n").alias("n"), F.max("asked").alias("asked")))
         tasks = max(1, math.ceil(10 * self.n_forms / TASK_PLACES))
-        logs = rows.repartition(tasks, F.shiftright("b", BITS)).mapInArrow(run, "form string, log long")
-        own = F.least(F.sum("log") * F.lit(PART) + F.lit(math.log(max(self.n_forms, 2))), F.lit(0.0))
-        return logs.groupBy("form").agg(own.alias("own"))
+        logs = rows.repartition(tasks, F.shiftright("b", BITS)).mapInArrow(run, "form string, log long, plain long")
+        sums = logs.groupBy("form").agg((F.sum("log") * F.lit(PART)).alias("log"), (F.sum("plain") * F.lit(PART)).alias("plain"))
+        both = F.greatest("log", "plain") + F.log1p(F.exp(-F.abs(F.col("log") - F.col("plain"))))
+        return sums.select("form", F.least(both + F.lit(math.log(max(self.n_forms, 2) / 2)), F.lit(0.0)).alias("own"))
 
     def logs(self, forms: list[str]) -> np.ndarray:
         """The same of a few forms."""
@@ -253,8 +258,9 @@ def _places(rows: DataFrame) -> DataFrame:
     return rows.select("form", "n", "asked").mapInArrow(run, "a long, b long, form string, n long, size long")
 
 
-def _chances(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: np.ndarray, here: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Probabilities of the letters in the rows ``here``; all rows with their two letters before are given."""
+def _chances(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: np.ndarray, here: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the letters in the rows ``here``, alone and after those before them; all rows with
+    the same two letters before are given."""
     mask = (1 << BITS) - 1
     last, mine = b[here] & mask, n[here]
     letters, no = np.unique(pairs & mask, return_inverse=True)
@@ -270,6 +276,7 @@ def _chances(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: np.ndarray, here
 
     p = np.full(len(here), 1.0 / ALPHABET)
     p = mixed(p, look_up(letters, one, last), np.full(len(here), one.sum()), np.full(len(here), len(letters)), size[here])
+    single = p
     two = b & ((1 << 2 * BITS) - 1)
     p = mixed(p, look_up(pairs, times, two[here]), look_up(firsts, totals, two[here] >> BITS), look_up(firsts, kinds_, two[here] >> BITS))
     before = np.full(len(b), 0x9E3779B97F4A7C15, np.uint64)
@@ -289,7 +296,7 @@ def _chances(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: np.ndarray, here
         full = np.zeros((3, len(b)), np.int64)
         full[:, at] = seen[gram_no], total[context_no], kinds[context_no]
         p = np.where(fits[here], mixed(p, *full[:, here]), p)
-    return p
+    return single, p
 
 
 def own_chance(k: np.ndarray, own: np.ndarray) -> np.ndarray:
